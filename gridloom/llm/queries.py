@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op2_decontaminate, op3_packing, op4_frames, op6_quality, op7_urls, op8_secrets, op10_language
+from . import op2_decontaminate, op3_packing, op4_frames, op6_quality, op7_urls, op8_secrets, op9_fingerprints, op10_language
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_quality": op6_quality.query,
     "op7_urls": op7_urls.query,
     "op8_secrets": op8_secrets.query,
+    "op9_fingerprints": op9_fingerprints.query,
     "op10_language": op10_language.query,
 }
 SQL = {"op7_urls": op7_urls.SQL}
