@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, one row at least."""
     for batch in batches:
-        size = np.cumsum([0] + [x or 0 for x in pa.compute.binary_length(batch.column(text)).to_pylist()])
+        size = np.cumsum([0] + [x or 0 for x in pc.binary_length(batch.column(text)).to_pylist()])
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(size, size[at] + most, "right")) - 1)

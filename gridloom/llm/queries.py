@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op2_decontaminate, op3_packing, op4_frames, op6_quality, op7_urls, op8_secrets, op9_fingerprints, op10_language
+from . import op2_decontaminate, op3_packing, op4_frames, op5_jaccard, op6_quality, op7_urls, op8_secrets, op9_fingerprints, op10_language
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate.query,
     "op3_packing": op3_packing.query,
     "op4_frames": op4_frames.query,
+    "op5_jaccard": op5_jaccard.query,
     "op6_quality": op6_quality.query,
     "op7_urls": op7_urls.query,
     "op8_secrets": op8_secrets.query,
