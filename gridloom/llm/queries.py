@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op2_decontaminate, op3_packing, op4_frames, op5_jaccard, op6_quality, op7_urls, op8_secrets, op9_fingerprints, op10_language
+from . import op1_repeats, op2_decontaminate, op3_packing, op4_frames, op5_jaccard, op6_quality, op7_urls, op8_secrets, op9_fingerprints, op10_language
 
 QUERIES = {
+    "op1_repeats": op1_repeats.query,
     "op2_decontaminate": op2_decontaminate.query,
     "op3_packing": op3_packing.query,
     "op4_frames": op4_frames.query,
