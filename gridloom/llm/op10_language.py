@@ -18,7 +18,7 @@ SAMPLE_DOCS = 400
 LEVEL = 6
 #: Texts are compressed in stretches of this many bytes, so that a long text's own past doesn't drown the dictionary.
 STRETCH = 4096
-MIN_MARGIN = 0.004
+MIN_MARGIN = 0.002
 OUT = "doc_id long, lang_pred string, score double, rejected boolean"
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
@@ -100,6 +100,20 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
 
 
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``identify`` doesn't reject."""
+    held = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        made = Compressors(held.value)
+        for batch in batches:
+            found = [made.judge(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and score >= min_margin for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs.where(crc_of_id(F.col("doc_id")) % 3 != 1)))

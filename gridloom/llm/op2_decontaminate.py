@@ -94,6 +94,29 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
+def _finder(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int):
+    """A function for the executors: of each text the number of words, word ranges and items, from all blocks of items."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("words"))
+    size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    n_blocks = int(size // block_bytes) + 1
+    blocks = []
+    for b in range(n_blocks):
+        rows = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == b).distinct().collect()
+        blocks.append((f"{b}/{hash(tuple(sorted(map(str, rows))))}/{window}", spark.sparkContext.broadcast([tuple(r) for r in rows])))
+
+    def find(texts: list[str | None]) -> list[tuple[int, list, set]]:
+        found = [(0, [], set())] * len(texts)
+        for key, block in blocks:
+            built = automaton(block.value, window, key)
+            for i, text in enumerate(texts):
+                n, ranges, names = scan(text, built)
+                found[i] = (n, found[i][1] + ranges, found[i][2] | names)
+        return found
+
+    return find
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Mark the words of each document that lie inside any ``window`` consecutive words of a benchmark item.
 
@@ -105,28 +128,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     one automaton. All blocks are carried through the same scan, so a text is read and normalised once; blocks are
     rebuilt in turn by a worker, for each batch of documents, if there are several.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("words"))
-    size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    n_blocks = int(size // block_bytes) + 1
-    blocks = []
-    for b in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == b).distinct().collect()
-        blocks.append((f"{b}/{hash(tuple(sorted(map(str, rows))))}/{window}", spark.sparkContext.broadcast([tuple(r) for r in rows])))
+    find = _finder(benchmark, item_col, item_text_col, window, block_bytes)
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = [(0, [], set())] * len(texts)
-            for key, block in blocks:
-                built = automaton(block.value, window, key)
-                for i, text in enumerate(texts):
-                    n, ranges, names = scan(text, built)
-                    found[i] = (n, found[i][1] + ranges, found[i][2] | names)
-            yield _batch([finished(d, t, *f) for d, t, f in zip(ids, texts, found)], OUT_ARROW)
+            yield _batch([finished(d, t, *f) for d, t, f in zip(ids, texts, find(texts))], OUT_ARROW)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, in which no window of a benchmark item occurs."""
+    find = _finder(benchmark, item_col, item_text_col, window, block_bytes)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([not ranges for _, ranges, _ in find(batch.column(at).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -339,5 +339,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     return shown.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component; of rows that share an id, one. Null ids stay."""
+    kept = staged(join(docs, id_col, text_col, n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")), "jaccard-kept")
+    keyed = docs.withColumn("__kept", F.col(id_col).cast("long"))
+    found = keyed.where("__kept IS NOT NULL").join(kept.distinct(), "__kept", "left_semi")
+    if not kept.groupBy("__kept").count().where("count > 1").isEmpty():
+        found = found.dropDuplicates(["__kept"])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return found.select(*own).union(keyed.where("__kept IS NULL").select(*own))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)

@@ -17,3 +17,13 @@ QUERIES = {
     "op10_language": op10_language.query,
 }
 SQL = {"op7_urls": op7_urls.SQL}
+
+
+def pipeline(spark, sf_dir):
+    """The corpus pipeline at the top of the repository, which stands and goes with this subpackage."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
