@@ -1,2 +1,374 @@
-QUERIES = {}
-SQL = {}
+"""All queries of the engine over the driver's tables, and the SQL that each is held against."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..field import Coord, Field
+from ..functions import calendar as cal
+from ..functions.scalar import LAZY, OPERATORS
+from ..operators import align, records
+from ..operators.compare import compare
+from ..operators.reduce import across, aggregates, weighted_moments
+from ..operators.regrid import apply_weights, derivative, overlap_weights, transposed
+from ..streaming.windows import windowed
+from . import cellwise
+
+QUERIES: dict = cellwise.queries()
+SQL: dict[str, str] = cellwise.sql()
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _cents(x):
+    """Sums as whole hundredths of a cent: the order of additions doesn't show."""
+    return F.round(x * 1e4).cast("long")
+
+
+def _cents_sql(x: str) -> str:
+    return f"CAST(round(({x}) * 1e4) AS BIGINT)"
+
+
+# -- reductions ---------------------------------------------------------------------------------------------------
+
+_Q = "CASE WHEN l_quantity > 10 THEN l_quantity END"
+
+
+def _line(spark, d):
+    return _t(spark, d, "lineitem").withColumn("q", OPERATORS["GTF"](F.col("l_quantity"), F.lit(10.0)))
+
+
+@query("rpn_flagship", f"SELECT l_returnflag, l_linestatus, {_cents_sql('sum(l_quantity * l_extendedprice / l_quantity) / sum(l_quantity)')} AS mean_price FROM lineitem WHERE l_quantity > 10 GROUP BY ALL")
+def flagship(spark, d):
+    """Weighted mean of the unit price where more than ten were ordered, by flag and status: one scan, one aggregate."""
+    q = F.col("l_quantity")
+    price = OPERATORS["MASK"](OPERATORS["DIV"](F.col("l_extendedprice"), q), OPERATORS["GTF"](q, F.lit(10.0)))
+    got = _t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*[c.alias(k) for k, c in aggregates("WSUM", price, q).items()])
+    return got.select("l_returnflag", "l_linestatus", _cents(OPERATORS["DIV"](F.col("v"), F.col("w"))).alias("mean_price"))
+
+
+_GROUPS = "l_returnflag, l_linenumber"
+
+
+@query("red_sum", f"SELECT {_GROUPS}, {_cents_sql(f'coalesce(sum({_Q}), 0)')} AS total, CAST(count({_Q}) AS DOUBLE) AS n FROM lineitem GROUP BY ALL")
+def red_sum(spark, d):
+    got = _line(spark, d).groupBy("l_returnflag", "l_linenumber").agg(aggregates("SUM", F.col("q"))["v"].alias("s"), aggregates("COUNT", F.col("q"))["v"].alias("n"))
+    return got.select("l_returnflag", "l_linenumber", _cents(F.col("s")).alias("total"), "n")
+
+
+def _strict_sql(agg: str) -> str:
+    return f"CASE WHEN count({_Q}) = count(*) THEN {agg}({_Q}) END"
+
+
+@query("red_strict", f"SELECT l_orderkey, {_cents_sql(_strict_sql('sum'))} AS v_add, {_strict_sql('max')} AS v_max, {_strict_sql('min')} AS v_min, CASE WHEN count({_Q}) = count(*) THEN CAST(round(ln(product({_Q})) * 1e6) AS BIGINT) END AS v_mul FROM lineitem GROUP BY ALL")
+def red_strict(spark, d):
+    agg = {k: aggregates(k, F.col("q"))["v"] for k in ("ADD", "MAX", "MIN", "MUL")}
+    got = _line(spark, d).groupBy("l_orderkey").agg(*[c.alias(k) for k, c in agg.items()])
+    return got.select("l_orderkey", _cents(F.col("ADD")).alias("v_add"), F.col("MAX").alias("v_max"), F.col("MIN").alias("v_min"), F.round(F.ln("MUL") * 1e6).cast("long").alias("v_mul"))
+
+
+@query("red_lazy", f"SELECT l_orderkey, {_cents_sql(f'sum({_Q})')} AS v_ladd, max({_Q}) AS v_lmax, min({_Q}) AS v_lmin, CAST(round(ln(product({_Q})) * 1e6) AS BIGINT) AS v_lmul FROM lineitem GROUP BY ALL")
+def red_lazy(spark, d):
+    agg = {k: aggregates(k, F.col("q"))["v"] for k in ("LADD", "LMAX", "LMIN", "LMUL")}
+    got = _line(spark, d).groupBy("l_orderkey").agg(*[c.alias(k) for k, c in agg.items()])
+    return got.select("l_orderkey", _cents(F.col("LADD")).alias("v_ladd"), F.col("LMAX").alias("v_lmax"), F.col("LMIN").alias("v_lmin"), F.round(F.ln("LMUL") * 1e6).cast("long").alias("v_lmul"))
+
+
+@query("red_wsum", f"SELECT {_GROUPS}, {_cents_sql(f'coalesce(sum(l_extendedprice * ({_Q})), 0) / 1e3')} AS wv, {_cents_sql(f'coalesce(sum({_Q}), 0)')} AS w FROM lineitem GROUP BY ALL")
+def red_wsum(spark, d):
+    got = _line(spark, d).groupBy("l_returnflag", "l_linenumber").agg(*[c.alias(k) for k, c in aggregates("WSUM", F.col("l_extendedprice"), F.col("q")).items()])
+    return got.select("l_returnflag", "l_linenumber", _cents(F.col("v") / 1e3).alias("wv"), _cents(F.col("w")).alias("w"))
+
+
+@query("red_wmv", "WITH m AS (SELECT l_returnflag, sum(l_quantity * l_extendedprice) / sum(l_quantity) AS mean, sum(l_quantity) AS w FROM lineitem GROUP BY ALL) SELECT l_returnflag, CAST(round(any_value(mean) * 1e4) AS BIGINT) AS mean, CAST(round(sum(l_quantity * (l_extendedprice - mean) * (l_extendedprice - mean)) / any_value(w)) AS BIGINT) AS variance, CAST(round(any_value(w)) AS BIGINT) AS w FROM lineitem JOIN m USING (l_returnflag) GROUP BY l_returnflag")
+def red_wmv(spark, d):
+    got = weighted_moments(_t(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity")
+    return got.select("l_returnflag", _cents(F.col("mean")).alias("mean"), F.round(F.col("s") / F.col("w")).cast("long").alias("variance"), F.round("w").cast("long").alias("w"))
+
+
+@query("red_range", f"SELECT l_returnflag, CAST(count({_Q}) AS DOUBLE) AS n FROM lineitem WHERE l_linenumber >= 2 AND l_linenumber < 6 GROUP BY ALL")
+def red_range(spark, d):
+    got = _line(spark, d).where((F.col("l_linenumber") >= 2) & (F.col("l_linenumber") < 6))
+    return got.groupBy("l_returnflag").agg(aggregates("COUNT", F.col("q"))["v"].alias("n"))
+
+
+@query("red_box", "WITH c AS (SELECT c_nationkey AS nation, floor(c_acctbal / 1000) AS band, count(*) AS n FROM customer WHERE c_acctbal >= 0 AND c_acctbal < 10000 GROUP BY ALL) SELECT CAST(nation AS BIGINT) AS nation, CASE WHEN count(*) = 10 THEN CAST(sum(n) AS DOUBLE) END AS v FROM c GROUP BY ALL")
+def red_box(spark, d):
+    """A strict reduction of a box: a nation with a band that nobody is in has no sum."""
+    return Field.of(_bands(spark, d), "n", ["nation", Coord("band", 0, 10)]).reduce("ADD", "band").df
+
+
+def _bands(spark, d):
+    c = _t(spark, d, "customer").where((F.col("c_acctbal") >= 0) & (F.col("c_acctbal") < 10000))
+    return c.groupBy(F.col("c_nationkey").cast("long").alias("nation"), F.floor(F.col("c_acctbal") / 1000).alias("band")).agg(F.count("*").alias("n"))
+
+
+_FOUR = ["l_quantity", "l_tax", "l_discount", "l_extendedprice"]
+
+
+@query("accum", f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(CASE WHEN l_quantity > 10 THEN 1 ELSE 0 END + 3 AS DOUBLE) AS n, {_cents_sql(f'coalesce({_Q}, 0) + l_tax + l_discount + l_extendedprice')} AS total, {_cents_sql(f'coalesce(({_Q}) * l_tax, 0) + l_discount * l_extendedprice')} AS wv, {_cents_sql(f'CASE WHEN l_quantity > 10 THEN l_tax ELSE 0 END + l_extendedprice')} AS w FROM lineitem")
+def accum(spark, d):
+    x = [F.col("q"), *map(F.col, _FOUR[1:])]
+    pairs = across("WSUM", [x[0], x[2]], [x[1], x[3]])
+    return _line(spark, d).select(*cellwise._LINE, across("COUNT", x)["v"].alias("n"), _cents(across("SUM", x)["v"]).alias("total"), _cents(pairs["v"]).alias("wv"), _cents(pairs["w"]).alias("w"))
+
+
+@query("cum_fold", f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {_cents_sql('l_quantity - l_tax - l_discount - l_extendedprice')} AS v FROM lineitem")
+def cum_fold(spark, d):
+    return _t(spark, d, "lineitem").select(*cellwise._LINE, _cents(across("SUB", list(map(F.col, _FOUR)))["v"]).alias("v"))
+
+
+# -- alignment ----------------------------------------------------------------------------------------------------
+
+_A = "(SELECT o_orderkey AS k, CASE WHEN o_totalprice > 50000 THEN o_totalprice END AS a FROM orders WHERE o_orderkey % 3 <> 0)"
+_B = "(SELECT o_orderkey AS k, CASE WHEN o_totalprice < 300000 THEN o_totalprice / 2 END AS b FROM orders WHERE o_orderkey % 4 <> 0)"
+
+
+def _two(spark, d):
+    o = _t(spark, d, "orders").withColumnRenamed("o_orderkey", "k")
+    a = Field.of(o.where("k % 3 <> 0"), OPERATORS["GTF"](F.col("o_totalprice"), F.lit(50000.0)), ["k"])
+    b = Field.of(o.where("k % 4 <> 0"), OPERATORS["LTF"](F.col("o_totalprice"), F.lit(300000.0)) / 2, ["k"])
+    return a, b
+
+
+_MET = f"WITH x AS (SELECT k, a, b, ka IS NOT NULL AS a_in, kb IS NOT NULL AS b_in FROM (SELECT coalesce(x.k, y.k) AS k, a, b, x.k AS ka, y.k AS kb FROM {_A} x FULL JOIN {_B} y ON x.k = y.k)) "
+
+
+def _lazy(name: str, ops: list[str]):
+    def run(spark, d):
+        out = align.aligned(list(_two(spark, d)), "inclusive").df
+        return out.select("k", *[LAZY[o](F.col("v0"), F.col("v1"), F.col("in0"), F.col("in1")).alias(f"v_{o.lower()}") for o in ops])
+
+    query(name, _MET + "SELECT k, " + ", ".join(f"{cellwise.LAZY_SQL[o]} AS v_{o.lower()}" for o in ops) + " FROM x")(run)
+
+
+_lazy("logic_lazy", ["OR", "ROR", "XOR", "LAND", "LMASK", "LLAY", "RLAY"])
+_lazy("arith_lazy", ["LADD", "LSUB", "LMUL", "LDIV", "LMIN", "LMAX"])
+
+
+@query("logic_strict", _MET + "SELECT k, CASE WHEN a IS NOT NULL THEN b END AS v_and, CASE WHEN b IS NOT NULL THEN a END AS v_mask FROM x WHERE a_in AND b_in")
+def logic_strict(spark, d):
+    a, b = _two(spark, d)
+    both = align.aligned([a, b], "intersect").df
+    return both.select("k", OPERATORS["AND"](F.col("v0"), F.col("v1")).alias("v_and"), OPERATORS["MASK"](F.col("v0"), F.col("v1")).alias("v_mask"))
+
+
+for _name, _mode, _where in (("align_inclusive", "inclusive", "TRUE"), ("align_intersect", "intersect", "a_in AND b_in"), ("align_first", "first", "a_in")):
+
+    def _aligned(spark, d, mode=_mode):
+        return align.aligned(list(_two(spark, d)), mode).df.select("k", (F.col("v0") + F.col("v1")).alias("v"), F.col("in0").alias("a_in"), F.col("in1").alias("b_in"))
+
+    query(_name, _MET + f"SELECT k, a + b AS v, a_in, b_in FROM x WHERE {_where}")(_aligned)
+
+
+@query("align_broadcast", "SELECT CAST(c_nationkey AS BIGINT) AS nation, c_custkey, c_acctbal - m AS v FROM customer JOIN (SELECT c_nationkey AS k, max(c_acctbal) AS m FROM customer GROUP BY ALL) ON c_nationkey = k")
+def align_broadcast(spark, d):
+    """What a reduction leaves is spread over the coordinate that went."""
+    c = Field.of(_t(spark, d, "customer").withColumn("nation", F.col("c_nationkey").cast("long")), "c_acctbal", ["nation", "c_custkey"])
+    return c.op("SUB", c.reduce("MAX", "c_custkey"), mode="first").df
+
+
+@query("align_outer", "SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST(r_regionkey AS BIGINT) AS region, CAST(n_regionkey * 10 + r_regionkey AS DOUBLE) AS v FROM nation, region")
+def align_outer(spark, d):
+    """Two axes of a few cells without a common name span their product."""
+    a = Field.of(_t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), "n_regionkey"), F.col("n_regionkey") * 10, ["nation"])
+    b = Field.of(_t(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("region")), "region", ["region"])
+    met = a.df.crossJoin(F.broadcast(b.df.withColumnRenamed("v", "w")))  # the regions are five
+    return met.select("nation", "region", (F.col("v") + F.col("w")).alias("v"))
+
+
+# -- shapes, indices, records -------------------------------------------------------------------------------------
+
+_CUBE = "WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS nation, CAST(floor(c_acctbal / 1000) AS BIGINT) AS band, CAST(count(*) AS DOUBLE) AS v FROM customer WHERE c_acctbal >= 0 AND c_acctbal < 10000 GROUP BY ALL) "
+
+
+def _cube(spark, d) -> Field:
+    return Field.of(_bands(spark, d), "n", [Coord("nation", 0, 25), Coord("band", 0, 10)])
+
+
+@query("shape_range", _CUBE + "SELECT nation, band, v FROM c WHERE nation >= 5 AND nation < 12 AND band = 3")
+def shape_range(spark, d):
+    return _cube(spark, d).select(nation=(5, 12), band=3).df
+
+
+@query("shape_shift", _CUBE + "SELECT coalesce(a.nation, b.nation) AS nation, coalesce(a.band, b.band + 1) AS band, a.v - b.v AS v FROM c a FULL JOIN c b ON a.nation = b.nation AND a.band = b.band + 1")
+def shape_shift(spark, d):
+    c = _cube(spark, d)
+    return c.op("SUB", c.shift("band", 1)).df
+
+
+@query("shape_cshift", _CUBE + "SELECT nation, (band + 7) % 10 AS band, v FROM c")
+def shape_cshift(spark, d):
+    return _cube(spark, d).shift("band", -3, cycle=10).df
+
+
+@query("shape_perm", _CUBE + "SELECT band AS level, nation, v FROM c")
+def shape_perm(spark, d):
+    out = _cube(spark, d).permute("band").rename(band="level")
+    return out.df.select(*out.keys, "v")
+
+
+@query("size_expand", "WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS nation, CAST(count(*) AS DOUBLE) AS v FROM customer WHERE c_acctbal >= 0 AND c_acctbal < 10000 GROUP BY ALL) SELECT nation, CAST(level AS BIGINT) AS level, v FROM c, range(4) r(level)")
+def size_expand(spark, d):
+    return _cube(spark, d).reduce("SUM", "band").spread("level", 0, 4).df.select("nation", "level", "v")
+
+
+@query("index_x", _CUBE + "SELECT nation, band, CAST(band AS DOUBLE) AS v FROM c")
+def index_x(spark, d):
+    return _cube(spark, d).index("band").df
+
+
+@query("flat", _CUBE + "SELECT nation, band, CAST(nation + 25 * band AS DOUBLE) AS v FROM c")
+def flat(spark, d):
+    return _cube(spark, d).flat().df
+
+
+@query("flat_permuted", _CUBE + "SELECT nation, band, CAST(band + 10 * nation AS DOUBLE) AS v FROM c")
+def flat_permuted(spark, d):
+    return _cube(spark, d).flat("band", "nation").df
+
+
+_DAYS = "WITH e AS (SELECT date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) AS rec, user_id % 5 AS u, count(*) AS v FROM events GROUP BY ALL) "
+
+
+def _days(spark, d) -> Field:
+    """Events by day, day 0 being the first, and a fifth of the users."""
+    e = _t(spark, d, "events").select(F.to_date("ts").alias("day"), F.pmod("user_id", F.lit(5)).alias("u"))
+    first = e.agg(F.min("day")).first()[0]
+    e = e.groupBy(F.datediff("day", F.lit(first)).cast("long").alias("rec"), "u").agg(F.count("*").alias("n"))
+    return Field.of(e, "n", ["u"], rec="rec")
+
+
+@query("rec_range", _DAYS + "SELECT rec - 2 AS rec, u, CAST(v AS DOUBLE) AS v FROM e WHERE rec >= 2 AND rec < 9")
+def rec_range(spark, d):
+    return _days(spark, d).records(2, 9).df
+
+
+@query("rec_stride", _DAYS + "SELECT rec // 3 AS rec, u, CAST(v AS DOUBLE) AS v FROM e WHERE rec % 3 = 0")
+def rec_stride(spark, d):
+    return _days(spark, d).records(0, None, 3).df
+
+
+@query("rec_multi", _DAYS + "SELECT rec // 5 AS rec, u, rec % 5 AS slot, CAST(v AS DOUBLE) AS v FROM e WHERE rec % 5 < 2")
+def rec_multi(spark, d):
+    return _days(spark, d).records(0, None, 5, 2).df.select("rec", "u", "slot", "v")
+
+
+def _in_step(spark, d, mode):
+    whole = _days(spark, d)
+    few = whole.select(u=0).records(0, 3)
+    a, b = records.in_step([whole, few], ["terminate", mode])
+    return a.op("SUB", b, mode="first").df
+
+
+def _step_sql(rec: str) -> str:
+    return _DAYS + f"SELECT a.rec, a.u, CAST(a.v - b.v AS DOUBLE) AS v FROM e a LEFT JOIN e b ON b.u = 0 AND a.u = 0 AND b.rec = {rec}"
+
+
+@query("rec_cyclic", _step_sql("a.rec % 3"))
+def rec_cyclic(spark, d):
+    return _in_step(spark, d, "cyclic")
+
+
+@query("rec_persist", _step_sql("least(a.rec, 2)"))
+def rec_persist(spark, d):
+    return _in_step(spark, d, "persistent")
+
+
+# -- comparison, regridding, calendars, streams -------------------------------------------------------------------
+
+@query("cmp_files", "WITH r AS (SELECT o_orderkey AS k, o_orderpriority AS p, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS r, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice + o_orderkey % 3 END AS t FROM orders) SELECT p, min(CASE WHEN t IS NOT NULL AND r <> 0 THEN abs(r) END) AS abs_min, max(CASE WHEN t IS NOT NULL THEN abs(r) END) AS abs_max, CAST(round(max(abs(t - r)) * 1e6) AS BIGINT) AS abs_diff, CAST(round(max(CASE WHEN r <> 0 THEN abs((t - r) / r) END) * 1e9) AS BIGINT) AS rel_diff, max(CASE WHEN r = 0 AND t <> 0 THEN abs(t - r) END) AS zero_diff, count(*) FILTER (r IS NOT NULL AND t IS NULL) AS miss_target, count(*) FILTER (r IS NULL AND t IS NOT NULL) AS miss_reference FROM r GROUP BY p")
+def cmp_files(spark, d):
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"), "o_totalprice")
+    r = o.select("k", "p", F.when(F.col("k") % 7 != 0, F.col("o_totalprice")).alias("v"))
+    t = o.where("k % 5 <> 0").select("k", "p", (F.col("o_totalprice") + F.col("k") % 3).alias("v"))
+    got = compare(r, t, ["k", "p"], ["p"])
+    return got.withColumn("abs_diff", F.round(F.col("abs_diff") * 1e6).cast("long")).withColumn("rel_diff", F.round(F.col("rel_diff") * 1e9).cast("long"))
+
+
+_RING = "WITH s AS (SELECT CAST(hour(ts) AS BIGINT) AS h, sum(value) AS v FROM events GROUP BY ALL), w AS (SELECT d AS dst, h AS src, least(h + 1 + k * 24, (d + 1) * 2.4) - greatest(h + k * 24, d * 2.4) AS o FROM range(10) x(d), range(24) y(h), (VALUES (-1), (0), (1)) z(k) WHERE least(h + 1 + k * 24, (d + 1) * 2.4) - greatest(h + k * 24, d * 2.4) > 1e-9) "
+
+
+def _ring(spark, d):
+    src = spark.range(24).select(F.col("id").alias("cell"), F.col("id").cast("double").alias("low"), (F.col("id") + 1.0).alias("high"))
+    dst = spark.range(10).select(F.col("id").alias("cell"), (F.col("id") * 2.4).alias("low"), ((F.col("id") + 1) * 2.4).alias("high"))
+    hours = _t(spark, d, "events").groupBy(F.hour("ts").cast("long").alias("h")).agg(F.sum("value").alias("v"))
+    return hours, overlap_weights(src, dst, 24.0).where("w > 1e-9")
+
+
+@query("regrid_cyclic", _RING + f"SELECT CAST(dst AS BIGINT) AS h, {_cents_sql('sum(o / 2.4 * v)')} AS v FROM w JOIN s ON src = h GROUP BY dst")
+def regrid_cyclic(spark, d):
+    hours, w = _ring(spark, d)
+    return apply_weights(hours, w, "h").select("h", _cents(F.col("v")).alias("v"))
+
+
+@query("spmv", _RING + f", t AS (SELECT CAST(dst AS BIGINT) AS h, sum(o / 2.4 * v) AS v FROM w JOIN s ON src = h GROUP BY dst) SELECT CAST(src AS BIGINT) AS h, {_cents_sql('sum(o / 2.4 * v) / sum(o / 2.4)')} AS v FROM w JOIN t ON dst = h GROUP BY src")
+def spmv(spark, d):
+    """There and back: the transposed weights, normalised."""
+    hours, w = _ring(spark, d)
+    return apply_weights(apply_weights(hours, w, "h"), transposed(w), "h", normalised=True).select("h", _cents(F.col("v")).alias("v"))
+
+
+@query("axis_slope", "WITH s AS (SELECT p_size AS x, avg(p_retailprice) AS v FROM part GROUP BY ALL), n AS (SELECT x, v, x - lag(x) OVER o AS a, lead(x) OVER o - x AS b, lag(v) OVER o AS p, lead(v) OVER o AS q FROM s WINDOW o AS (ORDER BY x)) SELECT x, CAST(round(CASE WHEN a IS NULL THEN (q - v) / b WHEN b IS NULL THEN (v - p) / a ELSE -b / (a * (a + b)) * p + (b - a) / (a * b) * v + a / (b * (a + b)) * q END * 1e4) AS BIGINT) AS slope FROM n")
+def axis_slope(spark, d):
+    s = _t(spark, d, "part").groupBy(F.col("p_size").alias("x")).agg(F.avg("p_retailprice").alias("v")).withColumn("all", F.lit(0))
+    return derivative(s, "x", F.col("x").cast("double"), ["all"]).select("x", _cents(F.col("slope")).alias("slope"))
+
+
+_YMD = "year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d"
+_O = f"WITH o AS (SELECT o_orderkey, {_YMD}, hour(o_orderdate) * 3600 AS s FROM orders) "
+
+
+def _dates(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").cast("long").alias("y"), F.month("o_orderdate").cast("long").alias("m"), F.day("o_orderdate").cast("long").alias("d"), (F.hour("o_orderdate") * 3600).cast("double").alias("s"))
+
+
+def _calendar(kind):
+    def run(spark, d):
+        o = _dates(spark, d).withColumn("day", cal.day_number(F.col("y"), F.col("m"), F.col("d"), kind))
+        y, m, dd = cal.date_of(F.col("day") + 100, kind)
+        return o.select("o_orderkey", "day", y.alias("y2"), m.alias("m2"), dd.alias("d2"))
+
+    return run
+
+
+query("cal_360", _O + "SELECT o_orderkey, y * 360 + (m - 1) * 30 + d AS day, (y * 360 + (m - 1) * 30 + d + 99) // 360 AS y2, (y * 360 + (m - 1) * 30 + d + 99) % 360 // 30 + 1 AS m2, (y * 360 + (m - 1) * 30 + d + 99) % 30 + 1 AS d2 FROM o")(_calendar(cal.IDEAL))
+query("cal_leap", _O + "SELECT o_orderkey, date_diff('day', DATE '0001-01-01', make_date(y, m, d)) + 367 AS day, year(make_date(y, m, d) + 100) AS y2, month(make_date(y, m, d) + 100) AS m2, day(make_date(y, m, d) + 100) AS d2 FROM o")(_calendar(cal.LEAP))
+_B365 = "[0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334]"
+query("cal_365", _O + f", n AS (SELECT o_orderkey, y * 365 + {_B365}[m] + d AS day FROM o), p AS (SELECT o_orderkey, day, (day + 99) // 365 AS y2, (day + 99) % 365 AS r FROM n), q AS (SELECT *, len(list_filter({_B365}, lambda b: b <= r)) AS m2 FROM p) SELECT o_orderkey, day, y2, m2, r - {_B365}[m2] + 1 AS d2 FROM q")(_calendar(cal.NO_LEAP))
+
+
+@query("cal_advance", _O + "SELECT o_orderkey, date_diff('day', DATE '0001-01-01', make_date(y, m, 1)) + date_diff('day', make_date(y, m, 1), make_date(y, m, 1) + INTERVAL 3 MONTH) + d - 1 + 367 AS by_month, date_diff('day', DATE '0001-01-01', make_date(y, m, d)) + 367 + floor((s + 131400.0::DOUBLE) / 86400) AS by_hour, s + 131400.0::DOUBLE - 86400 * floor((s + 131400.0::DOUBLE) / 86400) AS second FROM o")
+def cal_advance(spark, d):
+    o = _dates(spark, d)
+    y, m, dd, s = map(F.col, ("y", "m", "d", "s"))
+    day, second = cal.advance(y, m, dd, s, F.lit(36.5), "H")
+    return o.select("o_orderkey", cal.advance(y, m, dd, s, F.lit(3.7), "MO")[0].alias("by_month"), day.cast("double").alias("by_hour"), second.alias("second"))
+
+
+@query("time_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(value) AS n, CAST(round(sum(value) * 1e4) AS BIGINT) AS total, max(value) AS most FROM events GROUP BY ALL")
+def time_windows(spark, d):
+    got = windowed(_t(spark, d, "events"), keys=["event_type"])
+    return got.select("start", "event_type", "n", _cents(F.col("total")).alias("total"), "most")
+
+
+@query("record_search", "SELECT min(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE))) AS rec FROM events WHERE value > 200")
+def record_search(spark, d):
+    e = _t(spark, d, "events").select(F.to_date("ts").alias("day"), "event_id", "value")
+    first = e.agg(F.min("day")).first()[0]
+    f = Field.of(e.withColumn("n", F.datediff("day", F.lit(first)).cast("long")), "value", ["event_id"], rec="n")
+    return records.first_matching(f, F.col("v") > 200)
+
