@@ -270,7 +270,7 @@ def indexed(found: DataFrame, partitions: int, length: int) -> DataFrame:
             es.append(e)
         e, bodies, later = _split(np.concatenate(es), bodies)
         out = [_marks(later)] if len(later) else []
-        if len(bodies) > 1:
+        if bodies:
             index = RunLengthIndex(bodies)
             copy = index.later_copies(length)
             at, end = runs(copy)
