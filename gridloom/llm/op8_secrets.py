@@ -55,12 +55,12 @@ def extract(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def train(found: DataFrame) -> list[float]:
     """Log-likelihood ratio of each transition, by the two characters' places in ALPHABET; one row a transition reaches the driver.
 
-    Random strings are what the rules found; ordinary ones are the runs of documents in which the rules found nothing,
-    as written, in upper case and in lower case. Each model is mixed half and half with a uniform one, so transitions
+    Random strings are what the rules found; ordinary ones are the runs without digits of documents in which the rules
+    found nothing, as written, in upper case and in lower case. Each model is mixed half and half with a uniform one, so transitions
     not seen tell little, and without samples of a kind its model is uniform.
     """
     secret = found.select(F.lit(1).alias("label"), F.explode("__values").alias("value"))
-    plain = found.where(F.size("__base") == 0).select(F.lit(0).alias("label"), F.explode("__runs.value").alias("value"))
+    plain = found.where(F.size("__base") == 0).select(F.lit(0).alias("label"), F.explode("__runs.value").alias("value")).where(~F.col("value").rlike("[0-9]"))
     plain = plain.select("label", F.explode(F.array("value", F.upper("value"), F.lower("value"))).alias("value"))
     pairs = secret.union(plain).where(F.length("value") > 1).select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.col("value").substr(i, F.lit(2)))).alias("pair"))
     counts: dict[int, dict[str, int]] = {0: {}, 1: {}}
