@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .tokens import default_path, encoder
+from .common import pieces, table
+from .tokens import PIECE, default_path, encoder
 
 LENGTH = 1024
 #: Windows that a task keeps open at most; beyond, those open are filled by cutting, so memory stays bounded.
@@ -123,8 +123,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         def made(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=OUT_ARROW)
 
-        for batch in batches:
-            rows = [p for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in packer.add(d, codes.ids(t) + end)]
+        for batch in pieces(batches, "text", PIECE):
+            rows = [p for d, ids in zip(batch.column(0).to_pylist(), codes.ids(batch.column(1).to_pylist())) for p in packer.add(d, ids + end)]
             if rows:
                 yield made(rows)
         if rows := packer.drain():

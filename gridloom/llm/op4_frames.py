@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, staged, table
-from .tokens import default_path, encoder
+from .common import new_path, pieces, staged, table
+from .tokens import PIECE, default_path, encoder
 
 SKIPPABLE, TABLE, FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NULL_ID = -(1 << 63)
@@ -113,12 +113,12 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         part = TaskContext.get().partitionId()
         name = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.zst"
         fs, target = pafs.FileSystem.from_uri(name)
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for batch in pieces(batches, "text", PIECE):
+            for d, raw in zip(batch.column(0).to_pylist(), codes.ids(batch.column(1).to_pylist())):
                 if out is None:
                     fs.create_dir(target.rpartition("/")[0], recursive=True)
                     out = TokenFileWriter(fs.open_output_stream(target + ".part"), 2 if max(codes.vocabulary, end_id + 1) <= 1 << 16 else 4)
-                ids = np.append(np.frombuffer(codes.ids(t), "<u4"), np.uint32(end_id))
+                ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
                 out.add(d, ids)
                 docs_in, ids_in = docs_in + 1, ids_in + len(ids)
         if out is not None:

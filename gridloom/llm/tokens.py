@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 DEFAULT = "byte_bpe_50k.json"
 #: Stretches kept in a worker, and the longest that is kept.
-MOST_KEPT, LONGEST_KEPT = 1_000_000, 48
+MOST_KEPT, LONGEST_KEPT = 1_500_000, 32
+#: Bytes of text that are split at once.
+PIECE = 1 << 20
+_ENDS = ".,;:!?)]}\"#$%&*|"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -25,7 +27,8 @@ class Encoder:
 
     Its pre-tokenizer always cuts before a space that stands between two characters that aren't white space, so the
     ids of a text are those of its stretches between such spaces, each with its space in front. Stretches recur, and
-    each is encoded by the library once. Strings of special tokens in a text are ordinary text.
+    each is encoded by the library once. Under a key that starts with a zero byte stands what has no space in front;
+    texts with zero bytes are encoded whole. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -37,31 +40,59 @@ class Encoder:
         self.vocabulary = self.library.get_vocab_size()
         self.kept: dict[str, bytes] = {}
 
-    def _learn(self, stretches: list[str]) -> dict[str, bytes]:
-        stretches = list(dict.fromkeys(stretches))
-        found = self.library.encode_batch_fast([" " + x for x in stretches], add_special_tokens=False)
-        out = {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(stretches, found)}
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: set[str]) -> None:
+        """Keep the ids of ``keys``. What they end in is cut off: between a letter or digit and one of _ENDS is a cut, too."""
+        kept = self.kept
+        plain, parts = [], []
+        for x in keys:
+            core = x.rstrip(_ENDS)
+            if x[:1] != "\0" and core and core != x and core[-1].isalnum():
+                parts.append((x, core, "\0" + x[len(core) :]))
+            else:
+                plain.append(x)
+        wanted = {y for _, c, t in parts for y in (c, t)}.difference(kept, plain)
+        wanted = [*plain, *wanted]
+        kept.update(zip(wanted, self._encode([x[1:] if x[:1] == "\0" else " " + x for x in wanted])))
+        for x, c, t in parts:
+            kept[x] = kept[c] + kept[t]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         if len(self.kept) > MOST_KEPT:
             self.kept.clear()
-        self.kept.update((x, b) for x, b in out.items() if len(x) <= LONGEST_KEPT)
+        rows: list[list[str]] = []
+        odd: dict[int, str] = {}
+        seen: set[str] = set()
+        for i, text in enumerate(texts):
+            text = text or ""
+            if "\0" in text:
+                odd[i], text = text, ""
+            row = text.split(" ")
+            row[0] = "\0" + row[0]
+            seen.update(row)
+            rows.append(row)
+        missing = seen.difference(self.kept)
+        strange = {x for x in missing if not x or x[0].isspace() or x[-1].isspace() or x == "\0"}
+        if strange:
+            for i, row in enumerate(rows):
+                if len(row) > 1 and not strange.isdisjoint(row):
+                    row[:] = _CUT.split(texts[i])
+                    row[0] = "\0" + row[0]
+                    missing.update(x for x in row if x not in self.kept)
+            missing -= strange.difference(x for row in rows for x in row)
+        self._learn(missing)
+        find = self.kept.__getitem__
+        out = [b"".join(map(find, row)) for row in rows]
+        for i, text in odd.items():
+            out[i] = self._encode([text])[0]
+        for x in missing:
+            if len(x) > LONGEST_KEPT or x in strange:
+                self.kept.pop(x, None)
         return out
 
-    def ids(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        found = list(map(self.kept.get, rest))
-        if None in found or not first or first[-1].isspace():
-            if not first or first[-1].isspace() or any(b is None and (not x or x[0].isspace() or x[-1].isspace()) for x, b in zip(rest, found)):
-                first, *rest = _CUT.split(text)
-                found = list(map(self.kept.get, rest))
-            if missing := [x for x, b in zip(rest, found) if b is None]:
-                new = self._learn(missing)
-                found = [new[x] if b is None else b for x, b in zip(rest, found)]
-        head = np.array(self.library.encode(first, add_special_tokens=False).ids, "<u4").tobytes()
-        return head + b"".join(found)
-
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
