@@ -41,7 +41,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     The sample is bounded: of each language the ``sample_docs`` documents of the smallest hash of their id, thinned on
     the executors by the language's own count, and of those ``dict_bytes`` at most.
     """
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
+    part = F.substring(F.col(text_col), 1, dict_bytes)  # no dictionary holds more of one text
+    rows = docs.select(F.col(lang_col).alias("lang"), part.alias("text"), F.xxhash64(F.col(id_col)).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():

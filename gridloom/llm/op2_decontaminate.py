@@ -151,4 +151,29 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH items AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark
+), windows AS (
+    SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS s
+    FROM items, unnest(generate_series(1, greatest(len(w) - 9, 1))) t(k) WHERE len(w) > 0
+), docs AS (
+    SELECT doc_id, {_WORDS} AS w FROM documents
+), places AS (
+    SELECT doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') AS s
+    FROM docs, (SELECT DISTINCT size FROM windows), unnest(generate_series(1, len(w) - size + 1)) t(k)
+), met AS (
+    SELECT doc_id, k, size, item FROM places JOIN windows USING (size, s)
+), hits AS (
+    SELECT doc_id, count(DISTINCT k + o) AS n_hit FROM (SELECT DISTINCT doc_id, k, size FROM met), unnest(generate_series(0, size - 1)) t(o) GROUP BY doc_id
+), found AS (
+    SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS sha FROM met GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

@@ -16,7 +16,7 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints.query,
     "op10_language": op10_language.query,
 }
-SQL = {"op7_urls": op7_urls.SQL}
+SQL = {"op2_decontaminate": op2_decontaminate.SQL, "op5_jaccard": op5_jaccard.SQL, "op7_urls": op7_urls.SQL}
 
 
 def pipeline(spark, sf_dir):
