@@ -10,6 +10,10 @@ from .common import staged, table
 SAMPLES = 32
 #: Ids that go to one group of the window which finds each document's neighbour.
 IDS_A_BUCKET = 1024
+#: Buckets (32 bytes each) up to which their table is broadcast to find their first documents; beyond, it is shuffled.
+BROADCAST_BUCKETS = 1 << 18
+#: Partitions of texts for each one of the session's: terms take many times the room of their text.
+FINER = 4
 _BITS = 21
 
 
@@ -68,9 +72,11 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follow = tops.select(F.col("bucket").alias("shown_in"), F.coalesce(F.lead(F.struct("bucket", "doc_id")).over(order), F.first(F.struct("bucket", "doc_id")).over(whole)).alias("f"))
     follow = follow.select("shown_in", F.col("f.bucket").alias("bucket"), F.col("f.doc_id").alias("doc_id"))
+    follow = F.broadcast(follow) if tops.count() <= BROADCAST_BUCKETS else follow
     shown = rows.join(follow.select("bucket", F.col("doc_id").alias("top"), "shown_in"), (rows["bucket"] == follow["bucket"]) & rows["doc_id"].eqNullSafe(F.col("top"))).select("shown_in", rows["bucket"].alias("of_bucket"), "doc_id", "text")
     shown = shown.groupBy("shown_in", "of_bucket", "doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
     both = rows.select("bucket", "doc_id", "text", F.lit(0).alias("guest"), F.col("bucket").alias("of_bucket")).union(shown.select("shown_in", "doc_id", "text", F.lit(1), "of_bucket"))
+    both = both.repartition(FINER * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
     at = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text")))
     half = F.floor(F.length("text") / 2).cast("int")
     seen = both.select(
@@ -85,18 +91,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null texts count as empty; an empty text has one term, the empty one, so two empty texts are alike. A single
-    document is its own next. Texts are shuffled once, by bucket; terms, samples and windows all stay there. Signatures
-    are staged and joined with those of the next documents by place.
+    document is its own next. Texts are dealt by bucket; terms, samples and windows all stay there. That is done twice,
+    for what is known of a document and for its signatures, so that nothing but numbers goes through the aggregation
+    of terms; both are staged, and signatures are joined with those of the next documents by place.
     """
     pairs = edited_pairs(docs, id_col, text_col)
-    keys = ["bucket", "place", "doc_id", "next_bucket", "next_place", "n_chars", "edited_sha256"]
-    info = pairs.select("bucket", "place", "doc_id", "next_bucket", "next_place", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t"))).alias("both"))
-    texts = info.select(*keys, F.inline("both"))
-    drawn = signatures(texts, [*keys, "which"], "t", samples)
-    one = lambda w: F.max(F.when(F.col("which") == w, F.col("signature")))
-    found = staged(drawn.groupBy(*keys).agg(one(0).alias("own"), one(1).alias("other")), "fingerprints")
-    following = found.select(F.col("bucket").alias("next_bucket"), F.col("place").alias("next_place"), F.col("own").alias("following"))
-    joined = found.join(following, ["next_bucket", "next_place"])
+    place = ["bucket", "place"]
+    info = pairs.select(*place, "doc_id", "next_bucket", "next_place", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    info = staged(info, "fingerprints-info")
+    both = pairs.select(*place, F.inline(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))))
+    drawn = staged(signatures(both, [*place, "which"], "t", samples), "fingerprints-drawn")
+    own = drawn.where("which = 0").select(*place, F.col("signature").alias("own"))
+    other = drawn.where("which = 1").select(*place, F.col("signature").alias("other"))
+    following = own.select(F.col("bucket").alias("next_bucket"), F.col("place").alias("next_place"), F.col("own").alias("following"))
+    joined = info.join(own, place).join(other, place).join(following, ["next_bucket", "next_place"])
     return joined.select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "following").alias("near_next"))
 
 
