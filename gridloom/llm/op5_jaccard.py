@@ -16,6 +16,10 @@ MOST_FREQUENT = 1 << 17
 #: Sets that one trie holds, entries of a block in which all are compared, and members that go with one copy of a centre.
 TRIE_SETS, BLOCK, CHUNK = 256, 2048, 512
 PIECE = 2 << 20
+#: Rows of ids (32 bytes at most) up to which they are broadcast to find their texts; beyond, texts are shuffled to them.
+BROADCAST_IDS = 1 << 20
+#: First prefix shingles that a member carries, to tell in which of their shingles' groups a pair is looked at.
+LEADS = 8
 
 
 def needed(nx: int, ny: int, num: int, den: int) -> int:
@@ -59,9 +63,14 @@ def trie_join(probe: np.ndarray, sets: list[np.ndarray], num: int, den: int) ->
     return out
 
 
+def shared_prefix(n):
+    """How many prefix shingles linked sets share at least, the smaller of theirs: prefixes are longer by one less."""
+    return 1 + np.minimum(7, np.asarray(n) // 16)
+
+
 def _ordered_prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first n - ceil(t n) + 1 shingles in the global order: rare ones by hash, then frequent ones by count."""
-    size = len(s) - -(-num * len(s) // den) + 1
+    """The first n - ceil(t n) + shared_prefix(n) shingles in the global order: rare ones by hash, then frequent ones by count."""
+    size = len(s) - -(-num * len(s) // den) + int(shared_prefix(len(s)))
     if not len(frequent):
         return s[:size]
     place = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
@@ -122,14 +131,12 @@ def _members(e: np.ndarray, first: np.ndarray) -> dict:
     return {"h": pa.array(e["h"].view(np.int64) if e["h"].flags.c_contiguous else np.ascontiguousarray(e["h"]).view(np.int64)), "ref": pa.array(np.ascontiguousarray(e["ref"])), "ref_n": pa.array(e["n"].astype(np.int64)), "center": pa.array(np.ascontiguousarray(c["ref"])), "center_n": pa.array(c["n"].astype(np.int64))}
 
 
-def post(rows: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
+def post(rows: DataFrame, frequent, rank, n: int, num: int, den: int, buckets: int) -> DataFrame:
     """One pass over the texts: a row for each document (doc_id, n, twin: an equal set of its batch), and prefix entries.
 
     Of several documents of a batch with one prefix shingle, only the first goes to the shingle's bucket; all of them
     are given out as members at once. So a shingle that a third of all documents share sends one entry a batch.
     """
-    frequent, rank = (rows.sparkSession.sparkContext.broadcast(x) for x in frequent_shingles(rows, n))
-
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -176,13 +183,18 @@ def candidates(posted: DataFrame, partitions: int) -> DataFrame:
     return staged(met.union(own), "jaccard-members")
 
 
+def _near(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast, if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def verify(pairs: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (center, ref) that are links, as (a, b): each centre meets its members in chunks, and their trie in one task."""
-    pairs = staged(pairs.where("center <> ref").distinct(), "jaccard-pairs")
     chunks = pairs.groupBy("center").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     dealt = pairs.join(chunks, "center").select("center", F.pmod(F.xxhash64("ref"), "chunks").cast("int").alias("chunk"), "ref")
     wanted = dealt.union(chunks.select("center", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), F.lit(None).cast("long")))
-    texts = wanted.withColumn("doc_id", F.coalesce("ref", "center")).join(rows.where("doc_id IS NOT NULL"), "doc_id").select("center", "chunk", "ref", "text")
+    wanted = _near(staged(wanted.withColumn("doc_id", F.coalesce("ref", "center")), "jaccard-wanted"))
+    texts = wanted.join(rows.where("doc_id IS NOT NULL"), "doc_id").select("center", "chunk", "ref", "text")
 
     def run(batches):
         center, probe, members = None, [], []
@@ -225,30 +237,46 @@ def _folded(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def leftover_pairs(members: DataFrame, labels: DataFrame, rows: DataFrame, n: int, num: int, den: int, forest: bool) -> DataFrame:
+def leftover_pairs(members: DataFrame, labels: DataFrame, rows: DataFrame, frequent, rank, n: int, num: int, den: int, forest: bool) -> DataFrame:
     """Pairs of different components that share a prefix shingle and whose sketches allow a link.
 
-    Only shingles that still join several components are looked at. Their members are compared in blocks; two sets
-    differ in at least as many shingles as their parity sketches differ in places, which refutes nearly all pairs that
-    aren't links without either's set. With ``forest``, a block gives out no more pairs than connect its members.
+    Only shingles that still join several components are looked at, and only documents with as many such shingles as
+    linked ones share. Their members are compared in blocks, a pair in the group of the first shingle that they share
+    among their first LEADS; two sets differ in at least as many shingles as their parity sketches differ in places,
+    which refutes nearly all pairs that aren't links without either's set. With ``forest``, a block gives out no more
+    pairs than connect its members.
     """
     known = members.select("h", "ref", "ref_n").distinct().join(labels.select(F.col("node").alias("ref"), "component"), "ref", "left")
-    known = known.select("h", "ref", "ref_n", F.coalesce("component", "ref").alias("component"))
-    split = known.groupBy("h").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_ = staged(known.join(split.select("h", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "h"), "jaccard-open")
+    known = staged(known.select("h", "ref", "ref_n", F.coalesce("component", "ref").alias("component")), "jaccard-open")
+    groups = lambda df: df.groupBy("h").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    some = known.join(groups(known).select("h"), "h")
+    smallest = F.floor((F.col("ref_n") * num + den - 1) / den)  # of a linked set
+    enough = some.groupBy("ref").agg(F.count("*").alias("k"), F.first("ref_n").alias("ref_n")).where(F.col("k") >= 1 + F.least(F.lit(7), F.floor(smallest / 16))).select("ref")
+    some = staged(some.join(enough, "ref"), "jaccard-open")
+    open_ = staged(some.join(groups(some).select("h", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "h"), "jaccard-open")
 
     def sketches(batches):
         for batch in batches:
             for part in pieces([batch], "text", PIECE):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_sketch(s) for s in shingle_sets(part.column(1).to_pylist(), n)], pa.binary())], names=["ref", "sketch"])
+                sets = shingle_sets(part.column(1).to_pylist(), n)
+                leads = [_ordered_prefix(s, frequent.value, rank.value, num, den)[:LEADS].tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_sketch, sets), pa.binary()), pa.array(leads, pa.binary())], names=["ref", "sketch", "leads"])
 
-    wanted = rows.join(open_.select(F.col("ref").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sketched = wanted.mapInArrow(sketches, "ref long, sketch binary")
+    wanted = _near(staged(open_.select(F.col("ref").alias("doc_id")).distinct(), "jaccard-wanted"))
+    sketched = rows.join(wanted, "doc_id", "left_semi").mapInArrow(sketches, "ref long, sketch binary, leads binary")
     block = F.pmod(F.xxhash64("ref"), "blocks").cast("int")
     dealt = open_.join(sketched, "ref").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ref", "ref_n", "component", "sketch")
+    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ref", "ref_n", "component", "sketch", "leads")
+
+    def before(raw: bytes, h: int) -> np.ndarray:
+        """The first shingles that come before h, and zeros."""
+        lead = np.frombuffer(raw, np.int64)
+        at = np.flatnonzero(lead == h)
+        out = np.zeros(LEADS, np.int64)
+        out[: at[0] if len(at) else len(lead)] = lead[: at[0] if len(at) else None]
+        return out
 
-    def compared(rows_):
+    def compared(h, rows_):
         """Of one (h, i, j): the surviving pairs."""
         order = sorted(range(len(rows_)), key=lambda r: rows_[r][2])
         size = np.array([rows_[r][2] for r in order])
@@ -258,6 +286,7 @@ def leftover_pairs(members: DataFrame, labels: DataFrame, rows: DataFrame, n: in
         sizes = [len(rows_[r][4]) for r in order]
         by_size = {w: np.vstack([_folded(np.frombuffer(rows_[r][4], np.uint8)[None], w)[0] if len(rows_[r][4]) >= w else np.zeros(w, np.uint8) for r in order]) for w in set(sizes)}
         root = {c: c for c in set(comp.tolist())}
+        leads = np.vstack([before(rows_[r][7], h) for r in order])
 
         def find(c):
             while root[c] != c:
@@ -271,6 +300,8 @@ def leftover_pairs(members: DataFrame, labels: DataFrame, rows: DataFrame, n: in
             y = y[comp[y] != comp[x]]
             if cross:
                 y = y[side[y] != side[x]]
+            for g in leads[x][leads[x] != 0]:  # seen there
+                y = y[~(leads[y] == g).any(axis=1)]
             if not len(y):
                 continue
             w = sizes[x]
@@ -292,17 +323,17 @@ def leftover_pairs(members: DataFrame, labels: DataFrame, rows: DataFrame, n: in
         for batch in batches:
             out = []
             for row in zip(*(x.to_pylist() for x in batch.columns)):
-                h, i, j, own, ref, size, comp, sketch = row
+                h, i, j, own, ref, size, comp, sketch, lead = row
                 if (h, i, j) != key:
-                    out += compared(held) if held else []
+                    out += compared(key[0], held) if held else []
                     key, held = (h, i, j), []
-                held.append((own, ref, size, comp, sketch, i, j))
+                held.append((own, ref, size, comp, sketch, i, j, lead))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["center", "ref"])
-        if held and (out := compared(held)):
+        if held and (out := compared(key[0], held)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["center", "ref"])
 
-    met = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").select("h", "i", "j", "own", "ref", "ref_n", "component", "sketch")
+    met = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").select("h", "i", "j", "own", "ref", "ref_n", "component", "sketch", "leads")
     return met.mapInArrow(run, "center long, ref long")
 
 
@@ -314,23 +345,30 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     have none and link with nothing, as do null ids, whose component is null. Repeated rows each give a row; rows that
     share an id are one node of the links.
 
-    Linked sets share one of the first n - ceil(t n) + 1 shingles of a global order. (1) All documents of a prefix
-    shingle are compared with its smallest, so families of copies come together by as many pairs as members, not all
-    pairs. (2) Where a shingle still joins different components, members of different ones are compared: first by
+    Linked sets share k of the first n - ceil(t n) + k shingles of a global order. (1) Documents are compared with the
+    smallest one of their prefix shingles, where they meet it in several, so families of copies come together by as
+    many pairs as members, not all pairs. (2) Where a shingle still joins different components, members of different ones are compared: first by
     sketches that bound the overlap, then by their sets, as a forest first and then all that are left. Nothing that
     the bounds allow is skipped, so no link between components is lost.
     """
+    if 8 * num < den:
+        raise ValueError("thresholds under 1/8 would make prefixes of nearly whole sets")
     rows = _rows(docs, id_col, text_col)
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = post(rows, n, num, den, 4 * partitions)
+    frequent, rank = (spark.sparkContext.broadcast(x) for x in frequent_shingles(rows, n))
+    posted = post(rows, frequent, rank, n, num, den, 4 * partitions)
     members = candidates(posted, partitions)
     similar = members.where(F.least("ref_n", "center_n") * den >= F.greatest("ref_n", "center_n") * num)
     links = posted.where("doc_id IS NOT NULL AND twin <> doc_id").select(F.col("doc_id").alias("a"), F.col("twin").alias("b"))
-    links = staged(links.union(verify(similar.select("center", "ref"), rows, n, num, den)), "jaccard-links")
+    often = similar.where("center <> ref").groupBy("center", "ref").agg(F.count("*").alias("k"), F.first("ref_n").alias("n")).where(F.col("k") >= 1 + F.least(F.lit(3), F.floor(F.col("n") / 32)))
+    links = staged(links.union(verify(staged(often.select("center", "ref"), "jaccard-pairs"), rows, n, num, den)), "jaccard-links")
     labels = components(links)
     for forest in (True, False):
-        more = staged(verify(leftover_pairs(members, labels, rows, n, num, den, forest), rows, n, num, den), "jaccard-links")
+        pairs = staged(leftover_pairs(members, labels, rows, frequent, rank, n, num, den, forest).distinct(), "jaccard-pairs")
+        if pairs.isEmpty():
+            break
+        more = staged(verify(pairs, rows, n, num, den), "jaccard-links")
         if more.isEmpty():
             continue
         links = links.union(more)
@@ -343,7 +381,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` whose id is the smallest of its component; of rows that share an id, one. Null ids stay."""
     kept = staged(join(docs, id_col, text_col, n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")), "jaccard-kept")
     keyed = docs.withColumn("__kept", F.col(id_col).cast("long"))
-    found = keyed.where("__kept IS NOT NULL").join(kept.distinct(), "__kept", "left_semi")
+    found = keyed.where("__kept IS NOT NULL").join(_near(kept.distinct()), "__kept", "left_semi")
     if not kept.groupBy("__kept").count().where("count > 1").isEmpty():
         found = found.dropDuplicates(["__kept"])
     own = [F.col(f"`{c}`") for c in docs.columns]
@@ -352,3 +390,25 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[k:k + 3], ' ') AS g
+    FROM words, unnest(generate_series(1, greatest(len(w) - 3, 1))) t(k) WHERE len(w) > 0
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both_have >= 85 * (x.n + y.n - both_have)
+), either AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN either e ON e.a = r.other
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)
+"""
