@@ -45,9 +45,14 @@ def _by_doc(doc: np.ndarray, tag: np.ndarray, body: np.ndarray) -> tuple[list, l
     return doc[cut].tolist(), tag[cut].astype(np.int64).tolist(), [x.tobytes() for x in np.split(body, cut[1:])] if len(cut) else []
 
 
-def _doc_rows(doc, tag, body) -> pa.RecordBatch:
+def _doc_rows(doc, tag, body, buckets: int) -> pa.RecordBatch:
+    """What is already known of documents goes along with the payloads of any bucket, dealt by document."""
     d, t, p = _by_doc(doc, tag, body)
-    return pa.RecordBatch.from_arrays([pa.nulls(len(d), pa.int32()), pa.nulls(len(d), pa.binary()), pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(p, pa.binary())], schema=BLOB_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array([x % buckets for x in d], pa.int32()), pa.nulls(len(d), pa.binary()), pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(p, pa.binary())], schema=BLOB_ARROW)
+
+
+def _known(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.filter(batch.column("payload").is_null()).select(["doc_id", "tag", "places"])
 
 
 def _doc_only(doc, tag, body) -> pa.RecordBatch:
@@ -160,11 +165,11 @@ def anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
             e["known"][lead] |= np.diff(np.append(lead, len(e))) > 1
             if len(lead) < len(e):
                 more = e[~new]
-                yield _doc_rows(more["doc"], more["tag"], _places(more))
+                yield _doc_rows(more["doc"], more["tag"], _places(more), buckets)
             b, parts = _bucketed(e[lead], buckets)
             yield _blob_rows(b, [_columns(x) for x in parts])
 
-    return staged(rows.mapInArrow(run, BLOB), "repeats-anchors")
+    return rows.mapInArrow(run, BLOB)
 
 
 def _places(e: np.ndarray) -> np.ndarray:
@@ -178,7 +183,10 @@ def recurring(found: DataFrame, partitions: int) -> DataFrame:
     """Rows (doc_id, tag, places): the stretches whose hash occurs elsewhere too."""
 
     def run(batches):
-        e = [x for batch in batches for raw in batch.column(0).to_pylist() for x in [_entries(raw, ANCHOR)[0]]]
+        e = []
+        for batch in batches:
+            e += [_entries(raw, ANCHOR)[0] for raw in batch.column("payload").drop_null().to_pylist()]
+            yield _known(batch)
         e = np.concatenate(e) if e else np.zeros(0, ANCHOR)
         e = e[np.argsort(e["h"], kind="stable")]
         new = np.concatenate(([True], e["h"][1:] != e["h"][:-1])) if len(e) else np.zeros(0, bool)
@@ -187,9 +195,8 @@ def recurring(found: DataFrame, partitions: int) -> DataFrame:
         if again.any():
             yield _doc_only(e["doc"][again], e["tag"][again], _places(e[again]))
 
-    met = found.where("bucket IS NOT NULL").repartition(partitions, "bucket").select("payload").mapInArrow(run, BY_DOC)
-    own = found.where("bucket IS NULL").select("doc_id", "tag", "places")
-    return staged(met.union(own).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "places")).alias("places")), "repeats-places")
+    met = found.repartition(partitions, "bucket").mapInArrow(run, BY_DOC)
+    return staged(met.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "places")).alias("places")), "repeats-places")
 
 
 def segments(rows: DataFrame, places: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -219,7 +226,7 @@ def segments(rows: DataFrame, places: DataFrame, length: int, buckets: int) -> D
                     continue
                 yield from _first_ones(np.concatenate(found), bodies, buckets)
 
-    return staged(joined.mapInArrow(run, BLOB), "repeats-segments")
+    return joined.mapInArrow(run, BLOB)
 
 
 def _split(e: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -236,16 +243,16 @@ def _split(e: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, list[bytes],
     return e[keep], [bodies[i] for i in keep.tolist()], e[same]
 
 
-def _marks(e: np.ndarray) -> pa.RecordBatch:
+def _whole(e: np.ndarray) -> np.ndarray:
     m = np.empty(len(e), MARK)
     m["start"], m["end"] = e["start"], e["start"] + e["size"]
-    return _doc_rows(e["doc"], e["tag"], m)
+    return m
 
 
 def _first_ones(e: np.ndarray, bodies: list[bytes], buckets: int):
     e, bodies, later = _split(e, bodies)
     if len(later):
-        yield _marks(later)
+        yield _doc_rows(later["doc"], later["tag"], _whole(later), buckets)
     b = (e["h"] % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(b, kind="stable")
     e, b, bodies = e[order], b[order], [bodies[i] for i in order.tolist()]
@@ -269,7 +276,7 @@ def indexed(found: DataFrame, partitions: int, length: int) -> DataFrame:
             bodies += [rest[a:b] for a, b in zip([0, *ends], ends)]
             es.append(e)
         e, bodies, later = _split(np.concatenate(es), bodies)
-        out = [_marks(later)] if len(later) else []
+        out = [_doc_only(later["doc"], later["tag"], _whole(later))] if len(later) else []
         if bodies:
             index = RunLengthIndex(bodies)
             copy = index.later_copies(length)
@@ -279,13 +286,15 @@ def indexed(found: DataFrame, partitions: int, length: int) -> DataFrame:
                 m = np.empty(len(at), MARK)
                 m["start"] = e["start"][s] + (at - index.start[s])
                 m["end"] = e["start"][s] + (end - 1 - index.start[s]) + length
-                out.append(_doc_rows(e["doc"][s], e["tag"][s], m))
-        return [x.select(["doc_id", "tag", "places"]) for x in out]
+                out.append(_doc_only(e["doc"][s], e["tag"][s], m))
+        return out
 
     def run(batches):
         bucket, held = None, []
         for batch in batches:
-            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield _known(batch)
+            batch = batch.filter(batch.column("payload").is_valid())
+            for b, raw in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist()):
                 if held and b != bucket:
                     yield from one(held)
                     held = []
@@ -294,9 +303,7 @@ def indexed(found: DataFrame, partitions: int, length: int) -> DataFrame:
         if held:
             yield from one(held)
 
-    met = found.where("bucket IS NOT NULL").repartition(partitions, "bucket").sortWithinPartitions("bucket").select("bucket", "payload").mapInArrow(run, BY_DOC)
-    own = found.where("bucket IS NULL").select("doc_id", "tag", "places")
-    return staged(met.union(own), "repeats-marks")
+    return staged(found.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, BY_DOC), "repeats-marks")
 
 
 def cleaned(rows: DataFrame, marks: DataFrame) -> DataFrame:
