@@ -42,9 +42,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    time.sleep(0.3)  # until Spark's listeners have let go of the plan, which holds the shuffles
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Spark's listeners let go of a plan, which holds its shuffles, a moment after it ran
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
