@@ -18,11 +18,15 @@ from .shingles import mix
 GRAM = 32
 #: Windows that one stretch has at most, and bytes of text hashed at once.
 STRETCH, PIECE = 1024, 1 << 20
+#: Bytes of stretches in one index, as counted before equal ones of different batches meet. Where one hash alone has
+#: more, its windows are dealt one by one instead, by a hash of all their bytes.
+MOST_BYTES = 2 << 20
 NULL_ID = -(1 << 63)
 
-ANCHOR = np.dtype([("h", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("n", "<u2"), ("known", "u1")])
+ANCHOR = np.dtype([("h", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("n", "<u2"), ("known", "u1"), ("more", "<u4")])
 PLACE = np.dtype([("h", "<u8"), ("start", "<u4"), ("n", "<u2")])
 SEGMENT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("size", "<u4")])
+WINDOW = np.dtype([("h", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4")])
 MARK = np.dtype([("start", "<u4"), ("end", "<u4")])
 
 BLOB = "bucket int, payload binary, doc_id long, tag long, places binary"
@@ -70,26 +74,32 @@ def _over(x: np.ndarray, size: int, best) -> np.ndarray:
     return x
 
 
+def _hashes(raw: bytes, size: int, by: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """A hash of the ``size`` bytes from each place on."""
+    with np.errstate(over="ignore"):
+        h, have = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1), 1
+        while have < size:  # of twice the bytes, or of what is still wanting, by laying two over each other
+            step = min(have, size - have)
+            left = h[: len(h) - step] * np.uint64(by)
+            left ^= left >> np.uint64(29)
+            left += h[step:] * np.uint64(0xBF58476D1CE4E5B9)
+            h, have = left, have + step
+        return mix(h)
+
+
 def stretches(raws: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """Cut the windows of ``length`` bytes of each text into runs of equal smallest gram hash.
 
-    Returns hash, text, first window, number of windows, and whether that gram occurs twice in the run. Equal windows
-    have equal hashes, wherever they are; those of one run hold the gram at two places.
+    Returns hash, text, first window, number of windows, whether that gram occurs twice in the run, and a sum over all
+    grams, by which runs of different bytes can be told apart. Equal windows have equal hashes, wherever they are;
+    those of one run hold the gram at two places.
     """
     raw = b"".join(raws)
     n = len(raw)
     gram = min(GRAM, length)
     if n < length:
-        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4)
-    with np.errstate(over="ignore"):
-        h, have = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1), 1
-        while have < gram:  # grams of twice the bytes, or of what is still wanting, by laying two over each other
-            step = min(have, gram - have)
-            left = h[: len(h) - step] * np.uint64(0x9E3779B97F4A7C15)
-            left ^= left >> np.uint64(29)
-            left += h[step:] * np.uint64(0xBF58476D1CE4E5B9)
-            h, have = left, have + step
-        h = mix(h)
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4, np.zeros(0, np.uint64))
+    h = _hashes(raw, gram)
     grams = length - gram + 1
     g, h = h, _over(h, grams, np.minimum)
     edge = np.zeros(grams - 1, np.uint64)
@@ -110,7 +120,9 @@ def stretches(raws: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     spots = np.sort((which.astype(np.int64) << 32) | least)
     begin = (np.searchsorted(known, value) << 32) | (first[text[cut]] + at[cut])
     twice = np.searchsorted(spots, begin + count + grams - 1) - np.searchsorted(spots, begin) > 1
-    return value, text[cut], at[cut], count, twice
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(g, dtype=np.uint64)))
+    begin = first[text[cut]] + at[cut]
+    return value, text[cut], at[cut], count, twice, total[begin + count + grams - 1] - total[begin]
 
 
 def _bucketed(e: np.ndarray, buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -143,27 +155,41 @@ def _raws(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return ids, raws, np.array([zlib.crc32(r) for r in raws], np.int64)
 
 
+def _different(e: np.ndarray, whole: np.ndarray, new: np.ndarray, length: int) -> np.ndarray:
+    """For each hash of ``e``, which is in its order: the bytes of its different stretches but one."""
+    group = np.cumsum(new) - 1
+    many = np.flatnonzero(np.bincount(group)[group] > 1)
+    many = many[np.lexsort((e["n"][many], whole[many], group[many]))]
+    a, b = many[1:], many[:-1]
+    other = a[(group[a] == group[b]) & ((whole[a] != whole[b]) | (e["n"][a] != e["n"][b]))]
+    size = np.bincount(group[other], e["n"][other].astype(np.int64) + length - 1, group[-1] + 1)
+    return np.minimum(size, 0xFFFFFFFF).astype(np.uint32)
+
+
 def anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Of each stretch its hash and place. Of a batch's stretches of one hash, the first goes to the hash's bucket, the
-    others, which are known to recur, straight to their documents."""
+    """Of each stretch its hash and place. Of a batch's stretches of one hash, the first goes to the hash's bucket, with
+    the bytes that the different ones among the others have; those, which are known to recur, go straight to their documents."""
 
     def run(batches):
         for batch in batches:
-            found = []
+            found, sums = [], []
             for part in pieces([batch], "text", PIECE):
                 ids, raws, tags = _raws(part)
-                h, text, at, n, twice = stretches(raws, length)
+                h, text, at, n, twice, whole = stretches(raws, length)
                 e = np.zeros(len(h), ANCHOR)
                 e["h"], e["doc"], e["tag"], e["start"], e["n"], e["known"] = h, ids[text], tags[text], at, n, twice
                 found.append(e)
+                sums.append(whole)
             e = np.concatenate(found) if found else np.zeros(0, ANCHOR)
             if not len(e):
                 continue
-            e = e[np.argsort(e["h"], kind="stable")]
+            order = np.argsort(e["h"], kind="stable")
+            e, whole = e[order], np.concatenate(sums)[order]
             new = np.concatenate(([True], e["h"][1:] != e["h"][:-1]))
             lead = np.flatnonzero(new)
             e["known"][lead] |= np.diff(np.append(lead, len(e))) > 1
             if len(lead) < len(e):
+                e["more"][lead] = _different(e, whole, new, length)
                 more = e[~new]
                 yield _doc_rows(more["doc"], more["tag"], _places(more), buckets)
             b, parts = _bucketed(e[lead], buckets)
@@ -179,8 +205,9 @@ def _places(e: np.ndarray) -> np.ndarray:
     return out
 
 
-def recurring(found: DataFrame, partitions: int) -> DataFrame:
-    """Rows (doc_id, tag, places): the stretches whose hash occurs elsewhere too."""
+def recurring(found: DataFrame, partitions: int, length: int, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Rows (doc_id, places): the stretches whose hash occurs elsewhere too; under a null doc_id, the hashes whose
+    stretches have more than ``most_bytes``."""
 
     def run(batches):
         e = []
@@ -194,6 +221,10 @@ def recurring(found: DataFrame, partitions: int) -> DataFrame:
         again = (np.bincount(group)[group] > 1) | (e["known"] > 0) if len(e) else new
         if again.any():
             yield _doc_only(e["doc"][again], e["tag"][again], _places(e[again]))
+        size = np.bincount(group, e["n"] + (e["more"] + (length - 1.0))) if len(e) else np.zeros(0)
+        if (size > most_bytes).any():
+            hot = np.ascontiguousarray(e["h"][new][size > most_bytes]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([hot], pa.binary())], names=["doc_id", "tag", "places"])
 
     met = found.repartition(partitions, "bucket").mapInArrow(run, BY_DOC)
     return staged(met.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "places")).alias("places")), "repeats-places")
@@ -202,8 +233,13 @@ def recurring(found: DataFrame, partitions: int) -> DataFrame:
 def segments(rows: DataFrame, places: DataFrame, length: int, buckets: int) -> DataFrame:
     """The bytes of the recurring stretches by bucket of their hash; of equal ones of a batch only the first.
 
-    All windows of an equal stretch that comes later are copies, so those are marked at once.
+    All windows of an equal stretch that comes later are copies, so those are marked at once. Hashes with too many
+    bytes for an index (eight bytes are broadcast for each, and each stands for ``MOST_BYTES`` of text) give no
+    stretches but their windows, by bucket of the hash of the window, from ``buckets`` on; those of a batch are
+    treated alike.
     """
+    hot = [x["places"] for r in places.where("doc_id IS NULL").select("places").collect() for x in r["places"]]
+    held = rows.sparkSession.sparkContext.broadcast(np.unique(np.frombuffer(b"".join(hot), "<u8")))
     keyed = rows.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID)))
     joined = keyed.join(places.withColumnRenamed("doc_id", "key"), "key").select("doc_id", "text", "places")
 
@@ -224,7 +260,13 @@ def segments(rows: DataFrame, places: DataFrame, length: int, buckets: int) -> D
                     bodies += [raw[a : a + s] for a, s in zip(p["start"].tolist(), e["size"].tolist())]
                 if not found:
                     continue
-                yield from _first_ones(np.concatenate(found), bodies, buckets)
+                e = np.concatenate(found)
+                many = np.isin(e["h"], held.value) if len(held.value) else np.zeros(len(e), bool)
+                if many.any():
+                    yield from _first_windows(e[many], [bodies[i] for i in np.flatnonzero(many).tolist()], length, buckets)
+                    e, bodies = e[~many], [bodies[i] for i in np.flatnonzero(~many).tolist()]
+                if len(e):
+                    yield from _first_ones(e, bodies, buckets)
 
     return joined.mapInArrow(run, BLOB)
 
@@ -261,13 +303,77 @@ def _first_ones(e: np.ndarray, bodies: list[bytes], buckets: int):
     yield _blob_rows(b[cut], [_columns(e[x:y]) + b"".join(bodies[x:y]) for x, y in zip(cut.tolist(), ends.tolist())])
 
 
-def indexed(found: DataFrame, partitions: int, length: int) -> DataFrame:
+def _windows(e: np.ndarray, bodies: list[bytes], length: int) -> np.ndarray:
+    """All windows of the stretches, with 96 bits by which different ones are told apart."""
+    raw = b"".join(bodies)
+    size = e["size"].astype(np.int64)
+    count = size - length + 1
+    of = np.repeat(np.arange(len(e)), count)
+    on = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    at = (np.cumsum(size) - size)[of] + on
+    w = np.empty(len(of), WINDOW)
+    w["h"] = _hashes(raw, length)[at]
+    w["check"] = _hashes(raw, length, 0xD6E8FEB86659FD93)[at] >> np.uint64(32)
+    w["doc"], w["tag"], w["start"] = e["doc"][of], e["tag"][of], e["start"][of] + on
+    return w
+
+
+def _apart(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each window, and the other places."""
+    w = w[np.lexsort((w["start"], w["tag"], w["doc"], w["check"], w["h"]))]
+    new = np.concatenate(([True], (w["h"][1:] != w["h"][:-1]) | (w["check"][1:] != w["check"][:-1]))) if len(w) else np.zeros(0, bool)
+    first = w[new]
+    lead = first[np.cumsum(new) - 1]
+    return first, w[(w["doc"] != lead["doc"]) | (w["tag"] != lead["tag"]) | (w["start"] != lead["start"])]
+
+
+def _joined(w: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, checksum and mark of each row of neighbouring windows."""
+    w = w[np.lexsort((w["start"], w["tag"], w["doc"]))]
+    at = np.flatnonzero(np.concatenate(([True], (w["doc"][1:] != w["doc"][:-1]) | (w["tag"][1:] != w["tag"][:-1]) | (w["start"][1:] > w["start"][:-1] + np.uint32(1)))))
+    m = np.empty(len(at), MARK)
+    m["start"] = w["start"][at]
+    m["end"] = w["start"][np.append(at[1:], len(w)) - 1] + np.uint32(length)
+    return w["doc"][at], w["tag"][at], m
+
+
+def _first_windows(e: np.ndarray, bodies: list[bytes], length: int, buckets: int):
+    """As _first_ones, window by window, in steps of about ``PIECE`` bytes."""
+    held, size = np.zeros(0, WINDOW), np.cumsum(e["size"].astype(np.int64))
+    for part in np.split(np.arange(len(e)), np.flatnonzero(np.diff(size // PIECE)) + 1):
+        held, later = _apart(np.concatenate((held, _windows(e[part], [bodies[i] for i in part.tolist()], length))))
+        if len(later):
+            yield _doc_rows(*_joined(later, length), buckets)
+    b, parts = _bucketed(held, buckets)
+    yield _blob_rows(b + buckets, [_columns(x) for x in parts])
+
+
+def blocks(e: np.ndarray, most_bytes: int) -> list[np.ndarray]:
+    """Numbers of the entries in groups of about ``most_bytes``; those of one hash stay together, in their order."""
+    order = np.argsort(e["h"], kind="stable")
+    h, size = e["h"][order], e["size"][order].astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    cut, held = [], 0
+    for at, n in zip(new.tolist(), np.add.reduceat(size, new).tolist()):
+        if held and held + n > most_bytes:
+            cut.append(at)
+            held = 0
+        held += n
+    return [np.sort(x) for x in np.split(order, cut)]
+
+
+def indexed(found: DataFrame, partitions: int, length: int, buckets: int, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Marks (doc_id, tag, places) of the windows that occur at an earlier place.
 
-    Each bucket's stretches, in the order of their places, make one run-length index; its matching statistics link
-    the places of each repeated string.
+    Each bucket's stretches, in the order of their places, make run-length indexes of about ``most_bytes``, those of one
+    hash in one; its matching statistics link the places of each repeated string. Buckets from ``buckets`` on hold
+    windows, of which all but the first of equal ones are marked.
     """
 
+    def windows(blobs: list[bytes]):
+        later = _apart(np.concatenate([_entries(raw, WINDOW)[0] for raw in blobs]))[1]
+        return [_doc_only(*_joined(later, length))] if len(later) else []
+
     def one(blobs: list[bytes]):
         es, bodies = [], []
         for raw in blobs:
@@ -277,18 +383,21 @@ def indexed(found: DataFrame, partitions: int, length: int) -> DataFrame:
             es.append(e)
         e, bodies, later = _split(np.concatenate(es), bodies)
         out = [_doc_only(later["doc"], later["tag"], _whole(later))] if len(later) else []
-        if bodies:
-            index = RunLengthIndex(bodies)
+        for block in blocks(e, most_bytes) if bodies else []:
+            index, own = RunLengthIndex([bodies[i] for i in block.tolist()]), e[block]
             copy = index.later_copies(length)
             at, end = runs(copy)
             if len(at):
                 s = np.searchsorted(index.start, at, "right") - 1
                 m = np.empty(len(at), MARK)
-                m["start"] = e["start"][s] + (at - index.start[s])
-                m["end"] = e["start"][s] + (end - 1 - index.start[s]) + length
-                out.append(_doc_only(e["doc"][s], e["tag"][s], m))
+                m["start"] = own["start"][s] + (at - index.start[s])
+                m["end"] = own["start"][s] + (end - 1 - index.start[s]) + length
+                out.append(_doc_only(own["doc"][s], own["tag"][s], m))
         return out
 
+    def made(bucket: int, blobs: list[bytes]):
+        return one(blobs) if bucket < buckets else windows(blobs)
+
     def run(batches):
         bucket, held = None, []
         for batch in batches:
@@ -296,12 +405,12 @@ def indexed(found: DataFrame, partitions: int, length: int) -> DataFrame:
             batch = batch.filter(batch.column("payload").is_valid())
             for b, raw in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist()):
                 if held and b != bucket:
-                    yield from one(held)
+                    yield from made(bucket, held)
                     held = []
                 bucket = b
                 held.append(raw)
         if held:
-            yield from one(held)
+            yield from made(bucket, held)
 
     return staged(found.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, BY_DOC), "repeats-marks")
 
@@ -332,7 +441,7 @@ def cleaned(rows: DataFrame, marks: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, OUT)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Rows doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (of the UTF-8 bytes): what is left of each document.
 
     A byte goes if a string of ``length`` bytes that covers it also starts at an earlier place: in a document of a
@@ -342,14 +451,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     All windows of ``length`` bytes are dealt by a hash that equal windows share, in stretches; those whose hash occurs
     once hold no repeat and stay where they are. What is left is indexed bucket by bucket, so no text is ever whole
-    in one place, and a string in a third of all documents comes once from each batch of them.
+    in one place, and a string in a third of all documents comes once from each batch of them. A hash whose different
+    stretches have more than ``most_bytes``, as those around a common phrase, isn't indexed: its windows are dealt by
+    a hash of all their bytes, so no task gets more of them than of others.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = anchors(rows, length, 4 * partitions)
-    places = recurring(found, partitions)
+    places = recurring(found, partitions, length, most_bytes)
     cut = segments(rows, places, length, 16 * partitions)
-    return cleaned(rows, indexed(cut, partitions, length))
+    return cleaned(rows, indexed(cut, partitions, length, 16 * partitions, most_bytes))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,32 @@ def test_repeats(docs, texts, length):
         assert all(tuple(r)[1:5] == want for r in got[d]), d
 
 
+@pytest.mark.parametrize("length, most_bytes", [(100, 1), (100, 4000), (7, 1)])
+def test_repeats_window_by_window(docs, texts, length, most_bytes):
+    got = by_id(op1_repeats.remove_repeats(docs, length=length, most_bytes=most_bytes))
+    assert sum(map(len, got.values())) == len(texts)
+    for d, want in brute_repeats(texts, length).items():
+        assert all(tuple(r)[1:5] == want for r in got[d]), d
+
+
+def test_common_phrase_makes_no_large_index(spark):
+    """A phrase in otherwise different documents: no hash's stretches have more bytes than an index may."""
+    rand = lambda n: "".join(R.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    phrase = rand(40)
+    made = [(i, rand(150) + phrase + rand(150)) for i in range(900)]
+    made += [(1000 + i, made[i][1][90:260] + rand(30)) for i in range(0, 900, 9)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    places = op1_repeats.recurring(op1_repeats.anchors(docs, 100, 16), 4, 100, 20000)
+    size = collections.Counter()
+    for r in op1_repeats.segments(docs, places, 100, 64).where("payload IS NOT NULL AND bucket < 64").collect():
+        e, _ = op1_repeats._entries(bytes(r.payload), op1_repeats.SEGMENT)
+        for h, n in zip(e["h"].tolist(), e["size"].tolist()):
+            size[h] += n
+    assert size and max(size.values()) <= 20000
+    got = by_id(op1_repeats.remove_repeats(docs, most_bytes=20000))
+    assert all(tuple(got[d][0])[1:5] == want for d, want in brute_repeats(made, 100).items())
+
+
 def test_repeats_of_nothing(none):
     assert op1_repeats.remove_repeats(none).count() == 0
 
