@@ -28,7 +28,7 @@ class Encoder:
     Its pre-tokenizer always cuts before a space that stands between two characters that aren't white space, so the
     ids of a text are those of its stretches between such spaces, each with its space in front. Stretches recur, and
     each is encoded by the library once. Under a key that starts with a zero byte stands what has no space in front;
-    texts with zero bytes are encoded whole. Strings of special tokens in a text are ordinary text.
+    texts with zero bytes are encoded whole, and so are those that hold an added token, which the library looks for first.
     """
 
     def __init__(self, path: str):
@@ -36,7 +36,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [x.content for x in self.library.get_added_tokens_decoder().values() if x.content]
         self.vocabulary = self.library.get_vocab_size()
         self.kept: dict[str, bytes] = {}
 
@@ -68,7 +68,7 @@ class Encoder:
         seen: set[str] = set()
         for i, text in enumerate(texts):
             text = text or ""
-            if "\0" in text:
+            if "\0" in text or any(x in text for x in self.added):
                 odd[i], text = text, ""
             row = text.split(" ")
             row[0] = "\0" + row[0]

@@ -186,6 +186,22 @@ def test_token_cache():
         assert np.frombuffer(got, "<u4").tolist() == reference_ids(text), text
 
 
+def test_added_tokens_are_as_the_library_has_them(spark):
+    """Against a tokenizer of its own, as its file sets it up."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(default_path())
+    odd = ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|>b  c", "<|endoftext|><|endoftext|> x", " <|endoftext|>", "<|endoftext|", "a <|endof text|> b", "plain words, no token.", "\0<|endoftext|>\0 a"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in odd]
+    assert want[0] == [437, 220, 50256, 1306]
+    for got, ids, text in zip(encoder(default_path()).ids(odd), want, odd, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == ids, text
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    manifest = op4_frames.write_tokens(docs, new_path(spark, "t"))
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in op4_frames.read_tokens(manifest).collect()} == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(want)}
+    assert {r.doc_id: r.doc_tokens for r in op3_packing.pack(docs).collect()} == {i: len(x) + 1 for i, x in enumerate(want)}
+
+
 @pytest.mark.parametrize("length, most_open", [(1024, 4096), (64, 3), (7, 4096)])
 def test_packing(docs, texts, length, most_open):
     rows = op3_packing.pack(docs, length=length, most_open=most_open).collect()
