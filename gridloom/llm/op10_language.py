@@ -18,7 +18,9 @@ SAMPLE_DOCS = 400
 LEVEL = 6
 #: Texts are compressed in stretches of this many bytes, so that a long text's own past doesn't drown the dictionary.
 STRETCH = 4096
-MIN_MARGIN = 0.002
+#: Learned on one of the two learned folds of sf0.1 and judged on the other: 0.78 % of the documents have less (0.69 %
+#: less than 0.002, nearly all of them ties), and 96 to 98 % of the documents of a language that was left out.
+MIN_MARGIN = 0.03
 OUT = "doc_id long, lang_pred string, score double, rejected boolean"
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 

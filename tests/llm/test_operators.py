@@ -496,6 +496,19 @@ def test_language(spark, none):
     assert {r.lang_pred for r in op10_language.identify(docs, {}).collect()} == {"und"}
 
 
+def test_only_clear_languages_are_accepted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) >= 200 AND lang IS NOT NULL")
+    held = op10_language.crc_of_id(F.col("doc_id")) % 3 == 1
+    share = lambda df, found: op10_language.identify(df, found).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    found = op10_language.fit(docs.where(~held))
+    assert share(docs.where(held), found) <= 0.02
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, " ".join("".join(R.choice(letters) for _ in range(R.randint(2, 10))) for _ in range(n))) for n in (100, 400) for i in range(60)]
+    assert share(spark.createDataFrame(rows, "doc_id long, text string"), found) >= 0.95
+    for lang in ("de", "en", "es", "fr"):
+        assert share(docs.where(held & (F.col("lang") == lang)), op10_language.fit(docs.where(~held & (F.col("lang") != lang)))) >= 0.85, lang
+
+
 # the pipeline
 
 
