@@ -11,7 +11,7 @@ from .common import staged
 def _star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours, and the node, point to the smallest of the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "links")  # so that the join can be split where skewed
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Rows (node, component) for the nodes of ``links`` (a, b); component is the smallest node reachable.
+    """Rows (node, component) for the nodes of ``links`` (a, b) but the smallest of each component, which is ``component``.
 
     Null ends and loops are dropped. Each round is staged; rounds grow with the logarithm of the longest path.
     """

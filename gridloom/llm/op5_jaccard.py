@@ -1,66 +1,103 @@
-"""N-gram Jaccard join: prefix tokens find candidates, a trie of globally ordered sets counts shared n-grams."""
+"""N-gram Jaccard join: prefix n-grams find candidates, tries of globally ordered sets are traversed to count overlaps."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, staged, table
+from .common import fresh, pieces, staged, table
 from .components import components
 from .shingles import shingle_sets
 
 #: Frequent shingles that come last in the global order (8 bytes each are broadcast). It is only an order: any number is right.
 MOST_FREQUENT = 1 << 17
-#: Sets that one trie holds, entries of a block in which all are compared, and members that go with one copy of a centre.
-TRIE_SETS, BLOCK, CHUNK = 256, 2048, 512
-PIECE = 2 << 20
+#: Shingles of texts that are counted at once to find the frequent ones.
+COUNTED = 1 << 21
+#: Bytes of text that are made sets at once.
+PIECE = 512 << 10
+#: Members, and shingles of members, that a block of a class has about; classes with more are dealt into several.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 #: Rows of ids (32 bytes at most) up to which they are broadcast to find their texts; beyond, texts are shuffled to them.
 BROADCAST_IDS = 1 << 20
-#: First prefix shingles that a member carries, to tell in which of their shingles' groups a pair is looked at.
-LEADS = 8
 
 
-def needed(nx: int, ny: int, num: int, den: int) -> int:
+def needed(nx, ny, num: int, den: int):
     """The least overlap of linked sets of these sizes: den * i >= num * (nx + ny - i)."""
     return -(-num * (nx + ny) // (num + den))
 
 
-def trie_join(probe: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[int]:
-    """Places of the ``sets`` linked with ``probe``; all are ascending, so each is a path of one trie.
+class Trie:
+    """Ordered sets as a prefix tree: what several sets begin with is one node.
 
-    Sets are visited in the trie's order. A path that a set shares with the one before keeps its overlap counts, and
-    only what follows is looked up in the probe. At depth d at most min(size - d, probe's items beyond) more can be
-    shared; where that is too few, the path is left, and sets that share it up to there are left without a look.
+    A node stands for the places ``low`` to ``high`` of the sorted sets. It has the shingles that these share beyond
+    its parent (depths ``above`` to ``depth``) and their least and greatest size.
     """
-    out, nx = [], len(probe)
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    last, depth, shared, beyond = np.zeros(0, np.uint64), 0, np.zeros(1, np.int64), np.zeros(1, np.int64)
-    for i in order:
-        y = sets[i]
-        ny = len(y)
-        if not ny or not nx or den * min(nx, ny) < num * max(nx, ny):
-            continue
-        least = needed(nx, ny, num, den)
-        k = min(len(last), ny)
-        differ = np.flatnonzero(last[:k] != y[:k])
-        same = min(int(differ[0]) if len(differ) else k, depth)  # counts are known up to depth
-        counts, passed = [shared[: same + 1]], [beyond[: same + 1]]
-        last, at = y, same
-        dead = counts[0][same] + min(ny - same, nx - passed[0][same]) < least
-        while at < ny and not dead:
-            part = y[at : at + 64]
-            place = np.searchsorted(probe, part)
-            hit = (place < nx) & (probe[np.minimum(place, nx - 1)] == part)
-            counts.append(counts[-1][-1] + np.cumsum(hit))
-            passed.append(place + hit)
-            at += len(part)
-            dead = counts[-1][-1] + min(ny - at, nx - passed[-1][-1]) < least
-        shared, beyond, depth = np.concatenate(counts), np.concatenate(passed), at
-        if not dead and shared[ny] >= least:
-            out.append(i)
-    return out
+
+    STEP = 64
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+        self.sets = [sets[i] for i in self.order]
+        self.size = np.array([len(s) for s in self.sets], np.int64)
+        shared = np.array([self._shared(a, b) for a, b in zip(self.sets, self.sets[1:])], np.int64)
+        self.nodes: list[tuple[int, int, int, int, int, int, list[int]]] = []
+        todo = [(0, len(sets), 0, None)] if sets else []
+        while todo:
+            low, high, above, siblings = todo.pop()
+            depth = int(shared[low : high - 1].min()) if high - low > 1 else int(self.size[low])
+            children: list[int] = []
+            if siblings is not None:
+                siblings.append(len(self.nodes))
+            part = self.size[low:high]
+            self.nodes.append((low, high, above, depth, int(part.min()), int(part.max()), children))
+            if high - low > 1:
+                cuts = [low, *(np.flatnonzero(shared[low : high - 1] == depth) + low + 1).tolist(), high]
+                todo += [(a, b, depth, children) for a, b in zip(cuts, cuts[1:])]
+
+    @staticmethod
+    def _shared(a: np.ndarray, b: np.ndarray) -> int:
+        k = min(len(a), len(b))
+        differ = np.flatnonzero(a[:k] != b[:k])
+        return int(differ[0]) if len(differ) else k
+
+    def linked(self, probe: np.ndarray, wanted: np.ndarray, num: int, den: int) -> list[int]:
+        """Places (as given) of the sets that ``probe`` links with, of those for which ``wanted`` holds.
+
+        Overlaps are counted along the paths, once for what paths share. Below a node at depth d with o shared so far,
+        no set shares more than o + min(greatest size - d, probe's shingles beyond); where that is less than its
+        smallest set needs, or no set below is wanted or near enough in size, the whole subtree is left.
+        """
+        nx, out = len(probe), []
+        if not nx or not self.nodes:
+            return out
+        rank = np.concatenate(([0], np.cumsum(wanted[self.order])))
+        todo = [(0, 0, 0)]
+        while todo:
+            node, both, beyond = todo.pop()
+            low, high, above, depth, least, greatest, children = self.nodes[node]
+            if rank[high] == rank[low] or greatest * den < num * nx or nx * den < num * least:
+                continue
+            enough = needed(nx, least, num, den)
+            label, at = self.sets[low], above
+            while True:
+                if both + min(greatest - at, nx - beyond) < enough:
+                    break
+                if at == depth:
+                    if children:
+                        todo += [(c, both, beyond) for c in children]
+                    elif both >= enough:
+                        out.append(self.order[low])
+                    break
+                part = label[at : min(at + self.STEP, depth)]
+                place = np.searchsorted(probe, part)
+                hit = probe[np.minimum(place, nx - 1)] == part
+                both += int(np.count_nonzero(hit))
+                beyond = int(place[-1]) + int(hit[-1])
+                at += len(part)
+        return out
 
 
 def shared_prefix(n):
@@ -68,18 +105,27 @@ def shared_prefix(n):
     return 1 + np.minimum(7, np.asarray(n) // 16)
 
 
-def _ordered_prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first n - ceil(t n) + shared_prefix(n) shingles in the global order: rare ones by hash, then frequent ones by count."""
-    size = len(s) - -(-num * len(s) // den) + int(shared_prefix(len(s)))
-    if not len(frequent):
-        return s[:size]
-    place = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    often = frequent[place] == s
-    rare = s[~often][:size]
-    if len(rare) < size:
-        late = s[often][np.argsort(rank[place[often]], kind="stable")][: size - len(rare)]
-        return np.concatenate((rare, late))
-    return rare
+def _shared_prefix(n):
+    """The same of the smallest set that one of ``n`` shingles can link with, as a column."""
+    return lambda num, den: 1 + F.least(F.lit(7), F.floor(F.ceil(F.col(n) * num / den) / 16))
+
+
+def prefixes(sets: list[np.ndarray], frequent: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set its first n - ceil(t n) + shared_prefix(n) shingles in the global order, and the place of their set.
+
+    The order: rare shingles by hash, then the frequent ones by how often they occur.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    of = np.repeat(np.arange(len(sets)), size)
+    if len(frequent) and len(every):
+        place = np.minimum(np.searchsorted(frequent, every), len(frequent) - 1)
+        late = np.where(frequent[place] == every, rank[place] + 1, 0)
+        order = np.argsort(of * (len(frequent) + 1) + late, kind="stable")
+        every = every[order]
+    first = np.cumsum(size) - size
+    keep = np.arange(len(every)) - first[of] < (size + -(num * size // den) + shared_prefix(size))[of]
+    return every[keep], of[keep]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -87,29 +133,39 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def frequent_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that recur within batches (of all documents), and their ranks by count; MOST_FREQUENT at most."""
+    """Shingles that recur within parts of batches (of all documents), and their ranks by count; MOST_FREQUENT at most."""
 
     def run(batches):
         for batch in batches:
             sets: dict[bytes, np.ndarray] = {}
+            held = 0
+
+            def counted():
+                every = np.sort(np.concatenate(list(sets.values())))
+                first = np.flatnonzero(np.diff(every, prepend=~every[:1]))
+                h, c = every[first], np.diff(first, append=len(every))
+                keep = c >= max(4, len(sets) // 400)
+                return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep])], names=["h", "c"])
+
             for part in pieces([batch], "text", PIECE):
-                sets.update((s.tobytes(), s) for s in shingle_sets(part.column(1).to_pylist(), n))
+                for s in shingle_sets(part.column(1).to_pylist(), n):
+                    if sets.setdefault(xxhash.xxh3_128_digest(s), s) is s:
+                        held += len(s)
+                if held >= COUNTED:
+                    yield counted()
+                    sets, held = {}, 0
             if sets:
-                h, c = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-                keep = c >= max(4, len(sets) // 400)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep])], names=["h", "c"])
+                yield counted()
 
     top = rows.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    rank = np.empty(len(h), np.int64)
-    rank[:] = np.arange(len(h))[::-1]  # most frequent last
-    return h[order], rank[order]
+    return h[order], (len(h) - 1 - np.arange(len(h)))[order]  # most frequent last
 
 
-POSTED = "doc_id long, n long, twin long, bucket int, payload binary, h long, ref long, ref_n long, center long, center_n long"
-POSTED_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("twin", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("h", pa.int64()), ("ref", pa.int64()), ("ref_n", pa.int64()), ("center", pa.int64()), ("center_n", pa.int64())])
-ENTRY = np.dtype([("h", "<u8"), ("ref", "<i8"), ("n", "<i4")])
+POSTED = "doc_id long, n long, twin long, bucket int, payload binary, h long, ref long, ref_n long"
+POSTED_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("twin", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("h", pa.int64()), ("ref", pa.int64()), ("ref_n", pa.int64())])
+ENTRY = np.dtype([("h", "<u8"), ("ref", "<i8"), ("n", "<i4"), ("more", "u1")])
 
 
 def _posted(columns: dict, n: int) -> pa.RecordBatch:
@@ -117,70 +173,82 @@ def _posted(columns: dict, n: int) -> pa.RecordBatch:
 
 
 def _grouped(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries by (h, ref) without repeats, and for each the place of its group's first and whether the group has several."""
+    """Entries by (h, ref) without repeats; for each the place of its group's first, and how many the group has."""
     e = e[np.lexsort((e["ref"], e["h"]))]
-    e = e[np.concatenate(([True], (e["h"][1:] != e["h"][:-1]) | (e["ref"][1:] != e["ref"][:-1])))] if len(e) else e
-    new = np.concatenate(([True], e["h"][1:] != e["h"][:-1])) if len(e) else np.zeros(0, bool)
+    h, ref = np.ascontiguousarray(e["h"]), np.ascontiguousarray(e["ref"])
+    e = e[np.concatenate(([True], (h[1:] != h[:-1]) | (ref[1:] != ref[:-1])))] if len(e) else e
+    h = e["h"]
+    new = np.concatenate(([True], h[1:] != h[:-1])) if len(e) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
-    first = np.flatnonzero(new)[group] if len(e) else group
-    return e, first, np.bincount(group)[group] > 1 if len(e) else new
+    return e, np.flatnonzero(new)[group] if len(e) else group, np.bincount(group)[group] if len(e) else group
 
 
-def _members(e: np.ndarray, first: np.ndarray) -> dict:
-    c = e[first]
-    return {"h": pa.array(e["h"].view(np.int64) if e["h"].flags.c_contiguous else np.ascontiguousarray(e["h"]).view(np.int64)), "ref": pa.array(np.ascontiguousarray(e["ref"])), "ref_n": pa.array(e["n"].astype(np.int64)), "center": pa.array(np.ascontiguousarray(c["ref"])), "center_n": pa.array(c["n"].astype(np.int64))}
+def _members(e: np.ndarray) -> dict:
+    return {"h": pa.array(np.ascontiguousarray(e["h"]).view(np.int64)), "ref": pa.array(np.ascontiguousarray(e["ref"])), "ref_n": pa.array(e["n"].astype(np.int64))}
 
 
 def post(rows: DataFrame, frequent, rank, n: int, num: int, den: int, buckets: int) -> DataFrame:
     """One pass over the texts: a row for each document (doc_id, n, twin: an equal set of its batch), and prefix entries.
 
-    Of several documents of a batch with one prefix shingle, only the first goes to the shingle's bucket; all of them
+    Of several documents of a batch with one prefix shingle, only the first goes to the shingle's bucket; the others
     are given out as members at once. So a shingle that a third of all documents share sends one entry a batch.
     """
+
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            sets: list[np.ndarray] = []
-            for part in pieces([batch], "text", PIECE):
-                sets += shingle_sets(part.column(1).to_pylist(), n)
             twins: dict[bytes, int] = {}
-            twin = [None if d is None else twins.setdefault(s.tobytes(), d) if len(s) else d for d, s in zip(ids, sets)]
-            yield _posted({"doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "twin": pa.array(twin, pa.int64())}, len(ids))
-            found = [_entries(_ordered_prefix(s, frequent.value, rank.value, num, den), d, len(s)) for d, t, s in zip(ids, twin, sets) if d is not None and t == d and len(s)]
+            found = []
+            for part in pieces([batch], "text", PIECE):
+                ids, sets = part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), n)
+                twin = [None if d is None else twins.setdefault(xxhash.xxh3_128_digest(s), d) if len(s) else d for d, s in zip(ids, sets)]
+                yield _posted({"doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "twin": pa.array(twin, pa.int64())}, len(ids))
+                own = [i for i, (d, t, s) in enumerate(zip(ids, twin, sets)) if d is not None and t == d and len(s)]
+                if own:
+                    h, of = prefixes([sets[i] for i in own], frequent.value, rank.value, num, den)
+                    e = np.zeros(len(h), ENTRY)
+                    e["h"], e["ref"], e["n"] = h, np.array([ids[i] for i in own], np.int64)[of], np.array([len(sets[i]) for i in own])[of]
+                    found.append(e)
             if not found:
                 continue
-            e, first, several = _grouped(np.concatenate(found))
-            if several.any():
-                yield _posted(_members(e[several], (np.cumsum(several) - 1)[first[several]]), int(several.sum()))
-            lead = e[np.unique(first)]
+            e, first, count = _grouped(np.concatenate(found))
+            is_first = first == np.arange(len(e))
+            if not is_first.all():
+                yield _posted(_members(e[~is_first]), int((~is_first).sum()))
+            lead = e[is_first]
+            lead["more"] = count[is_first] > 1
             bucket = (lead["h"] % np.uint64(buckets)).astype(np.int32)
-            lead, bucket = lead[np.argsort(bucket, kind="stable")], np.sort(bucket)
+            order = np.argsort(bucket, kind="stable")
+            lead, bucket = lead[order], bucket[order]
             cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             yield _posted({"bucket": pa.array(bucket[cut]), "payload": pa.array([x.tobytes() for x in np.split(lead, cut[1:])], pa.binary())}, len(cut))
 
     return staged(rows.mapInArrow(run, POSTED), "jaccard-postings")
 
 
-def _entries(prefix: np.ndarray, doc_id: int, n: int) -> np.ndarray:
-    e = np.empty(len(prefix), ENTRY)
-    e["h"], e["ref"], e["n"] = prefix, doc_id, n
-    return e
-
-
-def candidates(posted: DataFrame, partitions: int) -> DataFrame:
-    """Members (h, ref, ref_n, center, center_n) of the prefix shingles that several documents have; center is the smallest."""
+def members(posted: DataFrame, partitions: int, num: int, den: int) -> DataFrame:
+    """(h, ref, ref_n) of the prefix shingles that several documents have, of documents that have as many as linked ones share."""
 
     def run(batches):
         blobs = [x for batch in batches for x in batch.column(0).to_pylist()]
-        e, first, several = _grouped(np.frombuffer(b"".join(blobs), ENTRY))
-        if several.any():
-            got = _members(e[several], (np.cumsum(several) - 1)[first[several]])
+        e, _, count = _grouped(np.frombuffer(b"".join(blobs), ENTRY))
+        met = (count > 1) | (e["more"] > 0)
+        if met.any():
+            got = _members(e[met])
             yield pa.RecordBatch.from_arrays(list(got.values()), names=list(got))
 
-    shape = "h long, ref long, ref_n long, center long, center_n long"
-    met = posted.where("bucket IS NOT NULL").repartition(partitions, "bucket").select("payload").mapInArrow(run, shape)
-    own = posted.where("h IS NOT NULL").select("h", "ref", "ref_n", "center", "center_n")
-    return staged(met.union(own), "jaccard-members")
+    met = posted.where("bucket IS NOT NULL").repartition(partitions, "bucket").select("payload").mapInArrow(run, "h long, ref long, ref_n long")
+    every = met.union(posted.where("h IS NOT NULL").select("h", "ref", "ref_n"))
+    every = every.withColumn("k", F.count("*").over(Window.partitionBy("ref")))
+    return staged(every.where(F.col("k") >= _shared_prefix("ref_n")(num, den)).drop("k"), "jaccard-members")
+
+
+def classes(met: DataFrame) -> DataFrame:
+    """(c, ref, ref_n, weight): shingles with the same members are one class, of as much weight as it has shingles."""
+    low = F.lit((1 << 32) - 1)
+    mark = [F.sum(F.xxhash64("ref", F.lit(i)).bitwiseAND(low)).alias(f"m{i}") for i in range(3)]
+    groups = met.groupBy("h").agg(F.count("*").alias("k"), *mark).where("k > 1")
+    kept = groups.groupBy("k", "m0", "m1", "m2").agg(F.min("h").alias("c"), F.count("*").alias("weight")).select("c", "weight")
+    return staged(met.join(kept, met["h"] == kept["c"]).select("c", "ref", "ref_n", "weight"), "jaccard-classes")
 
 
 def _near(df: DataFrame) -> DataFrame:
@@ -188,42 +256,6 @@ def _near(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def verify(pairs: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (center, ref) that are links, as (a, b): each centre meets its members in chunks, and their trie in one task."""
-    chunks = pairs.groupBy("center").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = pairs.join(chunks, "center").select("center", F.pmod(F.xxhash64("ref"), "chunks").cast("int").alias("chunk"), "ref")
-    wanted = dealt.union(chunks.select("center", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), F.lit(None).cast("long")))
-    wanted = _near(staged(wanted.withColumn("doc_id", F.coalesce("ref", "center")), "jaccard-wanted"))
-    texts = wanted.join(rows.where("doc_id IS NOT NULL"), "doc_id").select("center", "chunk", "ref", "text")
-
-    def run(batches):
-        center, probe, members = None, [], []
-
-        def flush():
-            found = {(center[0], members[i][0]) for p in probe for i in trie_join(p, [s for _, s in members], num, den)}
-            members.clear()
-            a, b = zip(*found) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            for part in pieces([batch], "text", PIECE):
-                c, k, r, t = (x.to_pylist() for x in part.columns)
-                for key, ref, s in zip(zip(c, k), r, shingle_sets(t, n)):
-                    if members and (key != center or len(members) >= TRIE_SETS):
-                        yield flush()
-                    if key != center:
-                        center, probe = key, []
-                    if ref is None:
-                        probe.append(s)
-                    else:
-                        members.append((ref, s))
-        if members:
-            yield flush()
-
-    sorted_texts = texts.repartition("center", "chunk").sortWithinPartitions("center", "chunk", F.asc_nulls_first("ref"))
-    return sorted_texts.mapInArrow(run, "a long, b long")
-
-
 def _sketch(s: np.ndarray) -> bytes:
     """Parities of the shingles in 64 * 2**k places, about as many as shingles; folding halves gives smaller ones."""
     places = 1 << max(6, len(s).bit_length())
@@ -237,120 +269,150 @@ def _folded(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def leftover_pairs(members: DataFrame, labels: DataFrame, rows: DataFrame, frequent, rank, n: int, num: int, den: int, forest: bool) -> DataFrame:
-    """Pairs of different components that share a prefix shingle and whose sketches allow a link.
+def candidate_sets(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(ref, shingles, sketch) of the documents of ``ids`` (ref), made once and staged."""
 
-    Only shingles that still join several components are looked at, and only documents with as many such shingles as
-    linked ones share. Their members are compared in blocks, a pair in the group of the first shingle that they share
-    among their first LEADS; two sets differ in at least as many shingles as their parity sketches differ in places,
-    which refutes nearly all pairs that aren't links without either's set. With ``forest``, a block gives out no more
-    pairs than connect its members.
-    """
-    known = members.select("h", "ref", "ref_n").distinct().join(labels.select(F.col("node").alias("ref"), "component"), "ref", "left")
-    known = staged(known.select("h", "ref", "ref_n", F.coalesce("component", "ref").alias("component")), "jaccard-open")
-    groups = lambda df: df.groupBy("h").agg(F.count("*").alias("k"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    some = known.join(groups(known).select("h"), "h")
-    smallest = F.floor((F.col("ref_n") * num + den - 1) / den)  # of a linked set
-    enough = some.groupBy("ref").agg(F.count("*").alias("k"), F.first("ref_n").alias("ref_n")).where(F.col("k") >= 1 + F.least(F.lit(7), F.floor(smallest / 16))).select("ref")
-    some = staged(some.join(enough, "ref"), "jaccard-open")
-    open_ = staged(some.join(groups(some).select("h", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "h"), "jaccard-open")
-
-    def sketches(batches):
+    def run(batches):
         for batch in batches:
             for part in pieces([batch], "text", PIECE):
                 sets = shingle_sets(part.column(1).to_pylist(), n)
-                leads = [_ordered_prefix(s, frequent.value, rank.value, num, den)[:LEADS].tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_sketch, sets), pa.binary()), pa.array(leads, pa.binary())], names=["ref", "sketch", "leads"])
-
-    wanted = _near(staged(open_.select(F.col("ref").alias("doc_id")).distinct(), "jaccard-wanted"))
-    sketched = rows.join(wanted, "doc_id", "left_semi").mapInArrow(sketches, "ref long, sketch binary, leads binary")
-    block = F.pmod(F.xxhash64("ref"), "blocks").cast("int")
-    dealt = open_.join(sketched, "ref").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ref", "ref_n", "component", "sketch", "leads")
-
-    def before(raw: bytes, h: int) -> np.ndarray:
-        """The first shingles that come before h, and zeros."""
-        lead = np.frombuffer(raw, np.int64)
-        at = np.flatnonzero(lead == h)
-        out = np.zeros(LEADS, np.int64)
-        out[: at[0] if len(at) else len(lead)] = lead[: at[0] if len(at) else None]
-        return out
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(map(_sketch, sets), pa.binary())], names=["ref", "shingles", "sketch"])
+
+    wanted = _near(staged(ids.select(F.col("ref").alias("doc_id")).distinct(), "jaccard-wanted"))
+    return staged(rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "ref long, shingles binary, sketch binary"), "jaccard-sets")
 
-    def compared(h, rows_):
-        """Of one (h, i, j): the surviving pairs."""
-        order = sorted(range(len(rows_)), key=lambda r: rows_[r][2])
-        size = np.array([rows_[r][2] for r in order])
-        comp = np.array([rows_[r][3] for r in order])
-        side = np.array([rows_[r][0] for r in order])
-        cross = rows_[0][5] != rows_[0][6]
-        sizes = [len(rows_[r][4]) for r in order]
-        by_size = {w: np.vstack([_folded(np.frombuffer(rows_[r][4], np.uint8)[None], w)[0] if len(rows_[r][4]) >= w else np.zeros(w, np.uint8) for r in order]) for w in set(sizes)}
-        root = {c: c for c in set(comp.tolist())}
-        leads = np.vstack([before(rows_[r][7], h) for r in order])
-
-        def find(c):
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        out = []
-        for x in range(len(order)):
-            end = int(np.searchsorted(size, size[x] * den // num, "right"))
-            y = np.arange(x + 1, end)
-            y = y[comp[y] != comp[x]]
-            if cross:
-                y = y[side[y] != side[x]]
-            for g in leads[x][leads[x] != 0]:  # seen there
-                y = y[~(leads[y] == g).any(axis=1)]
-            if not len(y):
-                continue
-            w = sizes[x]
-            m = by_size[w]
-            apart = np.bitwise_count(m[y] ^ m[x]).sum(axis=1)
-            most = size[x] + size[y] - 2 * -(-num * (size[x] + size[y]) // (num + den))
-            for z in y[apart <= most]:
-                if forest:
-                    a, b = find(int(comp[x])), find(int(comp[z]))
-                    if a == b:
-                        continue
-                    root[a] = b
-                p, q = rows_[order[x]][1], rows_[order[z]][1]
-                out.append((min(p, q), max(p, q)))
-        return out
+
+KEY = ["c", "own", "other"]
+
+
+def _by_key(batches, columns: int):
+    """Lists of the rows (the columns after KEY) of one key after the other, from batches sorted by key."""
+    key, held = None, []
+    for batch in batches:
+        for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for row in zip(*(x.to_pylist() for x in part.columns)):
+                if row[:3] != key:
+                    if held:
+                        yield key, held
+                    key, held = row[:3], []
+                held.append(row[3 : 3 + columns])
+    if held:
+        yield key, held
+
+
+def trie_links(dealt: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the documents (KEY, ref, component, probe) of each key.
+
+    The documents of a key make a trie, which those marked ``probe`` are held against. Links within what links
+    already join, here or in earlier rounds (``component``), aren't looked for; so there are less of them than documents.
+    """
+    found = dealt.join(sets.select("ref", "shingles"), "ref").select(*KEY, "probe", "ref", "component", "shingles")
 
     def run(batches):
-        key, held = None, []
-        for batch in batches:
+        for _, held in _by_key(batches, 4):
+            trie = Trie([np.frombuffer(x[3], np.uint64) for x in held])
+            joined = np.unique([x[2] for x in held], return_inverse=True)[1]
             out = []
-            for row in zip(*(x.to_pylist() for x in batch.columns)):
-                h, i, j, own, ref, size, comp, sketch, lead = row
-                if (h, i, j) != key:
-                    out += compared(key[0], held) if held else []
-                    key, held = (h, i, j), []
-                held.append((own, ref, size, comp, sketch, i, j, lead))
+            for i, (probe, ref, _, raw) in enumerate(held):
+                if not probe:
+                    continue
+                for j in trie.linked(np.frombuffer(raw, np.uint64), joined != joined[i], num, den):
+                    if joined[j] != joined[i]:
+                        joined[joined == joined[j]] = joined[i]
+                        out.append((ref, held[j][1]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["center", "ref"])
-        if held and (out := compared(key[0], held)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["center", "ref"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
 
-    met = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").select("h", "i", "j", "own", "ref", "ref_n", "component", "sketch", "leads")
-    return met.mapInArrow(run, "center long, ref long")
+    return staged(found.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, the smallest id that links lead to.
+def star_pairs(grouped: DataFrame, num: int, den: int) -> DataFrame:
+    """The smallest document of each class with those members that share enough with it in such classes, in chunks."""
+    center = grouped.groupBy("c").agg(F.min(F.struct("ref", "ref_n")).alias("center"))
+    met = grouped.join(center, "c").select("ref", "ref_n", "weight", F.col("center.ref").alias("center"), F.col("center.ref_n").alias("n")).where("ref <> center")
+    met = met.where(F.least("ref_n", "n") * den >= F.greatest("ref_n", "n") * num).withColumn("least", F.least("ref_n", "n"))
+    met = met.groupBy("center", "ref").agg(F.sum("weight").alias("k"), F.max("ref_n").alias("n"), F.min("least").alias("least"))
+    met = staged(met.where(F.col("k") >= 1 + F.least(F.lit(7), F.floor(F.col("least") / 16))), "jaccard-pairs")
+    chunks = met.groupBy(F.col("center").alias("c")).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("chunks"))
+    dealt = met.join(chunks, met["center"] == chunks["c"]).select("c", F.pmod(F.xxhash64("ref"), "chunks").cast("int").alias("own"), F.lit(0).alias("other"), "ref", F.col("ref").alias("component"), F.lit(False).alias("probe"))
+    return dealt.union(chunks.select("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), F.lit(0), "c", "c", F.lit(True)))
 
-    Documents link when the Jaccard similarity of their sets of ``n``-word shingles (A-Z lower-cased, words between
-    white space) is at least ``num / den``. A text of fewer words is one shingle; null texts and texts without words
-    have none and link with nothing, as do null ids, whose component is null. Repeated rows each give a row; rows that
-    share an id are one node of the links.
 
-    Linked sets share k of the first n - ceil(t n) + k shingles of a global order. (1) Documents are compared with the
-    smallest one of their prefix shingles, where they meet it in several, so families of copies come together by as
-    many pairs as members, not all pairs. (2) Where a shingle still joins different components, members of different ones are compared: first by
-    sketches that bound the overlap, then by their sets, as a forest first and then all that are left. Nothing that
-    the bounds allow is skipped, so no link between components is lost.
+def open_blocks(grouped: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """(KEY, ref, ref_n, component, asks, copy) of the classes that still have members of several components.
+
+    Members of a class's largest component aren't held against each other: those of other components ask. A class of
+    several blocks has each member in one of them, and copies of those who ask in all of them, by blocks of these.
+    """
+    known = grouped.join(labels.select(F.col("node").alias("ref"), "component"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
+    several = lambda df: df.groupBy("c").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("c")
+    known = staged(known, "jaccard-open")
+    some = known.join(several(known), "c").withColumn("k", F.sum("weight").over(Window.partitionBy("ref")))
+    some = staged(some.where(F.col("k") >= _shared_prefix("ref_n")(num, den)).drop("k", "weight"), "jaccard-open")
+    parts = some.groupBy("c", "component").agg(F.count("*").alias("k"), F.sum("ref_n").alias("n"))
+    blocks = lambda k, n: F.ceil(F.greatest(k / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    shape = parts.groupBy("c").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "n")).alias("m"))
+    shape = shape.where("parts > 1").select("c", "most", blocks(F.col("k"), F.col("n")).alias("blocks"), blocks(F.col("k") - F.col("m.k"), F.col("n") - F.col("m.n")).alias("asking"))
+    at = some.join(shape, "c").withColumn("asks", F.col("component") != F.col("most"))
+    at = at.withColumn("asking", F.when(F.col("blocks") == 1, 1).otherwise(F.col("asking")))
+    spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    deal = lambda n: F.array(F.pmod(F.xxhash64("ref"), n).cast("int"))
+    own = at.select("c", F.explode(deal("blocks")).alias("own"), "asking", "ref", "ref_n", "component", "asks").select("c", "own", F.explode(spread("asking")).alias("other"), "ref", "ref_n", "component", "asks", F.lit(False).alias("copy"))
+    copies = at.where("asks AND blocks > 1").select("c", F.explode(spread("blocks")).alias("own"), "asking", "ref", "ref_n", "component", "asks")
+    copies = copies.select("c", "own", F.explode(deal("asking")).alias("other"), "ref", "ref_n", "component", "asks", F.lit(True).alias("copy"))
+    return staged(own.union(copies), "jaccard-blocks")
+
+
+def possible(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(KEY, ref, component, probe) of the documents of blocks that their sketches allow to link with one of another component.
+
+    Two sets differ in at least as many shingles as their parity sketches differ in places, which refutes nearly all
+    pairs that aren't links. Rows grow with the members of blocks, not with pairs.
     """
+    dealt = blocks.join(sets.select("ref", "sketch"), "ref").select(*KEY, "ref", "ref_n", "component", "asks", "copy", "sketch")
+    shape = pa.schema([("c", pa.int64()), ("own", pa.int32()), ("other", pa.int32()), ("ref", pa.int64()), ("component", pa.int64()), ("probe", pa.bool_())])
+
+    def met(held: list[tuple]) -> np.ndarray:
+        size, comp = np.array([x[1] for x in held]), np.array([x[2] for x in held])
+        asks, copy = np.array([x[3] for x in held]), np.array([x[4] for x in held])
+        out = np.zeros(len(held), bool)
+        width = np.array([len(x[5]) for x in held])
+        folded = {}
+        for w in set(width.tolist()):
+            wide = np.flatnonzero(width >= w)
+            folded[w] = np.zeros((len(held), w), np.uint8)
+            for v in set(width[wide].tolist()):
+                of = wide[width[wide] == v]
+                folded[w][of] = _folded(np.frombuffer(b"".join(held[i][5] for i in of), np.uint8).reshape(len(of), v), w)
+        by_copies = copy.any()
+        for x in np.flatnonzero(copy if by_copies else asks):
+            y = (comp != comp[x]) & ~copy & (np.minimum(size, size[x]) * den >= np.maximum(size, size[x]) * num)
+            for w in {int(width[x]), *width[y & (width < width[x])].tolist()}:
+                z = np.flatnonzero(y & (width == w if w < width[x] else width >= w))
+                apart = np.bitwise_count(folded[w][z] ^ folded[w][x]).sum(axis=1)
+                z = z[apart <= size[x] + size[z] - 2 * needed(size[x], size[z], num, den)]
+                if len(z):
+                    out[x] = True
+                    out[z] = True
+        return out
+
+    def run(batches):
+        out: list[tuple] = []
+        for key, held in _by_key(batches, 6):
+            if len(held) > 1:
+                out += [(*key, held[i][0], held[i][2], held[i][3]) for i in np.flatnonzero(met(held))]
+            if len(out) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), shape)], schema=shape)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), shape)], schema=shape)
+
+    sorted_ = dealt.repartition(*KEY).sortWithinPartitions(*KEY)
+    return staged(sorted_.mapInArrow(run, "c long, own int, other int, ref long, component long, probe boolean"), "jaccard-possible")
+
+
+def linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles) of all rows, and (node, component) of the documents that link with a smaller one."""
     if 8 * num < den:
         raise ValueError("thresholds under 1/8 would make prefixes of nearly whole sets")
     rows = _rows(docs, id_col, text_col)
@@ -358,34 +420,55 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frequent, rank = (spark.sparkContext.broadcast(x) for x in frequent_shingles(rows, n))
     posted = post(rows, frequent, rank, n, num, den, 4 * partitions)
-    members = candidates(posted, partitions)
-    similar = members.where(F.least("ref_n", "center_n") * den >= F.greatest("ref_n", "center_n") * num)
-    links = posted.where("doc_id IS NOT NULL AND twin <> doc_id").select(F.col("doc_id").alias("a"), F.col("twin").alias("b"))
-    often = similar.where("center <> ref").groupBy("center", "ref").agg(F.count("*").alias("k"), F.first("ref_n").alias("n")).where(F.col("k") >= 1 + F.least(F.lit(3), F.floor(F.col("n") / 32)))
-    links = staged(links.union(verify(staged(often.select("center", "ref"), "jaccard-pairs"), rows, n, num, den)), "jaccard-links")
+    grouped = classes(members(posted, partitions, num, den))
+    sets = candidate_sets(rows.where("doc_id IS NOT NULL"), grouped, n)
+    twins = posted.where("doc_id IS NOT NULL AND twin <> doc_id").select(F.col("doc_id").alias("a"), F.col("twin").alias("b"))
+    links = twins.union(trie_links(star_pairs(grouped, num, den), sets, num, den))
     labels = components(links)
-    for forest in (True, False):
-        pairs = staged(leftover_pairs(members, labels, rows, frequent, rank, n, num, den, forest).distinct(), "jaccard-pairs")
-        if pairs.isEmpty():
-            break
-        more = staged(verify(pairs, rows, n, num, den), "jaccard-links")
-        if more.isEmpty():
-            continue
-        links = links.union(more)
-        labels = components(links)
-    shown = posted.where("bucket IS NULL AND h IS NULL").select("doc_id", F.col("n").alias("n_shingles"))
+    more = trie_links(possible(open_blocks(grouped, labels, num, den), sets, num, den), sets, num, den)
+    if not more.isEmpty():
+        labels = components(links.union(more))
+    return posted.where("n IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles")), labels
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id, the smallest id that links lead to.
+
+    Documents link when the Jaccard similarity of their sets of ``n``-word shingles (A-Z lower-cased, words between
+    white space) is at least ``num / den``. A text of fewer words is one shingle; null texts and texts without words
+    have none and link with nothing, as do null ids, whose component is null. Repeated rows each give a row; rows that
+    share an id are one node of the links.
+
+    Linked sets share k of the first n - ceil(t n) + k shingles of a global order. Shingles with the same members are
+    one class. (1) The smallest document of each class is held against a trie of those members that share enough with
+    it, so families of copies come together by as many pairs as members. (2) Where a class still joins different
+    components, those are compared, first by sketches that bound the overlap, then by tries of what these leave.
+    Nothing that the bounds allow is skipped, so no link between components is lost.
+    """
+    shown, labels = linked(docs, id_col, text_col, n, num, den)
     return shown.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; of rows that share an id, one. Null ids stay."""
-    kept = staged(join(docs, id_col, text_col, n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")), "jaccard-kept")
-    keyed = docs.withColumn("__kept", F.col(id_col).cast("long"))
-    found = keyed.where("__kept IS NOT NULL").join(_near(kept.distinct()), "__kept", "left_semi")
-    if not kept.groupBy("__kept").count().where("count > 1").isEmpty():
-        found = found.dropDuplicates(["__kept"])
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return found.select(*own).union(keyed.where("__kept IS NULL").select(*own))
+    """The rows of ``docs`` without those that link, directly or by others, with a row of a smaller id (null ids last).
+
+    Rows count by id and text: rows that share an id stay unless their texts link, and of rows equal in both, with a
+    word in the text, one stays. Rows without words all stay. Columns may have any names.
+    """
+    node, least, times = fresh(docs, "node"), fresh(docs, "least"), fresh(docs, "times")
+    keyed = docs.withColumn(node, F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")))
+    _, labels = linked(keyed, node, f"`{text_col}`", n, num, den)
+    labels = staged(labels.union(labels.select("component", "component").distinct()), "jaccard-labels")
+    ids = keyed.select(F.col(node).alias("node"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    known = ids.join(_near(labels), "node").withColumn("order", F.struct(F.col("id").isNull(), "id", "node"))
+    first = known.groupBy("component").agg(F.min("order").getField("node").alias("node"))
+    gone = staged(labels.join(first, "node", "left_anti").select(F.col("node").alias(node)), "jaccard-gone")
+    left = keyed.join(_near(gone), node, "left_anti")
+    again = staged(left.where(F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]")).groupBy(node).agg(F.count("*").alias(times)).where(F.col(times) > 1).select(F.col(node)), "jaccard-again")
+    if not again.isEmpty():
+        repeated = left.join(again, node, "left_semi")
+        left = left.join(again, node, "left_anti").union(repeated.dropDuplicates([node]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
+import xxhash
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPACES = np.zeros(256, bool)
-_SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_WORD = np.ones(256, np.int8)
+_WORD[[0x20, 9, 10, 11, 12, 13]] = 0
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Masks that leave the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes beyond which a word is hashed by itself.
+LONG_WORD = 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -18,45 +21,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    up, down = np.full(n, _BASE), np.full(n, inverse)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of lower-cased ``raw`` and where they start."""
-    b = np.frombuffer(raw.translate(_LOWER), np.uint8)
-    word = ~_SPACES[b]
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], word.view(np.int8), [0]))))
+    raw = raw.translate(_LOWER)
+    b = np.frombuffer(raw + bytes(8), np.uint8)
+    word = _WORD[b[: len(raw)]]
+    edge = np.flatnonzero(np.diff(word, prepend=0, append=0))
     start, end = edge[::2], edge[1::2]
-    n = 1 << max(12, int(len(b)).bit_length())
-    up, down = _powers(n)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(up[: len(b)] * (b.astype(np.uint64) + np.uint64(1)), dtype=np.uint64)))
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
+    size = end - start
+    eight = np.lib.stride_tricks.sliding_window_view(b, 8)
+    out = mix(eight[start].view("<u8")[:, 0] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * _FACTOR
+    more, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(more):
+        part = eight[start[more] + at].view("<u8")[:, 0] & _FIRST[np.minimum(size[more] - at, 8)]
+        out[more] = mix(out[more] * _FACTOR + part)
+        at += 8
+        more = more[size[more] > at]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    return mix(out), start
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """For each text its distinct ``n``-word shingles, ascending; a text of fewer words has one, of none none."""
     raws = [(t or "").encode() for t in texts]
-    size = np.cumsum([0] + [len(r) + 1 for r in raws])
     hashes, start = word_hashes(b" ".join(raws) + b" ")
-    first = np.searchsorted(start, size)
-    with np.errstate(over="ignore"):
-        together = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
-        for i in range(n):
-            together = mix(together * np.uint64(0xD6E8FEB86659FD93) + hashes[i : len(hashes) - n + 1 + i])
-        out = []
-        for a, b in zip(first, first[1:]):
-            if b - a >= n:
-                out.append(np.unique(together[a : b - n + 1]))
-            elif b > a:
-                whole = np.uint64(b - a)
-                for h in hashes[a:b]:
-                    whole = mix(np.array([whole * np.uint64(0xD6E8FEB86659FD93) + h], np.uint64))[0]
-                out.append(np.array([whole], np.uint64))
-            else:
-                out.append(np.zeros(0, np.uint64))
+    ends = np.searchsorted(start, np.cumsum([len(r) + 1 for r in raws])).tolist()
+    factor = mix(np.arange(1, n + 2, dtype=np.uint64)) | np.uint64(1)
+    together = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
+    for i in range(n):
+        together += hashes[i : len(hashes) - n + 1 + i] * factor[i]
+    together = mix(together)
+    out, a = [], 0
+    for b in ends:
+        if b - a >= n:
+            s = np.sort(together[a : b - n + 1])
+            out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+        elif b > a:  # as one, apart from shingles of n words by how many there are
+            out.append(mix((hashes[a:b] * factor[: b - a]).sum(keepdims=True) + factor[n] * np.uint64(b - a)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+        a = b
     return out

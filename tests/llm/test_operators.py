@@ -307,26 +307,52 @@ def test_jaccard(docs, texts, n, num, den):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
-def test_family_of_near_copies(spark):
+def family(n):
     """Copies that all differ from each other in places of their own: chains, and pairs just short of a link."""
-    words = [f"w{i}" for i in range(120)]
-    family = []
-    for i in range(160):
+    words, made = [f"w{i}" for i in range(120)], []
+    for i in range(n):
         own = list(words)
         for k in range(R.randint(0, 6)):
             own[R.randrange(120)] = f"e{i}.{k}"
-        family.append((i, " ".join(own)))
-    got = op5_jaccard.join(spark.createDataFrame(family, "doc_id long, text string").repartition(8), n=4, num=85, den=100)
-    assert sorted(map(tuple, got.collect())) == brute_components(family, 4, 85, 100)
+        made.append((i, " ".join(own)))
+    return made
 
 
-def test_trie_join():
-    for _ in range(200):
+@pytest.mark.parametrize("block", [2048, 9])
+def test_family_of_near_copies(spark, monkeypatch, block):
+    """In one block of a class, and dealt into many."""
+    monkeypatch.setattr(op5_jaccard, "BLOCK", block)
+    rows = family(160)
+    got = op5_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), n=4, num=85, den=100)
+    assert sorted(map(tuple, got.collect())) == brute_components(rows, 4, 85, 100)
+
+
+def test_links_that_no_star_has(spark, monkeypatch):
+    """Classes whose smallest document links with nobody, so that sketches and tries of open classes must find the links."""
+    monkeypatch.setattr(op5_jaccard, "BLOCK", 5)
+    monkeypatch.setattr(op5_jaccard, "star_pairs", lambda grouped, num, den: grouped.select("c", F.lit(0).alias("own"), F.lit(0).alias("other"), "ref", F.col("ref").alias("component"), F.lit(False).alias("probe")).where("false"))
+    rows = family(60) + [(1000 + i, t + " and more") for i, t in family(30)]
+    got = op5_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n=4, num=85, den=100)
+    assert sorted(map(tuple, got.collect())) == brute_components(rows, 4, 85, 100)
+
+
+def test_trie():
+    for _ in range(300):
         sets = [np.unique(np.array([R.randrange(60) for _ in range(R.randint(0, 40))], np.uint64)) for _ in range(12)]
-        sets += [np.unique(np.append(s, np.uint64(99)))[:-1] for s in sets[:4]]
+        sets += [np.unique(np.append(s, np.uint64(99)))[:-1] for s in sets[:4]] + [s[: len(s) // 2] for s in sets[4:8]]
         probe, *rest = sets
-        want = [i for i, s in enumerate(rest) if len(s) and len(probe) and 10 * len(set(s) & set(probe)) >= 5 * len(set(s) | set(probe))]
-        assert sorted(op5_jaccard.trie_join(probe, rest, 5, 10)) == want
+        wanted = np.array([R.random() < 0.8 for _ in rest])
+        want = [i for i, s in enumerate(rest) if wanted[i] and len(s) and len(probe) and 10 * len(set(s) & set(probe)) >= 5 * len(set(s) | set(probe))]
+        assert sorted(op5_jaccard.Trie(rest).linked(probe, wanted, 5, 10)) == want
+
+
+def test_trie_leaves_subtrees(monkeypatch):
+    """Sets that share their beginning are looked up there once, and not at all below a node that can't link."""
+    sets = [np.array([*range(0, 640), 1000 + i], np.uint64) for i in range(50)] + [np.array([*range(5000, 5640), 9000 + i], np.uint64) for i in range(50)]
+    trie, seen, search = op5_jaccard.Trie(sets), [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v: seen.append(len(v)) or search(a, v))
+    got = trie.linked(np.array([*range(0, 640), 2000], np.uint64), np.ones(100, bool), 85, 100)
+    assert sorted(got) == list(range(50)) and sum(seen) <= 640 + 50 + 192
 
 
 def test_sketches_bound_the_difference():
@@ -339,11 +365,21 @@ def test_sketches_bound_the_difference():
         assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
-def test_one_of_each(docs, texts):
+def test_one_of_each(spark, docs, texts):
+    """Rows of one id stay unless their texts link; of rows with the same id and text one stays; without words all stay."""
+    docs = docs.withColumn("node", F.lit(1)).withColumn("Least", F.lit(2)).withColumn("_times", F.lit(3)).withColumn("a.b", F.lit(4)).withColumn("__kept", F.lit(5))
+    more = [(700, "a text about something else with more than five words"), (700, "quite another text of the same id, which stays as well"), (700, None), (700, None), (None, "no id"), (None, None), (None, prose(30))]
+    every = [*texts, *more]
+    docs = docs.union(spark.createDataFrame([(d, t, "x", 1, 2, 3.0, 1, 2, 3, 4, 5) for d, t in more], docs.schema))
     kept = op5_jaccard.one_of_each(docs)
-    comp = {d: c for d, _, c in brute_components(texts, 5, 8, 10)}
-    assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect() if r.doc_id is not None)) == sorted({d for d, c in comp.items() if d == c})
+    assert kept.columns == docs.columns and kept.select("__kept").distinct().collect() == [(5,)]
+    nodes = [(i, t) for i, (d, t) in enumerate(every)]
+    comp = {i: c for i, _, c in brute_components(nodes, 5, 8, 10)}
+    groups = collections.defaultdict(list)
+    for i, (d, t) in enumerate(every):
+        groups[comp[i]].append((d is None, d or 0, t or ""))
+    want = sorted(min(g) for g in groups.values())
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == want
 
 
 def test_jaccard_of_nothing(none):
@@ -527,7 +563,7 @@ def test_pipeline(spark, tmp_path):
         old, new = ({r.doc_id: r.text for r in x.collect()} for x in (before, docs))
         if name == "jaccard_join":
             comp = {d: c for d, _, c in brute_components(sorted(old.items()), 5, 8, 10)}
-            assert set(new) == {d for d, c in comp.items() if c == d}
+            assert set(new) == {d for d, c in comp.items() if c == d} and docs.count() == len(new)
         elif name == "decontamination":
             items = [tuple(r) for r in spark.read.parquet(f"{src}/benchmark.parquet").select("item_id", "text").collect()]
             assert set(new) == {h[0] for h in brute_hits(old.items(), items, 10) if not h[5]}
