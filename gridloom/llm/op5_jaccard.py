@@ -20,6 +20,8 @@ COUNTED = 1 << 21
 PIECE = 512 << 10
 #: Members, and shingles of members, that a block of a class has about; classes with more are dealt into several.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Pairs for each document up to which a block gives out pairs; beyond, it gives out its documents.
+DENSE = 16
 #: Rows of ids (32 bytes at most) up to which they are broadcast to find their texts; beyond, texts are shuffled to them.
 BROADCAST_IDS = 1 << 20
 
@@ -306,7 +308,7 @@ def trie_links(dealt: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     The documents of a key make a trie, which those marked ``probe`` are held against. Links within what links
     already join, here or in earlier rounds (``component``), aren't looked for; so there are less of them than documents.
     """
-    found = dealt.join(sets.select("ref", "shingles"), "ref").select(*KEY, "probe", "ref", "component", "shingles")
+    found = _near(staged(dealt, "jaccard-dealt")).join(sets.select("ref", "shingles"), "ref").select(*KEY, "probe", "ref", "component", "shingles")
 
     def run(batches):
         for _, held in _by_key(batches, 4):
@@ -326,16 +328,21 @@ def trie_links(dealt: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return staged(found.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
+def by_center(pairs: DataFrame) -> DataFrame:
+    """(KEY, ref, component, probe) of ``pairs`` (center, ref, n, component, center_component): a center asks its partners, in chunks."""
+    chunks = pairs.groupBy(F.col("center").alias("c")).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("chunks"), F.first("center_component").alias("component"))
+    dealt = pairs.join(chunks.select("c", "chunks"), pairs["center"] == chunks["c"]).select("c", F.pmod(F.xxhash64("ref"), "chunks").cast("int").alias("own"), F.lit(0).alias("other"), "ref", "component", F.lit(False).alias("probe"))
+    return dealt.union(chunks.select("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), F.lit(0), "c", "component", F.lit(True)))
+
+
 def star_pairs(grouped: DataFrame, num: int, den: int) -> DataFrame:
-    """The smallest document of each class with those members that share enough with it in such classes, in chunks."""
+    """Pairs of the smallest document of each class and those members that share enough with it in such classes."""
     center = grouped.groupBy("c").agg(F.min(F.struct("ref", "ref_n")).alias("center"))
     met = grouped.join(center, "c").select("ref", "ref_n", "weight", F.col("center.ref").alias("center"), F.col("center.ref_n").alias("n")).where("ref <> center")
     met = met.where(F.least("ref_n", "n") * den >= F.greatest("ref_n", "n") * num).withColumn("least", F.least("ref_n", "n"))
     met = met.groupBy("center", "ref").agg(F.sum("weight").alias("k"), F.max("ref_n").alias("n"), F.min("least").alias("least"))
-    met = staged(met.where(F.col("k") >= 1 + F.least(F.lit(7), F.floor(F.col("least") / 16))), "jaccard-pairs")
-    chunks = met.groupBy(F.col("center").alias("c")).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("chunks"))
-    dealt = met.join(chunks, met["center"] == chunks["c"]).select("c", F.pmod(F.xxhash64("ref"), "chunks").cast("int").alias("own"), F.lit(0).alias("other"), "ref", F.col("ref").alias("component"), F.lit(False).alias("probe"))
-    return dealt.union(chunks.select("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), F.lit(0), "c", "c", F.lit(True)))
+    met = met.where(F.col("k") >= 1 + F.least(F.lit(7), F.floor(F.col("least") / 16)))
+    return staged(met.select("center", "ref", "n", F.col("ref").alias("component"), F.col("center").alias("center_component")), "jaccard-pairs")
 
 
 def open_blocks(grouped: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
@@ -363,19 +370,20 @@ def open_blocks(grouped: DataFrame, labels: DataFrame, num: int, den: int) -> Da
     return staged(own.union(copies), "jaccard-blocks")
 
 
-def possible(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(KEY, ref, component, probe) of the documents of blocks that their sketches allow to link with one of another component.
+def possible(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """What the sketches of the documents of blocks allow to link, of different components: pairs, and dense blocks.
 
     Two sets differ in at least as many shingles as their parity sketches differ in places, which refutes nearly all
-    pairs that aren't links. Rows grow with the members of blocks, not with pairs.
+    pairs that aren't links. The pairs that are left of a block go out as pairs (as ``by_center`` takes them; a pair
+    that several classes have counts once) if they are at most DENSE for each document, else those documents do, as rows
+    (KEY, ref, component, probe). So rows grow with the members of blocks, not with pairs.
     """
     dealt = blocks.join(sets.select("ref", "sketch"), "ref").select(*KEY, "ref", "ref_n", "component", "asks", "copy", "sketch")
-    shape = pa.schema([("c", pa.int64()), ("own", pa.int32()), ("other", pa.int32()), ("ref", pa.int64()), ("component", pa.int64()), ("probe", pa.bool_())])
+    shape = pa.schema([("c", pa.int64()), ("own", pa.int32()), ("other", pa.int32()), ("ref", pa.int64()), ("component", pa.int64()), ("probe", pa.bool_()), ("n", pa.int64()), ("center", pa.int64()), ("center_component", pa.int64())])
 
-    def met(held: list[tuple]) -> np.ndarray:
+    def met(key: tuple, held: list[tuple]) -> list[tuple]:
         size, comp = np.array([x[1] for x in held]), np.array([x[2] for x in held])
         asks, copy = np.array([x[3] for x in held]), np.array([x[4] for x in held])
-        out = np.zeros(len(held), bool)
         width = np.array([len(x[5]) for x in held])
         folded = {}
         for w in set(width.tolist()):
@@ -385,6 +393,8 @@ def possible(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 of = wide[width[wide] == v]
                 folded[w][of] = _folded(np.frombuffer(b"".join(held[i][5] for i in of), np.uint8).reshape(len(of), v), w)
         by_copies = copy.any()
+        pairs: list[tuple[int, int]] | None = []
+        seen = np.zeros(len(held), bool)
         for x in np.flatnonzero(copy if by_copies else asks):
             y = (comp != comp[x]) & ~copy & (np.minimum(size, size[x]) * den >= np.maximum(size, size[x]) * num)
             for w in {int(width[x]), *width[y & (width < width[x])].tolist()}:
@@ -392,15 +402,22 @@ def possible(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 apart = np.bitwise_count(folded[w][z] ^ folded[w][x]).sum(axis=1)
                 z = z[apart <= size[x] + size[z] - 2 * needed(size[x], size[z], num, den)]
                 if len(z):
-                    out[x] = True
-                    out[z] = True
-        return out
+                    seen[x] = True
+                    seen[z] = True
+                    if pairs is not None:
+                        pairs += [(x, int(i)) for i in z]
+                        pairs = pairs if len(pairs) <= 2 * DENSE * len(held) else None  # each pair may be met from both ends
+        ends = {tuple(sorted((held[x][0], held[z][0]))): (x, z) for x, z in pairs or ()}
+        if pairs is not None and len(ends) <= DENSE * int(seen.sum()):
+            chosen = [sorted((held[i][0], held[i][2], held[i][1]) for i in xz) for xz in ends.values()]
+            return [(None, None, None, b[0], b[1], None, b[2], a[0], a[1]) for a, b in chosen]
+        return [(*key, held[i][0], held[i][2], held[i][3], None, None, None) for i in np.flatnonzero(seen)]
 
     def run(batches):
         out: list[tuple] = []
         for key, held in _by_key(batches, 6):
             if len(held) > 1:
-                out += [(*key, held[i][0], held[i][2], held[i][3]) for i in np.flatnonzero(met(held))]
+                out += met(key, held)
             if len(out) > 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), shape)], schema=shape)
                 out = []
@@ -408,7 +425,9 @@ def possible(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), shape)], schema=shape)
 
     sorted_ = dealt.repartition(*KEY).sortWithinPartitions(*KEY)
-    return staged(sorted_.mapInArrow(run, "c long, own int, other int, ref long, component long, probe boolean"), "jaccard-possible")
+    found = staged(sorted_.mapInArrow(run, "c long, own int, other int, ref long, component long, probe boolean, n long, center long, center_component long"), "jaccard-possible")
+    pairs = found.where("center IS NOT NULL").groupBy("center", "ref").agg(F.max("n").alias("n"), F.first("component").alias("component"), F.first("center_component").alias("center_component"))
+    return pairs, found.where("center IS NULL").select(*KEY, "ref", "component", "probe")
 
 
 def linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -423,9 +442,10 @@ def linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: i
     grouped = classes(members(posted, partitions, num, den))
     sets = candidate_sets(rows.where("doc_id IS NOT NULL"), grouped, n)
     twins = posted.where("doc_id IS NOT NULL AND twin <> doc_id").select(F.col("doc_id").alias("a"), F.col("twin").alias("b"))
-    links = twins.union(trie_links(star_pairs(grouped, num, den), sets, num, den))
+    links = twins.union(trie_links(by_center(star_pairs(grouped, num, den)), sets, num, den))
     labels = components(links)
-    more = trie_links(possible(open_blocks(grouped, labels, num, den), sets, num, den), sets, num, den)
+    pairs, dense = possible(open_blocks(grouped, labels, num, den), sets, num, den)
+    more = trie_links(by_center(pairs).union(dense), sets, num, den)
     if not more.isEmpty():
         labels = components(links.union(more))
     return posted.where("n IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles")), labels

@@ -330,7 +330,7 @@ def test_family_of_near_copies(spark, monkeypatch, block):
 def test_links_that_no_star_has(spark, monkeypatch):
     """Classes whose smallest document links with nobody, so that sketches and tries of open classes must find the links."""
     monkeypatch.setattr(op5_jaccard, "BLOCK", 5)
-    monkeypatch.setattr(op5_jaccard, "star_pairs", lambda grouped, num, den: grouped.select("c", F.lit(0).alias("own"), F.lit(0).alias("other"), "ref", F.col("ref").alias("component"), F.lit(False).alias("probe")).where("false"))
+    monkeypatch.setattr(op5_jaccard, "star_pairs", lambda grouped, num, den: grouped.select(*[F.col("ref").alias(x) for x in ("center", "ref", "n", "component", "center_component")]).where("false"))
     rows = family(60) + [(1000 + i, t + " and more") for i, t in family(30)]
     got = op5_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n=4, num=85, den=100)
     assert sorted(map(tuple, got.collect())) == brute_components(rows, 4, 85, 100)
