@@ -271,54 +271,59 @@ def _folded(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def candidate_sets(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(ref, shingles, sketch) of the documents of ``ids`` (ref), made once and staged."""
+def sketches(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(ref, sketch) of the documents of ``ids`` (ref), made once and staged."""
 
     def run(batches):
         for batch in batches:
             for part in pieces([batch], "text", PIECE):
-                sets = shingle_sets(part.column(1).to_pylist(), n)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(map(_sketch, sets), pa.binary())], names=["ref", "shingles", "sketch"])
+                made = map(_sketch, shingle_sets(part.column(1).to_pylist(), n))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["ref", "sketch"])
 
     wanted = _near(staged(ids.select(F.col("ref").alias("doc_id")).distinct(), "jaccard-wanted"))
-    return staged(rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "ref long, shingles binary, sketch binary"), "jaccard-sets")
+    return staged(rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "ref long, sketch binary"), "jaccard-sketches")
 
 
 KEY = ["c", "own", "other"]
 
 
-def _by_key(batches, columns: int):
-    """Lists of the rows (the columns after KEY) of one key after the other, from batches sorted by key."""
+def _by_key(rows):
+    """Lists of the rows of one key (their first three columns) after the other, without the key; rows are sorted by key."""
     key, held = None, []
-    for batch in batches:
-        for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-            for row in zip(*(x.to_pylist() for x in part.columns)):
-                if row[:3] != key:
-                    if held:
-                        yield key, held
-                    key, held = row[:3], []
-                held.append(row[3 : 3 + columns])
+    for row in rows:
+        if row[:3] != key:
+            if held:
+                yield key, held
+            key, held = row[:3], []
+        held.append(row[3:])
     if held:
         yield key, held
 
 
-def trie_links(dealt: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def trie_links(dealt: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links (a, b) among the documents (KEY, ref, component, probe) of each key.
 
     The documents of a key make a trie, which those marked ``probe`` are held against. Links within what links
     already join, here or in earlier rounds (``component``), aren't looked for; so there are less of them than documents.
     """
-    found = _near(staged(dealt, "jaccard-dealt")).join(sets.select("ref", "shingles"), "ref").select(*KEY, "probe", "ref", "component", "shingles")
+    near = _near(staged(dealt.withColumnRenamed("ref", "doc_id"), "jaccard-dealt"))
+    found = rows.join(near, "doc_id").select(*KEY, "probe", "doc_id", "component", "text")
+
+    def sets(batches):
+        for batch in batches:
+            for part in pieces([batch], "text", PIECE):
+                *known, texts = (x.to_pylist() for x in part.columns)
+                yield from zip(*known, shingle_sets(texts, n))
 
     def run(batches):
-        for _, held in _by_key(batches, 4):
-            trie = Trie([np.frombuffer(x[3], np.uint64) for x in held])
+        for _, held in _by_key(sets(batches)):
+            trie = Trie([x[3] for x in held])
             joined = np.unique([x[2] for x in held], return_inverse=True)[1]
             out = []
-            for i, (probe, ref, _, raw) in enumerate(held):
+            for i, (probe, ref, _, own) in enumerate(held):
                 if not probe:
                     continue
-                for j in trie.linked(np.frombuffer(raw, np.uint64), joined != joined[i], num, den):
+                for j in trie.linked(own, joined != joined[i], num, den):
                     if joined[j] != joined[i]:
                         joined[joined == joined[j]] = joined[i]
                         out.append((ref, held[j][1]))
@@ -370,7 +375,7 @@ def open_blocks(grouped: DataFrame, labels: DataFrame, num: int, den: int) -> Da
     return staged(own.union(copies), "jaccard-blocks")
 
 
-def possible(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def possible(blocks: DataFrame, sketched: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """What the sketches of the documents of blocks allow to link, of different components: pairs, and dense blocks.
 
     Two sets differ in at least as many shingles as their parity sketches differ in places, which refutes nearly all
@@ -378,7 +383,7 @@ def possible(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[Da
     that several classes have counts once) if they are at most DENSE for each document, else those documents do, as rows
     (KEY, ref, component, probe). So rows grow with the members of blocks, not with pairs.
     """
-    dealt = blocks.join(sets.select("ref", "sketch"), "ref").select(*KEY, "ref", "ref_n", "component", "asks", "copy", "sketch")
+    dealt = blocks.join(sketched, "ref").select(*KEY, "ref", "ref_n", "component", "asks", "copy", "sketch")
     shape = pa.schema([("c", pa.int64()), ("own", pa.int32()), ("other", pa.int32()), ("ref", pa.int64()), ("component", pa.int64()), ("probe", pa.bool_()), ("n", pa.int64()), ("center", pa.int64()), ("center_component", pa.int64())])
 
     def met(key: tuple, held: list[tuple]) -> list[tuple]:
@@ -415,7 +420,8 @@ def possible(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[Da
 
     def run(batches):
         out: list[tuple] = []
-        for key, held in _by_key(batches, 6):
+        parts = (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256))
+        for key, held in _by_key(row for part in parts for row in zip(*(x.to_pylist() for x in part.columns))):
             if len(held) > 1:
                 out += met(key, held)
             if len(out) > 1000:
@@ -440,12 +446,12 @@ def linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: i
     frequent, rank = (spark.sparkContext.broadcast(x) for x in frequent_shingles(rows, n))
     posted = post(rows, frequent, rank, n, num, den, 4 * partitions)
     grouped = classes(members(posted, partitions, num, den))
-    sets = candidate_sets(rows.where("doc_id IS NOT NULL"), grouped, n)
+    rows = rows.where("doc_id IS NOT NULL")
     twins = posted.where("doc_id IS NOT NULL AND twin <> doc_id").select(F.col("doc_id").alias("a"), F.col("twin").alias("b"))
-    links = twins.union(trie_links(by_center(star_pairs(grouped, num, den)), sets, num, den))
+    links = twins.union(trie_links(by_center(star_pairs(grouped, num, den)), rows, n, num, den))
     labels = components(links)
-    pairs, dense = possible(open_blocks(grouped, labels, num, den), sets, num, den)
-    more = trie_links(by_center(pairs).union(dense), sets, num, den)
+    pairs, dense = possible(open_blocks(grouped, labels, num, den), sketches(rows, grouped, n), num, den)
+    more = trie_links(by_center(pairs).union(dense), rows, n, num, den)
     if not more.isEmpty():
         labels = components(links.union(more))
     return posted.where("n IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles")), labels
