@@ -12,73 +12,101 @@ from .common import staged, table
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: What the models judge: whole runs of these characters, of 20 at least.
-TOKEN = r"(?<![\p{L}\p{N}+/_-])[A-Za-z0-9+/_-]{20,}(?![\p{L}\p{N}+/_-])"
+#: What the models judge: whole runs of these characters, of 12 at least.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+"
 KINDS = ["assign", "access", "hex", "markov"]
 PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "markov": TOKEN}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-#: Nats a transition and in all by which a run must look random rather than ordinary.
+#: Ordinary identifiers that are learned besides those of the documents, each as often as SAMPLE_WEIGHT runs.
+ORDINARY = [
+    "2024-01-02T03-04-05", "1999-12-31", "978-3-16-148410-0", "01234567890123456789", "1000000000000000", "release-1-12-0",
+    "/usr/local/lib/python3/dist-packages", "/var/log/2023/11/30/access", "org/apache/spark/sql", "getElementsByClassName",
+    "MAX_VALUE_OF_COLUMN", "user_id_of_customer_17", "image-2048x1536-large", "README-en-2020",
+]
+SAMPLE_WEIGHT = 10
+#: Weight of a character's own frequency against the counts of what came before it, in both models.
+BACK_OFF = 5.0
+#: The share of a uniform model in the model of ordinary strings and in that of random ones.
+UNIFORM = (0.02, 0.5)
+#: Nats a transition and in all by which a run must look random rather than ordinary. Of the 27,015 different ordinary
+#: runs of sf0.1 the most random has 3.8 in all and 0.32 a transition; of random strings of 12 letters and digits 19 of
+#: 20 have 16.9 or more in all, 2.6 a transition in the median.
 MIN_MEAN, MIN_TOTAL = 0.5, 8.0
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: Matches whose places are added up at once; longer lists are added up by such chunks, so that time stays near linear.
+CHUNK = 128
 
 
 def _located(gaps: Column, matches: Column, kind: int) -> Column:
     """Where the matches of a pattern lie, from the lengths of the texts between and of the matches."""
-    sizes = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    sizes = F.filter(F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"))), lambda x: x["n"].isNotNull())
+    chunks = F.when(F.size(sizes) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int")), lambda c: F.slice(sizes, c * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.array())
+    starts = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    total = lambda chunk: F.aggregate(chunk, F.lit(0), lambda n, x: n + x["gap"] + x["n"])
+    starts = F.aggregate(chunks, starts, lambda done, c: F.struct((done["at"] + total(c)).alias("at"), F.concat(done["out"], F.array(done["at"])).alias("out")), lambda done: done["out"])
 
     def step(done: Column, x: Column) -> Column:
         at = done["at"] + x["gap"]
         span = F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + x["n"]).alias("end"))
-        return F.when(x["n"].isNull(), done).otherwise(F.struct((at + x["n"]).alias("at"), F.concat(done["out"], F.array(span)).alias("out")))
+        return F.struct((at + x["n"]).alias("at"), F.concat(done["out"], F.array(span)).alias("out"))
 
-    found = F.aggregate(sizes, start, step, lambda done: done["out"])
-    return F.coalesce(found, F.array().cast(SPAN))
+    within = lambda at, chunk: F.aggregate(chunk, F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")), step, lambda done: done["out"])
+    return F.coalesce(F.flatten(F.zip_with(starts, chunks, within)), F.array().cast(SPAN))
 
 
 def extract(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__base`` (spans of the rules), ``__values`` (what those hold) and ``__runs`` (what the models judge)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    found = docs.select(*own, *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"__m_{k}") for k, p in PATTERNS.items()])
-    found = found.withColumn("__g_assign", F.when(F.size("__m_assign") > 0, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1))))
-    found = found.select("*", *[F.when(F.size(f"__m_{k}") > 0, F.split(text, p, -1)).alias(f"__p_{k}") for k, p in PATTERNS.items()])
-    spans = {k: _located(F.col(f"__p_{k}"), F.col(f"__m_{k}"), i) for i, k in enumerate(KINDS)}
-    found = found.select(*own, "__m_access", "__m_hex", "__m_markov", "__g_assign", *[s.alias(f"__s_{k}") for k, s in spans.items()])
-    long_enough = F.filter("__s_assign", lambda s, i: F.length(F.get("__g_assign", i)) >= 6)
-    base = F.array_sort(F.concat(long_enough, "__s_access", "__s_hex"))
-    values = F.concat(F.filter(F.coalesce("__g_assign", F.array().cast("array<string>")), lambda v: F.length(v) >= 6), "__m_access", "__m_hex")
-    run = F.zip_with("__s_markov", "__m_markov", lambda s, m: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), m.alias("value")))
-    return found.select(*own, base.alias("__base"), values.alias("__values"), run.alias("__runs"))
+    """(doc, base, held, runs): the row, spans of the rules, what those hold, and runs that the models judge."""
+    text = F.coalesce(F.col("doc").getField(text_col), F.lit(""))
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    found = found.select("doc", *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"m_{k}") for k, p in PATTERNS.items()])
+    found = found.withColumn("g_assign", F.when(F.size("m_assign") > 0, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1))))
+    found = found.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split(text, p, -1)).alias(f"p_{k}") for k, p in PATTERNS.items()])
+    spans = {k: _located(F.col(f"p_{k}"), F.col(f"m_{k}"), i) for i, k in enumerate(KINDS)}
+    found = found.select("doc", "m_access", "m_hex", "m_markov", "g_assign", *[s.alias(f"s_{k}") for k, s in spans.items()])
+    long_enough = F.filter("s_assign", lambda s, i: F.length(F.get("g_assign", i)) >= 6)
+    base = F.array_sort(F.concat(long_enough, "s_access", "s_hex"))
+    held = F.concat(F.filter(F.coalesce("g_assign", F.array().cast("array<string>")), lambda v: F.length(v) >= 6), "m_access", "m_hex")
+    run = F.zip_with("s_markov", "m_markov", lambda s, m: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), m.alias("value")))
+    return found.select("doc", base.alias("base"), held.alias("held"), run.alias("runs"))
 
 
 def train(found: DataFrame) -> list[float]:
     """Log-likelihood ratio of each transition, by the two characters' places in ALPHABET; one row a transition reaches the driver.
 
-    Random strings are what the rules found; ordinary ones are the runs without digits of documents in which the rules
-    found nothing, as written, in upper case and in lower case. Each model is mixed half and half with a uniform one, so transitions
-    not seen tell little, and without samples of a kind its model is uniform.
+    Random strings are what the rules found. Ordinary ones are ORDINARY and the runs of documents in which the rules
+    found nothing, as written, in upper case and in lower case, each different one once; those with digits only if
+    several documents have them, as a secret that no rule knows has one. Both models back off to how often their
+    characters occur and are mixed with a uniform one (UNIFORM), so that transitions not seen tell little. Without samples
+    of secrets that model is uniform.
     """
-    secret = found.select(F.lit(1).alias("label"), F.explode("__values").alias("value"))
-    plain = found.where(F.size("__base") == 0).select(F.lit(0).alias("label"), F.explode("__runs.value").alias("value")).where(~F.col("value").rlike("[0-9]"))
-    plain = plain.select("label", F.explode(F.array("value", F.upper("value"), F.lower("value"))).alias("value"))
-    pairs = secret.union(plain).where(F.length("value") > 1).select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.col("value").substr(i, F.lit(2)))).alias("pair"))
+    secret = found.select(F.lit(1).alias("label"), F.explode("held").alias("value"), F.lit(1).alias("k"))
+    seen = found.where(F.size("base") == 0).select(F.explode(F.array_distinct("runs.value")).alias("value")).groupBy("value").agg(F.count("*").alias("k"))
+    seen = seen.where((F.col("k") > 1) | ~F.col("value").rlike("[0-9]")).select("value", F.lit(1).alias("k"))
+    given = found.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ORDINARY))).alias("value"), F.lit(SAMPLE_WEIGHT).alias("k"))
+    plain = seen.union(given).select(F.lit(0).alias("label"), F.explode(F.array("value", F.upper("value"), F.lower("value"))).alias("value"), "k")
+    pairs = secret.union(plain).where(F.length("value") > 1).select("label", "k", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.col("value").substr(i, F.lit(2)))).alias("pair"))
     counts: dict[int, dict[str, int]] = {0: {}, 1: {}}
-    for r in pairs.groupBy("label", "pair").count().where(F.col("pair").rlike(r"^[A-Za-z0-9+/_-]{2}$")).collect():
-        counts[r["label"]][r["pair"]] = r["count"]
-    rows = {k: {a: sum(v.get(a + b, 0) for b in ALPHABET) for a in ALPHABET} for k, v in counts.items()}
-    uniform = 1 / len(ALPHABET)
+    for r in pairs.groupBy("label", "pair").agg(F.sum("k").alias("k")).where(F.col("pair").rlike(r"^[A-Za-z0-9+/_-]{2}$")).collect():
+        counts[r["label"]][r["pair"]] = r["k"]
+    return ratios(counts)
+
+
+def ratios(counts: dict[int, dict[str, int]]) -> list[float]:
+    n = len(ALPHABET)
+    row = {k: {a: sum(v.get(a + b, 0) for b in ALPHABET) for a in ALPHABET} for k, v in counts.items()}
+    into = {k: {b: sum(v.get(a + b, 0) for a in ALPHABET) for b in ALPHABET} for k, v in counts.items()}
 
     def p(kind: int, a: str, b: str) -> float:
-        seen = counts[kind].get(a + b, 0) / rows[kind][a] if rows[kind][a] else uniform
-        return 0.5 * seen + 0.5 * uniform if kind else 0.9 * seen + 0.1 * uniform
+        alone = (into[kind][b] + 1) / (sum(into[kind].values()) + n)
+        learned = (counts[kind].get(a + b, 0) + BACK_OFF * alone) / (row[kind][a] + BACK_OFF)
+        return (1 - UNIFORM[kind]) * learned + UNIFORM[kind] / n
 
     return [math.log(p(1, a, b) / p(0, a, b)) for a in ALPHABET for b in ALPHABET]
 
 
-def judged(found: DataFrame, ratios: list[float]) -> DataFrame:
-    """``found`` with ``__spans``: those of the rules, and the runs that look random and touch none of those."""
-    held = F.transform(F.split(F.lit(",".join(f"{x:.6g}" for x in ratios)), ","), lambda x: x.cast("double"))
+def judged(found: DataFrame, ratio_of: list[float]) -> DataFrame:
+    """(doc, base, spans): ``spans`` are those of the rules, and the runs that look random and touch none of those."""
+    held = F.transform(F.split(F.lit(",".join(f"{x:.6g}" for x in ratio_of)), ","), lambda x: x.cast("double"))
     n = len(ALPHABET)
 
     def ratio(value: Column) -> Column:
@@ -86,10 +114,10 @@ def judged(found: DataFrame, ratios: list[float]) -> DataFrame:
         place = lambda i: F.call_function("instr", F.lit(ALPHABET), value.substr(i, F.lit(1))) - 1
         return F.aggregate(steps, F.lit(0.0), lambda done, i: done + F.get(held, place(i) * n + place(i + 1)))
 
-    scored = F.transform("__runs", lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), ratio(r["value"]).alias("ratio")))
-    random = F.filter("__scored", lambda r: (r["ratio"] >= MIN_TOTAL) & (r["ratio"] >= MIN_MEAN * (r["end"] - r["start"] - 1)) & ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    scored = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), ratio(r["value"]).alias("ratio")))
+    random = F.filter("scored", lambda r: (r["ratio"] >= MIN_TOTAL) & (r["ratio"] >= MIN_MEAN * (r["end"] - r["start"] - 1)) & ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     added = F.transform(random, lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end")))
-    return found.withColumn("__scored", scored).withColumn("__spans", F.array_sort(F.concat("__base", added))).drop("__scored", "__runs", "__values")
+    return found.withColumn("scored", scored).select("doc", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def written(spans: str) -> Column:
@@ -99,12 +127,12 @@ def written(spans: str) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__base`` and ``__spans``, arrays of (start, kind, end) in code points, end exclusive, by start and kind.
+    """(doc, base, spans): each row of ``docs`` as a struct, and arrays of (start, kind, end) by start and kind.
 
-    Kinds are places in KINDS. Null and empty texts have no spans. Rules count leftmost matches that don't overlap
-    within a kind; kinds may overlap. Each row gives one row; repeated rows, null ids and any other columns are fine,
-    and columns that start with two underscores are taken. Texts are read once: what rules and models need of them is
-    staged with ``docs``, then the models are trained on all of it and applied to all of it.
+    Places are code points, ends exclusive, kinds places in KINDS. Null and empty texts have no spans. Rules count
+    leftmost matches that don't overlap within a kind; kinds may overlap. Each row gives one row; repeated rows, null
+    ids and columns of any names are fine. Texts are read once: what rules and models need of them is staged with
+    ``docs``, then the models are trained on all of it and applied to all of it.
     """
     found = staged(extract(docs, text_col), "secrets")
     return judged(found, train(found))
@@ -113,19 +141,23 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each found span (merged where they overlap) replaced by ``mark``; other texts stay as they are."""
     found = scan(docs, text_col)
-    text = F.col(f"`{text_col}`")
+    text = F.col("doc").getField(text_col)
 
     def step(done: Column, s: Column) -> Column:
-        before = F.when(s["start"] > done["at"], F.concat(text.substr(done["at"] + 1, s["start"] - done["at"]), F.lit(mark))).when((s["start"] == done["at"]) & (done["out"] == ""), F.lit(mark)).otherwise(F.lit(""))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], before).alias("out"))
+        new = F.array(text.substr(done["at"] + 1, s["start"] - done["at"]), F.lit(mark))
+        apart = (s["start"] > done["at"]) | (F.size(done["out"]) == 0)
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(apart, F.concat(done["out"], new)).otherwise(done["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__spans", start, step, lambda done: F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
-    return found.select(*[F.when(F.size("__spans") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    clean = F.aggregate("spans", start, step, lambda done: F.array_join(F.concat(done["out"], F.array(text.substr(done["at"] + 1, F.length(text)))), ""))
+    whole = F.when(F.size("spans") > 0, clean).otherwise(text)
+    return found.select(*[(whole if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = staged(extract(docs).drop("text"), "secrets")
-    n = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return judged(found, train(found)).select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(written("__base"), 256).alias("base_sha256"), written("__spans").alias("spans"))
+    found = staged(extract(docs).withColumn("doc", F.struct("doc.doc_id")), "secrets")
+    ratio_of = train(found)
+    found = found.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))  # small rows, many steps for each
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return judged(found, ratio_of).select("doc.doc_id", n("assign"), n("access"), n("hex"), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))

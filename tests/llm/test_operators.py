@@ -453,8 +453,8 @@ def test_secret_rules(spark, docs, texts):
     got = op8_secrets.scan(both)
     text = dict(texts) | {2000 + i: t for i, t in enumerate(tricky)}
     for r in got.collect():
-        assert [tuple(s) for s in r["__base"]] == brute_spans(text[r.doc_id] or ""), r.doc_id
-        assert set(map(tuple, r["__base"])) <= set(map(tuple, r["__spans"]))
+        assert [tuple(s) for s in r.base] == brute_spans(text[r.doc.doc_id] or ""), r.doc.doc_id
+        assert set(map(tuple, r.base)) <= set(map(tuple, r.spans))
     assert got.count() == both.count()
 
 
@@ -464,16 +464,80 @@ def test_markov_finds_random_strings(spark):
     known = [(100 + i, "api_key=" + "".join(R.choice(letters) for _ in range(32))) for i in range(60)]
     new = [(200 + i, "see " + "".join(R.choice(letters) for _ in range(32)) + " there") for i in range(40)]
     docs = spark.createDataFrame(plain + known + new, "doc_id long, text string")
-    got = {r.doc_id: [s.kind for s in r["__spans"]] for r in op8_secrets.scan(docs).collect()}
+    got = {r.doc.doc_id: [s.kind for s in r.spans] for r in op8_secrets.scan(docs).collect()}
     assert all(3 not in got[d] for d, _ in plain) and sum(3 in got[d] for d, _ in new) >= 38
     clean = {r.doc_id: r.text for r in op8_secrets.redact(docs).collect()}
     assert clean[100] == "[SECRET]" and clean[0] == plain[0][1]
 
 
+def brute_ratios(rows):
+    """(doc_id, start, end, ratio) of the runs that no rule touches, counted and added up in plain Python."""
+    run = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}")
+    held, runs = [], collections.Counter()
+    for _, t in rows:
+        base = brute_spans(t or "")
+        for m in re.finditer(op8_secrets.ASSIGN, t or ""):
+            held += [m[1]] * (len(m[1]) >= 6)
+        held += [t[a:b] for a, k, b in base if k]
+        runs.update({m[0] for m in run.finditer(t or "")} if not base else ())
+    plain = [(x, 1) for x, k in runs.items() if k > 1 or not re.search("[0-9]", x)] + [(x, op8_secrets.SAMPLE_WEIGHT) for x in op8_secrets.ORDINARY]
+    seen = [[(v, k) for x, k in plain for v in (x, x.upper(), x.lower())], [(x, 1) for x in held]]
+    pair, row, into = ([collections.Counter(), collections.Counter()] for _ in range(3))
+    for kind in (0, 1):
+        for x, k in seen[kind]:
+            for a, b in zip(x, x[1:]):
+                if a in op8_secrets.ALPHABET and b in op8_secrets.ALPHABET:
+                    pair[kind][a + b] += k
+                    row[kind][a] += k
+                    into[kind][b] += k
+
+    def p(kind, a, b):
+        alone = (into[kind][b] + 1) / (sum(into[kind].values()) + 66)
+        u = (0.02, 0.5)[kind]
+        return (1 - u) * (pair[kind][a + b] + 5 * alone) / (row[kind][a] + 5) + u / 66
+
+    out = []
+    for d, t in rows:
+        base = brute_spans(t or "")
+        for m in run.finditer(t or ""):
+            if not any(a < m.end() and m.start() < b for a, _, b in base):
+                out.append((d, m.start(), m.end(), sum(np.log(p(1, a, b) / p(0, a, b)) for a, b in zip(m[0], m[0][1:]))))
+    return out
+
+
+def secret_rows():
+    rand = lambda letters, n: "".join(R.choice(letters) for _ in range(n))
+    letters = op8_secrets.ALPHABET
+    rows = [(i, " ".join("".join(R.choice(["ing", "tion", "er", "the", "con", "ver", "al", "ß", "_a_"]) for _ in range(R.randint(2, 9))) for _ in range(30))) for i in range(60)]
+    rows += [(100 + i, f"api_key={rand(letters[:62], 32)} und {rand(letters[26:62], 14)}") for i in range(40)] + [(150 + i, rand("0123456789abcdef", 40)) for i in range(9)]
+    rows += [(200 + i, f"see({rand(letters[:n], size)})密{rand(letters[:62], size)}鍵") for i, (n, size) in enumerate((n, s) for n in (62, 64, 66) for s in (12, 15, 19, 40))]
+    return rows + [(300, None), (301, ""), (302, "4111111111111111 and 12345678901234567890, 2023-11-30T10-20-30 or 978-0-306-40615-7 of /usr/local/share/doc/release-2-11-0")]
+
+
+def test_markov_spans_against_brute_force(spark):
+    rows = secret_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(d, a, b) for d, a, b, x in brute_ratios(rows) if x >= op8_secrets.MIN_TOTAL and x >= op8_secrets.MIN_MEAN * (b - a - 1)}
+    got = [(r.doc.doc_id, s.start, s.end) for r in op8_secrets.scan(docs).collect() for s in r.spans if s.kind == 3]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len({x for x in got if 200 <= x[0] < 300}) >= 22 and not {d for d, _, _ in got if d < 60 or d == 302}
+
+
 def test_redaction_merges(spark):
     t = "ä token=" + "ab12" * 10 + " and " + "c0" * 15
-    got = op8_secrets.redact(spark.createDataFrame([(1, t, "k"), (2, None, "k")], "doc_id long, text string, __x string").drop("__x")).orderBy("doc_id").collect()
-    assert got[0].text == "ä [SECRET] and [SECRET]" and got[1].text is None
+    rows = [(1, t, "k", "b", "s", "r", "d"), (2, None, "k", "b", "s", "r", "d"), (3, "f0" * 12 + "x" + "f1 " * 400 + "0a1b2c3d" * 4, *"kbsrd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __base string, base string, Spans string, `a.b` string, doc string")
+    got = op8_secrets.redact(docs)
+    assert got.columns == docs.columns
+    got = got.orderBy("doc_id").collect()
+    assert got[0].text == "ä [SECRET] and [SECRET]" and got[1].text is None and got[2].text == "[SECRET]x" + "f1 " * 400 + "[SECRET]"
+    assert tuple(got[0])[2:] == tuple("kbsrd")
+
+
+def test_many_matches_in_one_text(spark):
+    t = " ".join(f"{i:030x}" for i in range(2000))
+    r = op8_secrets.scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+    assert [tuple(s) for s in r.base] == brute_spans(t) and len(r.base) == 2000
 
 
 def test_secrets_of_nothing(none):
