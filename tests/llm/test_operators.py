@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on rows that are null, empty, long, repeated or absent."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -12,12 +13,13 @@ import numpy as np
 import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from gridloom.llm import op1_repeats, op2_decontaminate, op3_packing, op4_frames, op5_jaccard, op6_quality, op7_urls, op8_secrets, op9_fingerprints, op10_language
 from gridloom.llm.common import new_path
 from gridloom.llm.components import components
 from gridloom.llm.rlindex import RunLengthIndex
-from gridloom.llm.tokens import default_path, encoder
+from gridloom.llm.tokens import Encoder, default_path, encoder
 
 R = random.Random(7)
 WORDS = ["the", "quick", "brown", "fox", "jumps", "over", "lazy", "dog", "und", "der", "Straße", "niño", "l'eau", "α", "x1", "2024", "end.", "(so)", "token"]
@@ -175,13 +177,32 @@ def test_decontamination_of_nothing(spark, none, docs):
 # 3, 4
 
 
+@functools.cache
+def library():
+    return Tokenizer.from_file(default_path())
+
+
 def reference_ids(text):
-    return encoder(default_path()).library.encode(text or "", add_special_tokens=False).ids
+    return library().encode(text or "", add_special_tokens=False).ids
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """A tokenizer that cuts elsewhere: the stretches between spaces would give other ids."""
+    import json
+
+    about = json.loads(library().to_str())
+    about["pre_tokenizer"]["add_prefix_space"] = True
+    about["normalizer"] = {"type": "Lowercase"}
+    path = str(tmp_path / "other.json")
+    Path(path).write_text(json.dumps(about))
+    other, text = Tokenizer.from_file(path), "Hello There, Two  Words.\nAnd more"
+    want = other.encode(text, add_special_tokens=False).ids
+    assert want != reference_ids(text) and np.frombuffer(Encoder(path).ids([text])[0], "<u4").tolist() == want
 
 
 def test_token_cache():
-    odd = ["", None, " ", "  a b", "a  b", "a \n b", "\n", "a\x1c b", "it's don't  ' s", "a b ", "<|endoftext|> x <|endoftext|>", "é à  ü", "a\0 b. c", " a.b.. c!? d", "end.) Next"]
-    odd += ["".join(R.choice("ab  \n\t.,!' \x1f1é") for _ in range(50)) for _ in range(500)]
+    odd = ["", None, " ", "  a b", "a  b", "a \n b", "\n", "a\x1c b", "it's don't  ' s", "a b ", "<|endoftext|> x <|endoftext|>", "é à  ü", "a\0 b. c", " a.b.. c!? d", "end.) Next", "end.\nNext, x.\ny\n\nz\n a\n", "\nab c\n", "a\r\nb\tc.\n1", "Ünï.\nÄb ªº ǅ ⅷ"]
+    odd += ["".join(R.choice("ab  \n\n\t.,!' \x1f1é") for _ in range(50)) for _ in range(500)]
     for got, text in zip(encoder(default_path()).ids(odd), odd):
         assert np.frombuffer(got, "<u4").tolist() == reference_ids(text), text
 
