@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, table
+from .common import crc_of_id, pieces, table
 
 #: Bytes of training text in a language's dictionary; with SAMPLE_DOCS, all that is ever collected for a language.
 DICT_BYTES = 128 << 10
@@ -41,7 +41,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A dictionary of raw content for each non-null language of ``docs``.
 
     The sample is bounded: of each language the ``sample_docs`` documents of the smallest hash of their id, thinned on
-    the executors by the language's own count, and of those ``dict_bytes`` at most.
+    the executors by the language's own count; of each of those the first ``dict_bytes`` characters, and ``dict_bytes``
+    of all of them.
     """
     part = F.substring(F.col(text_col), 1, dict_bytes)  # no dictionary holds more of one text
     rows = docs.select(F.col(lang_col).alias("lang"), part.alias("text"), F.xxhash64(F.col(id_col)).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
@@ -96,7 +97,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
     def run(batches):
         made = Compressors(held.value)
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             found = [made.judge(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[0] == "und" or f[1] < min_margin for f in found], pa.bool_())], schema=OUT_ARROW)
 
@@ -110,7 +111,7 @@ def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
 
     def run(batches):
         made = Compressors(held.value)
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             found = [made.judge(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != "und" and score >= min_margin for lang, score in found], pa.bool_()))
 

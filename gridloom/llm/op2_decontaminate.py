@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import runs, table
+from .common import pieces, runs, table
 
 #: Maps each UTF-8 byte: A-Z to a-z, ASCII other than 0-9 and a-z to a space. Lengths stay, so offsets do too.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c > 122 and c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -131,7 +131,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     find = _finder(benchmark, item_col, item_text_col, window, block_bytes)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             yield _batch([finished(d, t, *f) for d, t, f in zip(ids, texts, find(texts))], OUT_ARROW)
 
@@ -144,7 +144,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             yield batch.filter(pa.array([not ranges for _, ranges, _ in find(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, staged, table
+from .common import crc_of_id, pieces, staged, table
 
 NAMES = ["log_bytes", "upper", "symbols", "digits", "spaces", "distinct_words", "word_length", "word_spread", "deflate", "distinct_lines", "log_line", "stops", "repeats"]
 FEATURES = "doc_id long, " + ", ".join(f"f{i} double" for i in range(len(NAMES)))
@@ -59,7 +59,7 @@ def statistics(text: str | None) -> list[float]:
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             x = np.array([statistics(t) for t in batch.column(1).to_pylist()], float).reshape(batch.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, i]) for i in range(len(NAMES)))], schema=FEATURES_ARROW)
 
@@ -67,7 +67,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class Discriminant:
-    """Means, Cholesky factors of the shrunken covariances, and log priors of two classes."""
+    """Means, Cholesky factors of the shrunken covariances with their inverses, and priors of two classes, made once."""
 
     def __init__(self, sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrink: float = 0.1, floor: float = 1e-3):
         d = len(NAMES)
@@ -84,11 +84,13 @@ class Discriminant:
             cov = (1 - shrink) * spread[k] + shrink * pooled
             cov = (1 - shrink) * cov + shrink * np.diag(np.diag(cov)) + floor * np.eye(d)
             self.chol[k] = np.linalg.cholesky(cov if k in sums else np.eye(d))
+        self.inverse = {k: np.linalg.inv(v) for k, v in self.chol.items()}  # triangular, so each score is one product
+        self.constant = {k: float(np.log(self.prior[k]) - np.log(np.diag(v)).sum()) for k, v in self.chol.items()}
         self.both = all(k in sums for k in (0, 1))
 
     def log_density(self, x: np.ndarray, k: int) -> np.ndarray:
-        z = np.linalg.solve(self.chol[k], (x - self.mean[k]).T)
-        return -0.5 * (z * z).sum(axis=0) - np.log(np.diag(self.chol[k])).sum() + np.log(self.prior[k])
+        z = (x - self.mean[k]) @ self.inverse[k].T
+        return self.constant[k] - 0.5 * (z * z).sum(axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """How likely label 1 is. With only one class learned, its prior."""
@@ -97,10 +99,10 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(self.log_density(x, 0) - self.log_density(x, 1), -50, 50)))
 
 
-def fit(found: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", shrink: float = 0.1) -> Discriminant:
+def fit(found: DataFrame, labels: DataFrame, label_id_col: str = "doc_id", label_col: str = "quality", shrink: float = 0.1) -> Discriminant:
     """Class counts, sums and products of all labelled rows, added up on the executors; two rows reach the driver."""
     d = len(NAMES)
-    labels = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")).where("label IN (0, 1)")
+    labels = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")).where("label IN (0, 1)")
     sums = [F.sum(f"f{i}") for i in range(d)] + [F.sum(F.col(f"f{i}") * F.col(f"f{j}")) for i in range(d) for j in range(i, d)]
     out = {}
     for r in found.join(labels, "doc_id").groupBy("label").agg(F.count("*"), *sums).collect():
@@ -119,15 +121,16 @@ def classify(found: DataFrame, model: Discriminant) -> DataFrame:
     return found.mapInArrow(run, SCORED)
 
 
-def quality(docs: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """Rows (doc_id, score): one for each row of ``docs``; ``learn_from`` says which label rows may be learned from.
 
     Null and empty texts have the statistics of an empty text and get a score like others. Labels other than 0 and 1
-    and labels of unknown documents are left out; with labels of one class or none, scores are the prior. Statistics
-    are made once for each text, in one pass, and staged; learning and scoring read those.
+    and labels of unknown documents are left out; an id that repeats counts once for each pair of a row and a label.
+    With labels of one class or none, scores are the prior. Statistics are made once for each text, in one pass, and
+    staged; learning and scoring read those.
     """
     found = staged(features(docs, id_col, text_col), "quality")
-    return classify(found, fit(found, labels.where(learn_from), "doc_id", label_col))
+    return classify(found, fit(found, labels.where(learn_from), label_id_col, label_col))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

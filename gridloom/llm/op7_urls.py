@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, staged, table
 
 WORDS = 4
 BITS_A_KEY = 16
 #: Rows of the filter (48 bytes each) up to which it is broadcast; beyond, it is joined by a shuffle on the block.
 BROADCAST_BLOCKS = 1 << 16
+#: Distinct (host, path start) that a rule fits up to which they are broadcast to the pages; beyond, both are shuffled,
+#: in a join of two plain tables, in which Spark splits hot keys.
+BROADCAST_KEYS = 1 << 17
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
@@ -71,6 +74,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         tested = tested.where(F.col(f"w{i}").bitwiseAND(F.col(f"bit{i}")) != 0)
     exact = tested.select("host", "start", F.col("key").alias("rule")).join(rules, "rule")
     best = exact.groupBy("host", "start").agg(F.max(F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("rule_verdict"))).alias("best"))
+    best = staged(best, "urls-judged")
+    best = F.broadcast(best) if best.count() <= BROADCAST_KEYS else best
     return judged.join(best, ["host", "start"], "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
     )

@@ -56,23 +56,36 @@ def as_text(signature: str) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
+def next_buckets(tops: DataFrame) -> DataFrame:
+    """(shown_in, bucket, doc_id): for each bucket of ``tops`` the next lower one and its top, for the lowest the highest.
+
+    A window finds them within ranges of buckets; across these, one of a row for each range.
+    """
+    parts = int(tops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(tops.repartitionByRange(parts, "bucket").withColumn("part", F.spark_partition_id()), "fingerprints-buckets")
+    edges = ranged.groupBy("part").agg(F.max(F.struct("bucket", "doc_id")).alias("top"))
+    lower = Window.orderBy(F.desc("part"))
+    whole = lower.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = edges.select("part", F.coalesce(F.lead("top").over(lower), F.first("top").over(whole)).alias("beyond"))
+    within = F.lead(F.struct("bucket", "doc_id")).over(Window.partitionBy("part").orderBy(F.desc("bucket")))
+    found = ranged.select("part", F.col("bucket").alias("shown_in"), within.alias("f")).join(F.broadcast(edges), "part")
+    found = found.withColumn("f", F.coalesce("f", "beyond"))
+    return staged(found.select("shown_in", F.col("f.bucket").alias("bucket"), F.col("f.doc_id").alias("doc_id")), "fingerprints-buckets")
+
+
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document with its edited text and the place of the next one, in descending order of the id.
 
     Documents are dealt by id into buckets of IDS_A_BUCKET ids, in which a window finds the next one; the last of a
     bucket is shown the first document of the next bucket that has any (of the first, after the last), as one further
-    row. Buckets are ordered by a table of one small row each. Null ids come last; rows of one id stand in the order
-    of their texts' hashes.
+    row. Buckets are ordered by ranges, of which only the edges meet in one place. Null ids come last, in buckets by
+    ranges of their texts' hashes; rows of one id stand in the order of these.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bucket = F.coalesce(F.floor(F.col("doc_id") / IDS_A_BUCKET), F.lit(-(1 << 62)))
+    bucket = F.coalesce(F.floor(F.col("doc_id") / IDS_A_BUCKET), F.lit(-(1 << 62)) + F.shiftright(F.xxhash64("text"), 44))
     rows = rows.select(bucket.alias("bucket"), "doc_id", "text")
-    tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))
-    order = Window.orderBy(F.desc("bucket"))
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follow = tops.select(F.col("bucket").alias("shown_in"), F.coalesce(F.lead(F.struct("bucket", "doc_id")).over(order), F.first(F.struct("bucket", "doc_id")).over(whole)).alias("f"))
-    follow = follow.select("shown_in", F.col("f.bucket").alias("bucket"), F.col("f.doc_id").alias("doc_id"))
-    follow = F.broadcast(follow) if tops.count() <= BROADCAST_BUCKETS else follow
+    follow = next_buckets(rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")))
+    follow = F.broadcast(follow) if follow.count() <= BROADCAST_BUCKETS else follow
     shown = rows.join(follow.select("bucket", F.col("doc_id").alias("top"), "shown_in"), (rows["bucket"] == follow["bucket"]) & rows["doc_id"].eqNullSafe(F.col("top"))).select("shown_in", rows["bucket"].alias("of_bucket"), "doc_id", "text")
     shown = shown.groupBy("shown_in", "of_bucket", "doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
     both = rows.select("bucket", "doc_id", "text", F.lit(0).alias("guest"), F.col("bucket").alias("of_bucket")).union(shown.select("shown_in", "doc_id", "text", F.lit(1), "of_bucket"))

@@ -5,6 +5,7 @@ import functools
 import hashlib
 import random
 import re
+import struct
 import sys
 import zlib
 from pathlib import Path
@@ -12,6 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow.fs as pafs
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -583,6 +585,43 @@ def test_fingerprints(spark, docs, texts):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
+def brute_samples(text, n=32):
+    """The smallest sample values of a text's terms, in plain Python."""
+    flat = text.lower().translate(str.maketrans("\t\n\r\f\v", "     ")).strip(" ")
+    words = collections.Counter(w for w in flat.split(" ") if w or not flat)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    out = []
+    for k in range(n):
+        values = []
+        for w, count in words.items():
+            term = struct.pack("<Q", xxhash.xxh64_intdigest(w.encode(), seed=42))
+            h, g = (xxhash.xxh64_intdigest(struct.pack("<i", 2 * k + i), seed=xxhash.xxh64_intdigest(term, seed=42)) for i in (0, 1))
+            u = lambda x, i: ((x >> 21 * i & (1 << 21) - 1) + 0.5) * 2.0**-21
+            r, c, beta = -np.log(u(h, 0) * u(h, 1)), -np.log(u(g, 0) * u(g, 1)), u(h, 2)
+            t = np.floor(np.log(count) / r + beta)
+            values.append(c * np.exp(-r * (t - beta + 1)))
+        out.append(min(values))
+    return np.array(out)
+
+
+def test_likeness_against_brute_force(spark):
+    """Also with ids far apart, so that each has a bucket of its own, and with several rows of null ids."""
+    base = [prose(R.randint(1, 60)) for _ in range(6)]
+    made = [x + " " + prose(R.randint(0, 9)) for x in base for _ in range(3)] + ["", None, "  a  A\ta b", base[0]]
+    rows = [(R.randrange(-(1 << 40), 1 << 40), t) for t in made] + [(None, "of no id"), (None, None), (None, base[1])]
+    got = op9_fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    signed = lambda t: (lambda x: x - (1 << 64) if x >> 63 else x)(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    order = sorted(((d, t or "") for d, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), -signed(x[1])))
+    want = []
+    for i, (d, t) in enumerate(order):
+        after, half = order[(i + 1) % len(order)][1], len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        own, other, following = map(brute_samples, (t, edited, after))
+        want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), *(float(np.mean(np.isclose(own, x, rtol=1e-9, atol=0))) for x in (other, following))))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1:])
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got), key=key) == sorted(want, key=key)
+
+
 def test_samples_estimate_generalised_jaccard(spark):
     a, b = ["x"] * 6 + ["y"] * 2 + ["z"], ["x"] * 3 + ["y"] * 2 + ["w"] * 2
     docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "k long, t string")
