@@ -106,7 +106,7 @@ def ratios(counts: dict[int, dict[str, int]]) -> list[float]:
 
 def judged(found: DataFrame, ratio_of: list[float]) -> DataFrame:
     """(doc, base, spans): ``spans`` are those of the rules, and the runs that look random and touch none of those."""
-    held = F.transform(F.split(F.lit(",".join(f"{x:.6g}" for x in ratio_of)), ","), lambda x: x.cast("double"))
+    held = F.expr("array(" + ",".join(f"{x:.9e}D" for x in ratio_of) + ")")  # folded into one literal
     n = len(ALPHABET)
 
     def ratio(value: Column) -> Column:
