@@ -63,7 +63,9 @@ class Field:
         """An operator of several operands, aligned by coordinate names; numbers need no join."""
         if not any(isinstance(o, Field) for o in others):
             return self.map(name, *others)
-        if name in LAZY or name in DEFINED:
+        if name in DEFINED:
+            raise ValueError(f"{name} has one operand: use map")
+        if name in LAZY:
             out = align.aligned([self, others[0]], mode)
             return replace(out, df=out.df.select(*out.keys, LAZY[name](F.col("v0"), F.col("v1"), F.col("in0"), F.col("in1")).alias("v")))
         fields = [self, *[o for o in others if isinstance(o, Field)]]

@@ -80,7 +80,9 @@ def day_number(y: Column, m: Column, d: Column, kind: str = LEAP) -> Column:
 
 
 def date_of(day: Column, kind: str = LEAP) -> tuple[Column, Column, Column]:
-    """Year, month and day of a serial day."""
+    """Year, month and day of a serial day of one kind of calendar; which one "auto" means depends on the year."""
+    if kind not in (IDEAL, NO_LEAP, LEAP):
+        raise ValueError(f"a serial day of calendar {kind!r} has no single date")
     day = day.cast("long")
     if kind == IDEAL:
         y = F.floor((day - 1) / 360)

@@ -22,8 +22,17 @@ def _both(a: Column, b: Column) -> Column:
     return a.isNotNull() & b.isNotNull()
 
 
+def _whole(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` by way of integers; NaN, and values of 2**52 and more, which have no fraction, stay as they are."""
+    return F.when(F.isnan(x) | (F.abs(x) >= 2.0**52), x.cast("double")).otherwise(f(x).cast("double"))
+
+
+def floor(x: Column) -> Column:
+    return _whole(x, F.floor)
+
+
 def trunc(x: Column) -> Column:
-    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
+    return _whole(x, lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)))
 
 
 def as_int(x: Column) -> Column:
@@ -33,7 +42,7 @@ def as_int(x: Column) -> Column:
 
 def round_away(x: Column) -> Column:
     """To the nearest integer, halves away from zero."""
-    return F.when(x < 0, -F.floor(-x + 0.5)).otherwise(F.floor(x + 0.5)).cast("double")
+    return _whole(x, lambda x: F.when(x < 0, -F.floor(-x + 0.5)).otherwise(F.floor(x + 0.5)))
 
 
 def zsign(x: Column) -> Column:
@@ -55,8 +64,8 @@ UNARY: dict[str, Op] = {
     "SQR": lambda x: x * x,
     "SIGN1": sign1,
     "ZSIGN": zsign,
-    "FLOOR": lambda x: F.floor(x).cast("double"),
-    "CEIL": lambda x: F.ceil(x).cast("double"),
+    "FLOOR": floor,
+    "CEIL": lambda x: _whole(x, F.ceil),
     "ROUND": round_away,
     "TRUNC": trunc,
     "INT": trunc,
@@ -113,8 +122,8 @@ STRICT: dict[str, Op] = {
     "RDIV": lambda a, b: F.when(b != 0, a / b),
     "IDIV": lambda a, b: F.when(trunc(b) != 0, trunc(trunc(a) / trunc(b))),
     "MOD": lambda a, b: F.when(b != 0, a % b),
-    "MODULO": lambda a, b: F.when(b != 0, a - b * F.floor(a / b)),
-    "POW": lambda a, b: F.when(~((a == 0) & (b <= 0)) & ~((a < 0) & (F.floor(b) != b)), F.pow(a, b)),
+    "MODULO": lambda a, b: F.when(b != 0, (a % b) + F.when((a % b != 0) & ((a % b < 0) != (b < 0)), b).otherwise(0.0)),
+    "POW": lambda a, b: F.when(~((a == 0) & (b <= 0)) & ~((a < 0) & (floor(b) != b)), F.pow(a, b)),
     "SIGN": lambda a, b: F.when(b < 0, -F.abs(a)).when(b.isNotNull(), F.abs(a)),
     "BITAND": lambda a, b: as_int(a).bitwiseAND(as_int(b)).cast("double"),
     "BITOR": lambda a, b: as_int(a).bitwiseOR(as_int(b)).cast("double"),

@@ -20,8 +20,7 @@ def _strict(agg, cells: int | None):
 def aggregates(name: str, v: Column, w: Column | None = None, cells: int | None = None) -> dict[str, Column]:
     """The aggregate columns of a reduction. L... and SUM, COUNT look at defined cells, the others want all defined.
 
-    WSUM gives the sum of w v and of w where both are defined. WMV gives the weighted mean, the weighted sum of squared
-    deviations (not divided) and the sum of weights, from three sums in one pass around a shift, the first value.
+    WSUM gives the sum of w v and of w where both are defined. Weighted moments (WMV) are ``weighted_moments``.
     """
     simple = {"ADD": F.sum, "MUL": F.product, "MAX": F.max, "MIN": F.min}
     if name in simple:

@@ -101,8 +101,8 @@ def red_wmv(spark, d):
 
 @query("red_range", f"SELECT l_returnflag, CAST(count({_Q}) AS DOUBLE) AS n FROM lineitem WHERE l_linenumber >= 2 AND l_linenumber < 6 GROUP BY ALL")
 def red_range(spark, d):
-    got = _line(spark, d).where((F.col("l_linenumber") >= 2) & (F.col("l_linenumber") < 6))
-    return got.groupBy("l_returnflag").agg(aggregates("COUNT", F.col("q"))["v"].alias("n"))
+    got = Field.of(_line(spark, d), "q", ["l_returnflag", "l_linenumber"]).reduce("COUNT", "l_linenumber", ranges={"l_linenumber": (2, 6)})
+    return got.df.select("l_returnflag", F.col("v").alias("n"))
 
 
 @query("red_box", "WITH c AS (SELECT c_nationkey AS nation, floor(c_acctbal / 1000) AS band, count(*) AS n FROM customer WHERE c_acctbal >= 0 AND c_acctbal < 10000 GROUP BY ALL) SELECT CAST(nation AS BIGINT) AS nation, CASE WHEN count(*) = 10 THEN CAST(sum(n) AS DOUBLE) END AS v FROM c GROUP BY ALL")

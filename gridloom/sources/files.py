@@ -32,25 +32,28 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", by_reco
     (writer.partitionBy("rec") if by_record and "rec" in df.columns else writer).parquet(path)
 
 
-def write_text(df: DataFrame, path: str, order: list[str], form: str = "%.17g", missing: float = MISSING, mode: str = "errorifexists") -> None:
-    """One value a line in the order of ``order`` (given from the slowest coordinate to the fastest)."""
+def write_text(df: DataFrame, path: str, order: list[str], form: str | None = None, missing: float = MISSING, mode: str = "errorifexists") -> None:
+    """One value a line in the order of ``order`` (given from the slowest coordinate to the fastest), as it is or in ``form``."""
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    text = F.format_string(form, F.coalesce(F.col("v"), F.lit(missing))) if "g" not in form else F.coalesce(F.col("v"), F.lit(missing)).cast("string")
+    value = F.coalesce(F.col("v"), F.lit(missing))
+    text = F.format_string(form, value) if form else value.cast("string")
     sorted_.select(text.alias("value")).write.mode(mode).text(path)
 
 
 def read_text(spark: SparkSession, path: str, shape: dict[str, int], missing: float = MISSING) -> DataFrame:
     """Values of one a line as cells: the first coordinate of ``shape`` runs fastest, and each full shape is a record.
 
-    Lines are numbered in the order of files and lines: counts of each file's partitions give where each starts.
+    Lines are numbered in the order of file names, and of places in a file: counts of the splits that Spark reads give
+    where each starts.
     """
     from pyspark.sql import Window
 
-    lines = spark.read.text(path).select(F.col("value").cast("double").alias("v"), F.monotonically_increasing_id().alias("at"))
-    part = F.call_function("shiftright", F.col("at"), F.lit(33))
-    starts = lines.groupBy(part.alias("part")).count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    lines = lines.withColumn("part", part).join(starts, "part")
-    flat = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select(F.col("value").cast("double").alias("v"), F.monotonically_increasing_id().alias("at"), *split)
+    before = F.sum("count").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each split
+    starts = lines.groupBy("file", "block").agg(F.count("*").alias("count"), F.min("at").alias("first")).withColumn("before", F.coalesce(before, F.lit(0)))
+    lines = lines.join(starts, ["file", "block"])
+    flat = F.col("before") + F.col("at") - F.col("first")
     columns, stride = [], 1
     for name, n in shape.items():
         columns.append(F.pmod(F.floor(flat / stride), F.lit(n)).cast("long").alias(name))

@@ -222,3 +222,42 @@ def test_geometry(spark):
     assert list(got) == pytest.approx([30, 60, math.pi / 2, 330, 1])
     assert geometry.gauss_latitudes(spark, 8).agg(F.sum("weight")).first()[0] == pytest.approx(2)
     assert geometry.longitudes(spark, 8).count() == 8
+
+
+def test_rounding_of_nan_and_large_values(spark):
+    values = [1e20, -1e20, float("nan"), float("inf"), -2.5, 2.5, 0.0, 4503599627370497.0, -7.25]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    want = {"FLOOR": math.floor, "CEIL": math.ceil, "TRUNC": math.trunc, "INT": math.trunc, "ROUND": lambda v: math.copysign(math.floor(abs(v) + 0.5), v)}
+    for name, f in want.items():
+        for v, r in zip(values, df.select(OPERATORS[name](df.x).alias("y")).collect()):
+            exact = v if not math.isfinite(v) or abs(v) >= 2**52 else float(f(v))
+            assert r.y == exact or math.isnan(v) and math.isnan(r.y), (name, v, r.y)
+    pairs = [(1e20, 7.0), (-1e20, 7.0), (5.5, -2.0), (-5.5, 2.0), (6.0, 3.0), (-6.0, 3.0)]
+    got = spark.createDataFrame(pairs, "a double, b double").selectExpr("a", "b")
+    for (a, b), r in zip(pairs, got.select(OPERATORS["MODULO"](got.a, got.b).alias("y"), OPERATORS["IDIV"](got.a, got.b).alias("z")).collect()):
+        assert r.y == math.fmod(a, b) + (b if math.fmod(a, b) and (math.fmod(a, b) < 0) != (b < 0) else 0) and r.z == float(math.trunc(a / b))
+
+
+def test_text_of_files_of_unequal_size(spark, tmp_path):
+    from gridloom.sources.files import read_text
+
+    values, at = [float(i) + 0.125 for i in range(3000)], 0
+    (tmp_path / "t").mkdir()
+    for k, n in enumerate((2, 1500, 1, 0, 1400, 97)):
+        (tmp_path / "t" / f"part-{k}.txt").write_text("".join(f"{v}\n" for v in values[at : at + n]))
+        at += n
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = read_text(spark, str(tmp_path / "t"), {"x": 10, "y": 5}).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.v for r in sorted(got, key=lambda r: (r.rec, r.y, r.x))] == values
+
+
+def test_wrong_uses_are_refused(spark):
+    field = Field.of(spark.createDataFrame([(0, 1.0)], "lon long, v double"), "v", ["lon"])
+    with pytest.raises(ValueError):
+        field.op("BOOL", field)
+    with pytest.raises(ValueError):
+        cal.date_of(F.lit(1), "auto")
