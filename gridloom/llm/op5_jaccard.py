@@ -21,7 +21,7 @@ PIECE = 512 << 10
 #: Members, and shingles of members, that a block of a class has about; classes with more are dealt into several.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 #: Pairs for each document up to which a block gives out pairs; beyond, it gives out its documents.
-DENSE = 16
+DENSE = 128
 #: Rows of ids (32 bytes at most) up to which they are broadcast to find their texts; beyond, texts are shuffled to them.
 BROADCAST_IDS = 1 << 20
 
@@ -351,7 +351,7 @@ def star_pairs(grouped: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def open_blocks(grouped: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """(KEY, ref, ref_n, component, asks, copy) of the classes that still have members of several components.
+    """(KEY, ref, ref_n, component, asks, copy, in: its classes) of the classes that still have members of several components.
 
     Members of a class's largest component aren't held against each other: those of other components ask. A class of
     several blocks has each member in one of them, and copies of those who ask in all of them, by blocks of these.
@@ -360,7 +360,8 @@ def open_blocks(grouped: DataFrame, labels: DataFrame, num: int, den: int) -> Da
     several = lambda df: df.groupBy("c").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("c")
     known = staged(known, "jaccard-open")
     some = known.join(several(known), "c").withColumn("k", F.sum("weight").over(Window.partitionBy("ref")))
-    some = staged(some.where(F.col("k") >= _shared_prefix("ref_n")(num, den)).drop("k", "weight"), "jaccard-open")
+    some = some.where(F.col("k") >= _shared_prefix("ref_n")(num, den)).withColumn("in", F.collect_list("c").over(Window.partitionBy("ref")))
+    some = staged(some.drop("k", "weight"), "jaccard-open")
     parts = some.groupBy("c", "component").agg(F.count("*").alias("k"), F.sum("ref_n").alias("n"))
     blocks = lambda k, n: F.ceil(F.greatest(k / BLOCK, n / BLOCK_SHINGLES)).cast("int")
     shape = parts.groupBy("c").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "n")).alias("m"))
@@ -369,9 +370,9 @@ def open_blocks(grouped: DataFrame, labels: DataFrame, num: int, den: int) -> Da
     at = at.withColumn("asking", F.when(F.col("blocks") == 1, 1).otherwise(F.col("asking")))
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     deal = lambda n: F.array(F.pmod(F.xxhash64("ref"), n).cast("int"))
-    own = at.select("c", F.explode(deal("blocks")).alias("own"), "asking", "ref", "ref_n", "component", "asks").select("c", "own", F.explode(spread("asking")).alias("other"), "ref", "ref_n", "component", "asks", F.lit(False).alias("copy"))
-    copies = at.where("asks AND blocks > 1").select("c", F.explode(spread("blocks")).alias("own"), "asking", "ref", "ref_n", "component", "asks")
-    copies = copies.select("c", "own", F.explode(deal("asking")).alias("other"), "ref", "ref_n", "component", "asks", F.lit(True).alias("copy"))
+    own = at.select("c", F.explode(deal("blocks")).alias("own"), "asking", "ref", "ref_n", "component", "asks", "in").select("c", "own", F.explode(spread("asking")).alias("other"), "ref", "ref_n", "component", "asks", F.lit(False).alias("copy"), "in")
+    copies = at.where("asks AND blocks > 1").select("c", F.explode(spread("blocks")).alias("own"), "asking", "ref", "ref_n", "component", "asks", "in")
+    copies = copies.select("c", "own", F.explode(deal("asking")).alias("other"), "ref", "ref_n", "component", "asks", F.lit(True).alias("copy"), "in")
     return staged(own.union(copies), "jaccard-blocks")
 
 
@@ -379,11 +380,11 @@ def possible(blocks: DataFrame, sketched: DataFrame, num: int, den: int) -> tupl
     """What the sketches of the documents of blocks allow to link, of different components: pairs, and dense blocks.
 
     Two sets differ in at least as many shingles as their parity sketches differ in places, which refutes nearly all
-    pairs that aren't links. The pairs that are left of a block go out as pairs (as ``by_center`` takes them; a pair
+    pairs that aren't links. A pair counts in the first class that both are in. The pairs that are left of a block go out as pairs (as ``by_center`` takes them; a pair
     that several classes have counts once) if they are at most DENSE for each document, else those documents do, as rows
     (KEY, ref, component, probe). So rows grow with the members of blocks, not with pairs.
     """
-    dealt = blocks.join(sketched, "ref").select(*KEY, "ref", "ref_n", "component", "asks", "copy", "sketch")
+    dealt = blocks.join(sketched, "ref").select(*KEY, "ref", "ref_n", "component", "asks", "copy", "sketch", "in")
     shape = pa.schema([("c", pa.int64()), ("own", pa.int32()), ("other", pa.int32()), ("ref", pa.int64()), ("component", pa.int64()), ("probe", pa.bool_()), ("n", pa.int64()), ("center", pa.int64()), ("center_component", pa.int64())])
 
     def met(key: tuple, held: list[tuple]) -> list[tuple]:
@@ -400,17 +401,19 @@ def possible(blocks: DataFrame, sketched: DataFrame, num: int, den: int) -> tupl
         by_copies = copy.any()
         pairs: list[tuple[int, int]] | None = []
         seen = np.zeros(len(held), bool)
+        within = [set(x[6]) for x in held]
         for x in np.flatnonzero(copy if by_copies else asks):
             y = (comp != comp[x]) & ~copy & (np.minimum(size, size[x]) * den >= np.maximum(size, size[x]) * num)
             for w in {int(width[x]), *width[y & (width < width[x])].tolist()}:
                 z = np.flatnonzero(y & (width == w if w < width[x] else width >= w))
                 apart = np.bitwise_count(folded[w][z] ^ folded[w][x]).sum(axis=1)
                 z = z[apart <= size[x] + size[z] - 2 * needed(size[x], size[z], num, den)]
-                if len(z):
+                z = [i for i in z.tolist() if min(within[x] & within[i], default=key[0]) == key[0]]  # others have a class before
+                if z:
                     seen[x] = True
                     seen[z] = True
                     if pairs is not None:
-                        pairs += [(x, int(i)) for i in z]
+                        pairs += [(x, i) for i in z]
                         pairs = pairs if len(pairs) <= 2 * DENSE * len(held) else None  # each pair may be met from both ends
         ends = {tuple(sorted((held[x][0], held[z][0]))): (x, z) for x, z in pairs or ()}
         if pairs is not None and len(ends) <= DENSE * int(seen.sum()):
