@@ -351,7 +351,7 @@ def star_pairs(grouped: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def open_blocks(grouped: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """(KEY, ref, ref_n, component, asks, copy, in: its classes) of the classes that still have members of several components.
+    """(KEY, ref, ref_n, component, asks, copy, in: its classes before c) of the classes that still have members of several components.
 
     Members of a class's largest component aren't held against each other: those of other components ask. A class of
     several blocks has each member in one of them, and copies of those who ask in all of them, by blocks of these.
@@ -366,7 +366,7 @@ def open_blocks(grouped: DataFrame, labels: DataFrame, num: int, den: int) -> Da
     blocks = lambda k, n: F.ceil(F.greatest(k / BLOCK, n / BLOCK_SHINGLES)).cast("int")
     shape = parts.groupBy("c").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "n")).alias("m"))
     shape = shape.where("parts > 1").select("c", "most", blocks(F.col("k"), F.col("n")).alias("blocks"), blocks(F.col("k") - F.col("m.k"), F.col("n") - F.col("m.n")).alias("asking"))
-    at = some.join(shape, "c").withColumn("asks", F.col("component") != F.col("most"))
+    at = some.join(shape, "c").withColumn("asks", F.col("component") != F.col("most")).withColumn("in", F.filter("in", lambda x: x < F.col("c")))
     at = at.withColumn("asking", F.when(F.col("blocks") == 1, 1).otherwise(F.col("asking")))
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     deal = lambda n: F.array(F.pmod(F.xxhash64("ref"), n).cast("int"))
@@ -408,7 +408,7 @@ def possible(blocks: DataFrame, sketched: DataFrame, num: int, den: int) -> tupl
                 z = np.flatnonzero(y & (width == w if w < width[x] else width >= w))
                 apart = np.bitwise_count(folded[w][z] ^ folded[w][x]).sum(axis=1)
                 z = z[apart <= size[x] + size[z] - 2 * needed(size[x], size[z], num, den)]
-                z = [i for i in z.tolist() if min(within[x] & within[i], default=key[0]) == key[0]]  # others have a class before
+                z = [i for i in z.tolist() if within[x].isdisjoint(within[i])]  # others have a class before
                 if z:
                     seen[x] = True
                     seen[z] = True
