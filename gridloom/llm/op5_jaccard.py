@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,6 +24,10 @@ PIECE = 512 << 10
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 #: Pairs for each document up to which a block gives out pairs; beyond, it gives out its documents.
 DENSE = 128
+#: Prefix shingles that linked sets share at least go up with their size to one more than this; longer prefixes pay for it.
+MOST_SHARED = 127
+#: Classes of a document that go along with its rows of blocks; more would only find out more pairs that are given twice.
+CLASSES_KEPT = 16
 #: Rows of ids (32 bytes at most) up to which they are broadcast to find their texts; beyond, texts are shuffled to them.
 BROADCAST_IDS = 1 << 20
 
@@ -104,12 +110,12 @@ class Trie:
 
 def shared_prefix(n):
     """How many prefix shingles linked sets share at least, the smaller of theirs: prefixes are longer by one less."""
-    return 1 + np.minimum(7, np.asarray(n) // 16)
+    return 1 + np.minimum(MOST_SHARED, np.asarray(n) // 16)
 
 
 def _shared_prefix(n):
     """The same of the smallest set that one of ``n`` shingles can link with, as a column."""
-    return lambda num, den: 1 + F.least(F.lit(7), F.floor(F.ceil(F.col(n) * num / den) / 16))
+    return lambda num, den: 1 + F.least(F.lit(MOST_SHARED), F.floor(F.ceil(F.col(n) * num / den) / 16))
 
 
 def prefixes(sets: list[np.ndarray], frequent: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,8 +265,8 @@ def _near(df: DataFrame) -> DataFrame:
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    """Parities of the shingles in 64 * 2**k places, about as many as shingles; folding halves gives smaller ones."""
-    places = 1 << max(6, len(s).bit_length())
+    """Parities of the shingles in 64 * 2**k places, half to all as many as shingles; folding halves gives smaller ones."""
+    places = 1 << max(6, len(s).bit_length() - 1)
     odd = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -346,33 +352,46 @@ def star_pairs(grouped: DataFrame, num: int, den: int) -> DataFrame:
     met = grouped.join(center, "c").select("ref", "ref_n", "weight", F.col("center.ref").alias("center"), F.col("center.ref_n").alias("n")).where("ref <> center")
     met = met.where(F.least("ref_n", "n") * den >= F.greatest("ref_n", "n") * num).withColumn("least", F.least("ref_n", "n"))
     met = met.groupBy("center", "ref").agg(F.sum("weight").alias("k"), F.max("ref_n").alias("n"), F.min("least").alias("least"))
-    met = met.where(F.col("k") >= 1 + F.least(F.lit(7), F.floor(F.col("least") / 16)))
+    met = met.where(F.col("k") >= 1 + F.least(F.lit(MOST_SHARED), F.floor(F.col("least") / 16)))
     return staged(met.select("center", "ref", "n", F.col("ref").alias("component"), F.col("center").alias("center_component")), "jaccard-pairs")
 
 
+def in_reach(known: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``known`` (c, ref_n, component, ..) whose class has a member of another component and of a size that could link.
+
+    Sizes are looked at in bins as wide as the threshold lets linked sets differ, so those of one lie in neighbouring bins.
+    """
+    width = max(math.log(den / num) * (1 + 1e-9), 1e-9)
+    binned = known.withColumn("bin", F.floor(F.ln("ref_n") / width).cast("long"))
+    near = Window.partitionBy("c").orderBy("bin").rangeBetween(-1, 1)  # a row for each bin of a class
+    bins = binned.groupBy("c", "bin").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    bins = bins.select("c", "bin", F.min("low").over(near).alias("low"), F.max("high").over(near).alias("high")).where("low < high")
+    return binned.join(bins.select("c", "bin"), ["c", "bin"]).drop("bin")
+
+
 def open_blocks(grouped: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """(KEY, ref, ref_n, component, asks, copy, in: its classes before c) of the classes that still have members of several components.
+    """(KEY, ref, ref_n, component, asks, copy) of the classes that still have members of several components.
 
-    Members of a class's largest component aren't held against each other: those of other components ask. A class of
-    several blocks has each member in one of them, and copies of those who ask in all of them, by blocks of these.
+    Of a class, only members stay that could link with one of another component by their sizes, of documents that have
+    as many shingles in such classes as linked ones share. Members of a class's largest component aren't held against
+    each other: those of other components ask. A class of several blocks has each member in one of them, and copies of
+    those who ask in all of them, by blocks of these.
     """
     known = grouped.join(labels.select(F.col("node").alias("ref"), "component"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
-    several = lambda df: df.groupBy("c").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("c")
-    known = staged(known, "jaccard-open")
-    some = known.join(several(known), "c").withColumn("k", F.sum("weight").over(Window.partitionBy("ref")))
-    some = some.where(F.col("k") >= _shared_prefix("ref_n")(num, den)).withColumn("in", F.collect_list("c").over(Window.partitionBy("ref")))
-    some = staged(some.drop("k", "weight"), "jaccard-open")
+    some = in_reach(staged(known, "jaccard-open"), num, den).withColumn("k", F.sum("weight").over(Window.partitionBy("ref")))
+    some = staged(some.where(F.col("k") >= _shared_prefix("ref_n")(num, den)).drop("k", "weight"), "jaccard-open")
+    some = staged(in_reach(some, num, den), "jaccard-open")
     parts = some.groupBy("c", "component").agg(F.count("*").alias("k"), F.sum("ref_n").alias("n"))
     blocks = lambda k, n: F.ceil(F.greatest(k / BLOCK, n / BLOCK_SHINGLES)).cast("int")
     shape = parts.groupBy("c").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.count("*").alias("parts"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "n")).alias("m"))
     shape = shape.where("parts > 1").select("c", "most", blocks(F.col("k"), F.col("n")).alias("blocks"), blocks(F.col("k") - F.col("m.k"), F.col("n") - F.col("m.n")).alias("asking"))
-    at = some.join(shape, "c").withColumn("asks", F.col("component") != F.col("most")).withColumn("in", F.filter("in", lambda x: x < F.col("c")))
+    at = some.join(shape, "c").withColumn("asks", F.col("component") != F.col("most"))
     at = at.withColumn("asking", F.when(F.col("blocks") == 1, 1).otherwise(F.col("asking")))
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     deal = lambda n: F.array(F.pmod(F.xxhash64("ref"), n).cast("int"))
-    own = at.select("c", F.explode(deal("blocks")).alias("own"), "asking", "ref", "ref_n", "component", "asks", "in").select("c", "own", F.explode(spread("asking")).alias("other"), "ref", "ref_n", "component", "asks", F.lit(False).alias("copy"), "in")
-    copies = at.where("asks AND blocks > 1").select("c", F.explode(spread("blocks")).alias("own"), "asking", "ref", "ref_n", "component", "asks", "in")
-    copies = copies.select("c", "own", F.explode(deal("asking")).alias("other"), "ref", "ref_n", "component", "asks", F.lit(True).alias("copy"), "in")
+    own = at.select("c", F.explode(deal("blocks")).alias("own"), "asking", "ref", "ref_n", "component", "asks").select("c", "own", F.explode(spread("asking")).alias("other"), "ref", "ref_n", "component", "asks", F.lit(False).alias("copy"))
+    copies = at.where("asks AND blocks > 1").select("c", F.explode(spread("blocks")).alias("own"), "asking", "ref", "ref_n", "component", "asks")
+    copies = copies.select("c", "own", F.explode(deal("asking")).alias("other"), "ref", "ref_n", "component", "asks", F.lit(True).alias("copy"))
     return staged(own.union(copies), "jaccard-blocks")
 
 
@@ -380,11 +399,12 @@ def possible(blocks: DataFrame, sketched: DataFrame, num: int, den: int) -> tupl
     """What the sketches of the documents of blocks allow to link, of different components: pairs, and dense blocks.
 
     Two sets differ in at least as many shingles as their parity sketches differ in places, which refutes nearly all
-    pairs that aren't links. A pair counts in the first class that both are in. The pairs that are left of a block go out as pairs (as ``by_center`` takes them; a pair
-    that several classes have counts once) if they are at most DENSE for each document, else those documents do, as rows
+    pairs that aren't links. A pair of which both ends know a class before doesn't count again. The pairs that are left of a
+    block go out as pairs (as ``by_center`` takes them; a pair that several classes have counts once) if they are at most DENSE for each document, else those documents do, as rows
     (KEY, ref, component, probe). So rows grow with the members of blocks, not with pairs.
     """
-    dealt = blocks.join(sketched, "ref").select(*KEY, "ref", "ref_n", "component", "asks", "copy", "sketch", "in")
+    first = blocks.groupBy("ref").agg(F.slice(F.array_sort(F.collect_set("c")), 1, CLASSES_KEPT).alias("in"))
+    dealt = blocks.join(sketched.join(first, "ref"), "ref").select(*KEY, "ref", "ref_n", "component", "asks", "copy", "sketch", F.filter("in", lambda x: x < F.col("c")).alias("in"))
     shape = pa.schema([("c", pa.int64()), ("own", pa.int32()), ("other", pa.int32()), ("ref", pa.int64()), ("component", pa.int64()), ("probe", pa.bool_()), ("n", pa.int64()), ("center", pa.int64()), ("center_component", pa.int64())])
 
     def met(key: tuple, held: list[tuple]) -> list[tuple]:
