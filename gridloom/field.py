@@ -59,17 +59,17 @@ class Field:
         f = OPERATORS[name]
         return self._with(self.df.withColumn("v", f(F.col("v"), *map(F.lit, map(float, args)))), name)
 
-    def op(self, name: str, *others: Field | float, mode: str = "inclusive") -> Field:
-        """An operator of several operands, aligned by coordinate names; numbers need no join."""
+    def op(self, name: str, *others: Field | float, mode: str = "inclusive", names: list[str] | None = None) -> Field:
+        """An operator of several operands, aligned by coordinate names, of which ``names`` can give the order; numbers need no join."""
         if not any(isinstance(o, Field) for o in others):
             return self.map(name, *others)
         if name in DEFINED:
             raise ValueError(f"{name} has one operand: use map")
         if name in LAZY:
-            out = align.aligned([self, others[0]], mode)
+            out = align.aligned([self, others[0]], mode, names)
             return replace(out, df=out.df.select(*out.keys, LAZY[name](F.col("v0"), F.col("v1"), F.col("in0"), F.col("in1")).alias("v")))
         fields = [self, *[o for o in others if isinstance(o, Field)]]
-        out = align.aligned(fields, "intersect" if len(others) == 2 and mode == "inclusive" else mode)
+        out = align.aligned(fields, "intersect" if len(others) == 2 and mode == "inclusive" else mode, names)
         values, k = [F.col("v0")], 1
         for o in others:
             values.append(F.col(f"v{k}") if isinstance(o, Field) else F.lit(float(o)))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 IDEAL, NO_LEAP, LEAP, AUTO = "ideal", "noleap", "leap", "auto"
 #: Days before each month of a year of 365 days.
 BEFORE = [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334, 365]
+#: Serial days of "auto": from the year 1900 on, of the years 1000 to 1899, and to the end of the year 999.
+AUTO_LEAP, AUTO_NO_LEAP, AUTO_IDEAL = 1900 * 365 + 462, (1000 * 365 + 1, 1900 * 365), 1000 * 360
 SECONDS = {"D": 86400, "H": 3600, "MI": 60, "S": 1}
 
 
@@ -80,10 +82,18 @@ def day_number(y: Column, m: Column, d: Column, kind: str = LEAP) -> Column:
 
 
 def date_of(day: Column, kind: str = LEAP) -> tuple[Column, Column, Column]:
-    """Year, month and day of a serial day of one kind of calendar; which one "auto" means depends on the year."""
-    if kind not in (IDEAL, NO_LEAP, LEAP):
-        raise ValueError(f"a serial day of calendar {kind!r} has no single date")
+    """Year, month and day of a serial day.
+
+    The serial days of "auto" have gaps where its kind changes, before the years 1000 and 1900; a day in one gives NULL.
+    """
+    if kind not in (IDEAL, NO_LEAP, LEAP, AUTO):
+        raise ValueError(f"no calendar {kind!r}")
     day = day.cast("long")
+    if kind == AUTO:
+        spans = [(LEAP, day >= AUTO_LEAP), (NO_LEAP, day.between(*AUTO_NO_LEAP)), (IDEAL, day <= AUTO_IDEAL)]
+        none = F.lit(None).cast("long")
+        y, m, d = zip(*[[F.when(within, part) for part in date_of(day, k)] for k, within in spans])
+        return F.coalesce(*y, none), F.coalesce(*m, none), F.coalesce(*d, none)
     if kind == IDEAL:
         y = F.floor((day - 1) / 360)
         rest = F.pmod(day - 1, F.lit(360))
@@ -110,6 +120,21 @@ def seconds_of(duration: Column, unit: str, y: Column, m: Column, kind: str = LE
     return duration * SECONDS[unit]
 
 
+def duration_of(seconds: Column, unit: str, y: Column, m: Column, kind: str = LEAP) -> Column:
+    """Seconds as a duration; years and months are as long as those of the date given."""
+    return seconds / seconds_of(F.lit(1.0), unit, y, m, kind)
+
+
+def day_and_second(seconds: Column) -> tuple[Column, Column]:
+    """Seconds since the first day began as (serial day, second of the day); ``seconds_since`` is the other way."""
+    days = F.floor(seconds / 86400)
+    return days + 1, seconds - days * 86400
+
+
+def seconds_since(day: Column, second: Column) -> Column:
+    return (day - 1) * 86400 + second
+
+
 def advance(y: Column, m: Column, d: Column, second: Column, duration: Column, unit: str, kind: str = LEAP) -> tuple[Column, Column]:
     """(serial day, second of the day) after a duration. Y and MO move the fields by its whole part, others add seconds."""
     if unit in ("Y", "MO"):
@@ -125,6 +150,11 @@ def hms(second: Column) -> tuple[Column, Column, Column]:
     return F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
 
 
+def second_of(hour: Column, minute: Column, second: Column) -> Column:
+    """Second of the day of a time; ``hms`` is the other way."""
+    return hour * 3600 + minute * 60 + second
+
+
 def passed(day: Column, second: Column, before_day: Column, before_second: Column, origin_day: Column, duration: float, unit: str) -> Column:
     """Whether a boundary of intervals of a fixed length, counted from the start of ``origin_day``, lies between two times."""
     size = F.lit(float(duration * SECONDS[unit]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from typing import TYPE_CHECKING
 
@@ -18,8 +19,16 @@ class AmbiguousCoordinates(ValueError):
 HOW = {"inclusive": "full_outer", "intersect": "inner", "first": "left"}
 
 
-def merged_names(fields: list[Field]) -> list[str]:
-    """Names in the order of the first operand, each new one where it stands in its own."""
+#: Cells up to which an operand that shares nothing with the others is broadcast.
+OUTER_CELLS = 1 << 16
+
+
+def merged_names(fields: list[Field], names: list[str] | None = None) -> list[str]:
+    """Names in the order of the first operand, each new one where it stands in its own; or ``names``, if given."""
+    if names is not None:
+        if set(names) != {n for f in fields for n in f.names} or len(set(names)) < len(names):
+            raise ValueError(f"{names} are not the coordinates of {[f.names for f in fields]}")
+        return list(names)
     names = list(fields[0].names)
     for f in fields[1:]:
         shared = [n for n in f.names if n in names]
@@ -29,29 +38,39 @@ def merged_names(fields: list[Field]) -> list[str]:
     return names
 
 
-def aligned(fields: list[Field], mode: str = "inclusive") -> Field:
+def _few(field: Field) -> bool:
+    """Whether a field has at most OUTER_CELLS cells, by its ranges or else by counting no further than that."""
+    sizes = [c.end - c.begin if c.begin is not None and c.end is not None else None for c in field.coords]
+    if not field.has_rec and None not in sizes and math.prod(sizes) <= OUTER_CELLS:
+        return True
+    return field.df.limit(OUTER_CELLS + 1).count() <= OUTER_CELLS
+
+
+def aligned(fields: list[Field], mode: str = "inclusive", names: list[str] | None = None) -> Field:
     """One frame of all operands: the coordinates, v0, v1, ... and in0, in1, ...: whether the cell is in that operand.
 
     Operands of the same coordinates are joined by ``mode``; one that lacks a coordinate is spread over it, so it is
-    joined on what it has, and cells that only it has fall away. Operands that share nothing and have only a few
-    cells each, such as two axes, span the product of their cells, within a record.
+    joined on what it has, and cells that only it has fall away. An operand that shares nothing with those before it
+    spans the product of their cells and its own, within a record; it is broadcast if it has OUTER_CELLS cells at most,
+    and the product has as many cells as both have in any case. ``names`` orders the coordinates where their order in
+    the operands leaves it open, as with two single axes.
     """
     from ..field import Coord, Field
 
-    names = merged_names(fields)
+    names = merged_names(fields, names)
     rec = any(f.has_rec for f in fields)
     frames = [f.df.withColumnRenamed("v", f"v{i}").withColumn(f"in{i}", F.lit(True)) for i, f in enumerate(fields)]
 
     def step(left, right):
-        (ldf, lkeys), (rdf, rkeys) = left, right
+        (ldf, lkeys), (rdf, rkeys, field) = left, right
         on = [k for k in lkeys if k in rkeys]
         keys = lkeys + [k for k in rkeys if k not in lkeys]
         how = HOW[mode] if set(lkeys) == set(rkeys) else "left" if mode != "intersect" and set(rkeys) < set(lkeys) else "inner"
         if not on:  # an outer product is what is asked for here
-            return ldf.crossJoin(rdf), keys
+            return ldf.crossJoin(F.broadcast(rdf) if _few(field) else rdf), keys
         return ldf.join(rdf, on, how), keys
 
-    df, keys = reduce(step, [(d, f.keys) for d, f in zip(frames, fields)])
+    df, keys = reduce(step, [(d, f.keys, f) for d, f in zip(frames[1:], fields[1:])], (frames[0], fields[0].keys))
     for i in range(len(fields)):
         df = df.withColumn(f"in{i}", F.coalesce(f"in{i}", F.lit(False)))
     known: dict[str, Coord] = {}

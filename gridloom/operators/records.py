@@ -35,6 +35,26 @@ def selected(field: Field, begin: int = 0, end: int | None = None, step: int = 1
     return replace(field, df=df.withColumn("slot", slot).withColumn("rec", turn), coords=(*field.coords, Coord("slot", 0, number)))
 
 
+def listed(field: Field, wanted: list[int]) -> Field:
+    """The records ``wanted``, one a turn, in that order; a record may come several times."""
+    turns: dict[int, list[int]] = {}
+    for turn, rec in enumerate(wanted):
+        turns.setdefault(rec, []).append(turn)
+    where = F.create_map(*[x for rec, of in turns.items() for x in (F.lit(rec).cast("long"), F.array(*[F.lit(t).cast("long") for t in of]))]) if turns else None
+    df = field.df.where(F.col("rec").isin(list(turns)) if turns else F.lit(False))
+    return replace(field, df=df if where is None else df.withColumn("rec", F.explode(where[F.col("rec").cast("long")])))
+
+
+def tuples(field: Field, wanted: list[tuple[int, ...]]) -> list[Field]:
+    """One operand for each member of tuples of records: turn i has the records of ``wanted[i]``.
+
+    Selections of one source can be used together as they are: ``tuples(a, [(1, 2), (3, 4)]) + [listed(a, [5, 6])]``.
+    """
+    if len({len(t) for t in wanted}) > 1:
+        raise ValueError("tuples of records differ in length")
+    return [listed(field, list(members)) for members in zip(*wanted)]
+
+
 def count(field: Field) -> int:
     """Number of records, rec being 0, 1, ...."""
     last = field.df.agg(F.max("rec")).first()[0]

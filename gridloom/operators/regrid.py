@@ -54,11 +54,21 @@ def jagged_order(weights: DataFrame) -> DataFrame:
     return weights.withColumn("layer", F.row_number().over(Window.partitionBy("dst").orderBy("src")) - 1)
 
 
-def derivative(df: DataFrame, axis: str, position: Column, keys: list[str], value: str = "v") -> DataFrame:
-    """First derivative along an axis of uneven spacing by three points; one-sided at the ends."""
+def derivative(df: DataFrame, axis: str, position: Column, keys: list[str], value: str = "v", period: float | None = None) -> DataFrame:
+    """First derivative along an axis of uneven spacing by three points; one-sided at the ends.
+
+    With ``period`` the axis is a circle of that length in ``position``, and its ends are neighbours. One line of the
+    axis, the cells that share ``keys``, is sorted by one task.
+    """
     w = Window.partitionBy(*keys).orderBy(axis)
     x, v = position, F.col(value)
-    a, b = x - F.lag(x).over(w), F.lead(x).over(w) - x
+    x_before, x_after = F.lag(x).over(w), F.lead(x).over(w)
     before, after = F.lag(v).over(w), F.lead(v).over(w)
+    if period is not None:
+        line = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        before = F.when(x_before.isNull(), F.last(v).over(line)).otherwise(before)
+        after = F.when(x_after.isNull(), F.first(v).over(line)).otherwise(after)
+        x_before, x_after = F.coalesce(x_before, F.last(x).over(line) - period), F.coalesce(x_after, F.first(x).over(line) + period)
+    a, b = x - x_before, x_after - x
     inner = -b / (a * (a + b)) * before + (b - a) / (a * b) * v + a / (b * (a + b)) * after
     return df.select(*df.columns, F.when(a.isNull(), (after - v) / b).when(b.isNull(), (v - before) / a).otherwise(inner).alias("slope"))

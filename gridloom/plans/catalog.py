@@ -133,14 +133,14 @@ def cum_fold(spark, d):
 
 # -- alignment ----------------------------------------------------------------------------------------------------
 
-_A = "(SELECT o_orderkey AS k, CASE WHEN o_totalprice > 50000 THEN o_totalprice END AS a FROM orders WHERE o_orderkey % 3 <> 0)"
-_B = "(SELECT o_orderkey AS k, CASE WHEN o_totalprice < 300000 THEN o_totalprice / 2 END AS b FROM orders WHERE o_orderkey % 4 <> 0)"
+_A = "(SELECT o_orderkey AS k, CASE WHEN o_totalprice > 50000 THEN o_totalprice END AS a FROM orders WHERE o_orderpriority <> '1-URGENT')"
+_B = "(SELECT o_orderkey AS k, CASE WHEN o_totalprice < 300000 THEN o_totalprice / 2 END AS b FROM orders WHERE o_orderstatus <> 'F')"
 
 
 def _two(spark, d):
     o = _t(spark, d, "orders").withColumnRenamed("o_orderkey", "k")
-    a = Field.of(o.where("k % 3 <> 0"), OPERATORS["GTF"](F.col("o_totalprice"), F.lit(50000.0)), ["k"])
-    b = Field.of(o.where("k % 4 <> 0"), OPERATORS["LTF"](F.col("o_totalprice"), F.lit(300000.0)) / 2, ["k"])
+    a = Field.of(o.where("o_orderpriority <> '1-URGENT'"), OPERATORS["GTF"](F.col("o_totalprice"), F.lit(50000.0)), ["k"])
+    b = Field.of(o.where("o_orderstatus <> 'F'"), OPERATORS["LTF"](F.col("o_totalprice"), F.lit(300000.0)) / 2, ["k"])
     return a, b
 
 
@@ -186,8 +186,16 @@ def align_outer(spark, d):
     """Two axes of a few cells without a common name span their product."""
     a = Field.of(_t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), "n_regionkey"), F.col("n_regionkey") * 10, ["nation"])
     b = Field.of(_t(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("region")), "region", ["region"])
-    met = a.df.crossJoin(F.broadcast(b.df.withColumnRenamed("v", "w")))  # the regions are five
-    return met.select("nation", "region", (F.col("v") + F.col("w")).alias("v"))
+    return a.op("ADD", b, names=["nation", "region"]).df
+
+
+@query("align_mixed", "WITH c AS (SELECT CAST(c_nationkey AS BIGINT) AS nation, CAST(floor(c_acctbal / 1000) AS BIGINT) AS band, c_mktsegment AS segment, CAST(count(*) AS DOUBLE) AS v FROM customer WHERE c_acctbal >= 0 AND c_acctbal < 10000 GROUP BY ALL), a AS (SELECT nation, band, sum(v) AS v FROM c GROUP BY ALL), b AS (SELECT band, segment, sum(v) AS v FROM c GROUP BY ALL) SELECT nation, band, segment, a.v - b.v AS v FROM a JOIN b USING (band)")
+def align_mixed(spark, d):
+    """Operands that share one coordinate of two are spread over each other's other one."""
+    c = _t(spark, d, "customer").where((F.col("c_acctbal") >= 0) & (F.col("c_acctbal") < 10000))
+    c = c.groupBy(F.col("c_nationkey").cast("long").alias("nation"), F.floor(F.col("c_acctbal") / 1000).alias("band"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
+    cube = Field.of(c, "n", ["nation", "band", "segment"])
+    return cube.reduce("SUM", "segment").op("SUB", cube.reduce("SUM", "nation")).df
 
 
 # -- shapes, indices, records -------------------------------------------------------------------------------------
@@ -244,11 +252,15 @@ def flat_permuted(spark, d):
 _DAYS = "WITH e AS (SELECT date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) AS rec, user_id % 5 AS u, count(*) AS v FROM events GROUP BY ALL) "
 
 
+def _first_day(spark, d):
+    """The day of the first event, as a subquery of the plan."""
+    return _t(spark, d, "events").agg(F.min(F.to_date("ts"))).scalar()
+
+
 def _days(spark, d) -> Field:
     """Events by day, day 0 being the first, and a fifth of the users."""
     e = _t(spark, d, "events").select(F.to_date("ts").alias("day"), F.pmod("user_id", F.lit(5)).alias("u"))
-    first = e.agg(F.min("day")).first()[0]
-    e = e.groupBy(F.datediff("day", F.lit(first)).cast("long").alias("rec"), "u").agg(F.count("*").alias("n"))
+    e = e.groupBy("day", "u").agg(F.count("*").alias("n")).withColumn("rec", F.datediff("day", _first_day(spark, d)).cast("long"))
     return Field.of(e, "n", ["u"], rec="rec")
 
 
@@ -267,6 +279,20 @@ def rec_multi(spark, d):
     return _days(spark, d).records(0, None, 5, 2).df.select("rec", "u", "slot", "v")
 
 
+@query("rec_tuples", _DAYS + "SELECT a.rec // 2 AS rec, a.u, CAST(a.v + b.v AS DOUBLE) AS v FROM e a JOIN e b ON b.u = a.u AND b.rec = a.rec + 1 WHERE a.rec IN (1, 3, 5)")
+def rec_tuples(spark, d):
+    a, b = records.tuples(_days(spark, d), [(1, 2), (3, 4), (5, 6)])
+    return a.op("ADD", b, mode="intersect").df
+
+
+@query("rec_successive", _DAYS + "SELECT a.rec // 2 AS rec, a.u, CAST(a.v + b.v + c.v AS DOUBLE) AS v FROM e a JOIN e b ON b.u = a.u AND b.rec = a.rec + 1 JOIN e c ON c.u = a.u AND c.rec = 5 + a.rec // 2 WHERE a.rec IN (1, 3)")
+def rec_successive(spark, d):
+    """Several selections of one source, each an operand."""
+    days = _days(spark, d)
+    a, b, c = [*records.tuples(days, [(1, 2), (3, 4)]), records.listed(days, [5, 6])]
+    return a.op("ADD", b, mode="intersect").op("ADD", c, mode="intersect").df
+
+
 def _in_step(spark, d, mode):
     whole = _days(spark, d)
     few = whole.select(u=0).records(0, 3)
@@ -290,11 +316,11 @@ def rec_persist(spark, d):
 
 # -- comparison, regridding, calendars, streams -------------------------------------------------------------------
 
-@query("cmp_files", "WITH r AS (SELECT o_orderkey AS k, o_orderpriority AS p, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS r, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice + o_orderkey % 3 END AS t FROM orders) SELECT p, min(CASE WHEN t IS NOT NULL AND r <> 0 THEN abs(r) END) AS abs_min, max(CASE WHEN t IS NOT NULL THEN abs(r) END) AS abs_max, CAST(round(max(abs(t - r)) * 1e6) AS BIGINT) AS abs_diff, CAST(round(max(CASE WHEN r <> 0 THEN abs((t - r) / r) END) * 1e9) AS BIGINT) AS rel_diff, max(CASE WHEN r = 0 AND t <> 0 THEN abs(t - r) END) AS zero_diff, count(*) FILTER (r IS NOT NULL AND t IS NULL) AS miss_target, count(*) FILTER (r IS NULL AND t IS NOT NULL) AS miss_reference FROM r GROUP BY p")
+@query("cmp_files", "WITH r AS (SELECT o_orderkey AS k, o_orderpriority AS p, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS r, CASE WHEN o_totalprice >= 20000 THEN o_totalprice + o_orderkey % 3 END AS t FROM orders) SELECT p, min(CASE WHEN t IS NOT NULL AND r <> 0 THEN abs(r) END) AS abs_min, max(CASE WHEN t IS NOT NULL THEN abs(r) END) AS abs_max, CAST(round(max(abs(t - r)) * 1e6) AS BIGINT) AS abs_diff, CAST(round(max(CASE WHEN r <> 0 THEN abs((t - r) / r) END) * 1e9) AS BIGINT) AS rel_diff, max(CASE WHEN r = 0 AND t <> 0 THEN abs(t - r) END) AS zero_diff, count(*) FILTER (r IS NOT NULL AND t IS NULL) AS miss_target, count(*) FILTER (r IS NULL AND t IS NOT NULL) AS miss_reference FROM r GROUP BY p")
 def cmp_files(spark, d):
-    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"), "o_totalprice")
-    r = o.select("k", "p", F.when(F.col("k") % 7 != 0, F.col("o_totalprice")).alias("v"))
-    t = o.where("k % 5 <> 0").select("k", "p", (F.col("o_totalprice") + F.col("k") % 3).alias("v"))
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"), "o_orderstatus", "o_totalprice")
+    r = o.select("k", "p", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("v"))
+    t = o.where("o_totalprice >= 20000").select("k", "p", (F.col("o_totalprice") + F.col("k") % 3).alias("v"))
     got = compare(r, t, ["k", "p"], ["p"])
     return got.withColumn("abs_diff", F.round(F.col("abs_diff") * 1e6).cast("long")).withColumn("rel_diff", F.round(F.col("rel_diff") * 1e9).cast("long"))
 
@@ -328,6 +354,16 @@ def axis_slope(spark, d):
     return derivative(s, "x", F.col("x").cast("double"), ["all"]).select("x", _cents(F.col("slope")).alias("slope"))
 
 
+_HOURS = "WITH s AS (SELECT CAST(hour(ts) AS BIGINT) AS x, avg(value) AS v FROM events GROUP BY ALL), "
+
+
+@query("slope_cyclic", _HOURS + "n AS (SELECT x, v, x - coalesce(lag(x) OVER o, max(x) OVER () - 24) AS a, coalesce(lead(x) OVER o, min(x) OVER () + 24) - x AS b, coalesce(lag(v) OVER o, arg_max(v, x) OVER ()) AS p, coalesce(lead(v) OVER o, arg_min(v, x) OVER ()) AS q FROM s WINDOW o AS (ORDER BY x)) SELECT x, CAST(round((-b / (a * (a + b)) * p + (b - a) / (a * b) * v + a / (b * (a + b)) * q) * 1e4) AS BIGINT) AS slope FROM n")
+def slope_cyclic(spark, d):
+    """Along the hours of the day, a circle."""
+    s = _t(spark, d, "events").groupBy(F.hour("ts").cast("long").alias("x")).agg(F.avg("value").alias("v")).withColumn("all", F.lit(0))
+    return derivative(s, "x", F.col("x").cast("double"), ["all"], period=24.0).select("x", _cents(F.col("slope")).alias("slope"))
+
+
 _YMD = "year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d"
 _O = f"WITH o AS (SELECT o_orderkey, {_YMD}, hour(o_orderdate) * 3600 AS s FROM orders) "
 
@@ -351,6 +387,16 @@ _B365 = "[0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334]"
 query("cal_365", _O + f", n AS (SELECT o_orderkey, y * 365 + {_B365}[m] + d AS day FROM o), p AS (SELECT o_orderkey, day, (day + 99) // 365 AS y2, (day + 99) % 365 AS r FROM n), q AS (SELECT *, len(list_filter({_B365}, lambda b: b <= r)) AS m2 FROM p) SELECT o_orderkey, day, y2, m2, r - {_B365}[m2] + 1 AS d2 FROM q")(_calendar(cal.NO_LEAP))
 
 
+@query("cal_auto", "WITH o AS (SELECT o_orderkey, year(o_orderdate) - shift AS y, month(o_orderdate) AS m, least(day(o_orderdate), CASE WHEN month(o_orderdate) = 2 THEN 28 ELSE 30 END) AS d FROM orders, (VALUES (0), (500), (1500)) s(shift)) SELECT o_orderkey, y, m, d, y AS y2, m AS m2, d AS d2, CASE WHEN y >= 1900 THEN date_diff('day', DATE '0001-01-01', make_date(y, m, d)) + 367 WHEN y >= 1000 THEN y * 365 + " + _B365 + "[m] + d ELSE y * 360 + (m - 1) * 30 + d END AS day FROM o")
+def cal_auto(spark, d):
+    """Dates of each kind that the calendar has by year, as serial days and back."""
+    o = _dates(spark, d).withColumn("y", F.explode(F.array(F.col("y"), F.col("y") - 500, F.col("y") - 1500)))
+    o = o.withColumn("d", F.least("d", F.when(F.col("m") == 2, 28).otherwise(30)).cast("long"))
+    o = o.withColumn("day", cal.day_number(F.col("y"), F.col("m"), F.col("d"), cal.AUTO))
+    y, m, dd = cal.date_of(F.col("day"), cal.AUTO)
+    return o.select("o_orderkey", "y", "m", "d", "day", y.alias("y2"), m.alias("m2"), dd.alias("d2"))
+
+
 @query("cal_advance", _O + "SELECT o_orderkey, date_diff('day', DATE '0001-01-01', make_date(y, m, 1)) + date_diff('day', make_date(y, m, 1), make_date(y, m, 1) + INTERVAL 3 MONTH) + d - 1 + 367 AS by_month, date_diff('day', DATE '0001-01-01', make_date(y, m, d)) + 367 + floor((s + 131400.0::DOUBLE) / 86400) AS by_hour, s + 131400.0::DOUBLE - 86400 * floor((s + 131400.0::DOUBLE) / 86400) AS second FROM o")
 def cal_advance(spark, d):
     o = _dates(spark, d)
@@ -368,7 +414,6 @@ def time_windows(spark, d):
 @query("record_search", "SELECT min(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE))) AS rec FROM events WHERE value > 200")
 def record_search(spark, d):
     e = _t(spark, d, "events").select(F.to_date("ts").alias("day"), "event_id", "value")
-    first = e.agg(F.min("day")).first()[0]
-    f = Field.of(e.withColumn("n", F.datediff("day", F.lit(first)).cast("long")), "value", ["event_id"], rec="n")
+    f = Field.of(e.withColumn("n", F.datediff("day", _first_day(spark, d)).cast("long")), "value", ["event_id"], rec="n")
     return records.first_matching(f, F.col("v") > 200)
 

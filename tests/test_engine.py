@@ -260,4 +260,34 @@ def test_wrong_uses_are_refused(spark):
     with pytest.raises(ValueError):
         field.op("BOOL", field)
     with pytest.raises(ValueError):
-        cal.date_of(F.lit(1), "auto")
+        cal.date_of(F.lit(1), "lunar")
+    with pytest.raises(ValueError):
+        records.tuples(field, [(1, 2), (3,)])
+    with pytest.raises(ValueError):
+        field.op("ADD", field, names=["lat"])
+
+
+def test_auto_calendar_and_durations(spark):
+    days = spark.range(0, 800_000).withColumnRenamed("id", "day")
+    y, m, d = cal.date_of(F.col("day"), cal.AUTO)
+    got = days.select("day", y.alias("y"), m.alias("m"), d.alias("d"))
+    gap = F.col("day").between(360_001, 365_000) | F.col("day").between(693_501, 693_961)
+    assert got.where(gap != F.col("y").isNull()).count() == 0
+    assert got.where(cal.day_number(F.col("y"), F.col("m"), F.col("d"), cal.AUTO) != F.col("day")).count() == 0
+    n = lambda *x: list(map(F.lit, x))
+    one = spark.range(1)
+    assert one.select(cal.duration_of(F.lit(86400.0 * 58), "MO", *n(2024, 2)), cal.duration_of(F.lit(7200.0), "H", *n(2024, 2)), cal.second_of(*n(1, 1, 1))).first() == (2.0, 2.0, 3661)
+    day, second = cal.day_and_second(F.lit(-1.0))
+    assert one.select(day, second, cal.seconds_since(day, second)).first() == (0, 86399.0, -1.0)
+
+
+def test_listed_records(spark):
+    field = Field.of(spark.createDataFrame([(r, 0, float(r)) for r in range(5)], "r long, x long, v double"), "v", ["x"], rec="r")
+    assert sorted((r.rec, r.v) for r in records.listed(field, [3, 0, 3, 9]).df.collect()) == [(0, 3.0), (1, 0.0), (2, 3.0)]
+    assert records.listed(field, []).df.count() == 0
+
+
+def test_slope_on_a_circle(spark):
+    curve = spark.createDataFrame([(i, float(x), float(v)) for i, (x, v) in enumerate([(0, 1), (90, 0), (180, -1), (270, 0)])], "i long, x double, v double").withColumn("k", F.lit(0))
+    got = derivative(curve, "i", F.col("x"), ["k"], period=360.0).orderBy("i").collect()
+    assert [r.slope for r in got] == pytest.approx([0, -1 / 90, 0, 1 / 90])
