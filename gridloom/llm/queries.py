@@ -1,8 +1,8 @@
-"""The queries of the ten operators and of the corpus pipeline, and the SQL that checks them where SQL can say it."""
+"""The queries of the thirteen operators and of the corpus pipeline, and the SQL that checks them where SQL can say it."""
 
 from __future__ import annotations
 
-from . import op1_repeats, op2_decontaminate, op3_packing, op4_frames, op5_jaccard, op6_quality, op7_urls, op8_secrets, op9_fingerprints, op10_language
+from . import op1_repeats, op2_decontaminate, op3_packing, op4_frames, op5_jaccard, op6_quality, op7_urls, op8_secrets, op9_fingerprints, op10_language, op11_audit, op12_alignment, op13_simhash
 
 QUERIES = {
     "op1_repeats": op1_repeats.query,
@@ -15,8 +15,11 @@ QUERIES = {
     "op8_secrets": op8_secrets.query,
     "op9_fingerprints": op9_fingerprints.query,
     "op10_language": op10_language.query,
+    "op11_audit": op11_audit.query,
+    "op12_alignment": op12_alignment.query,
+    "op13_simhash": op13_simhash.query,
 }
-SQL = {"op2_decontaminate": op2_decontaminate.SQL, "op5_jaccard": op5_jaccard.SQL, "op7_urls": op7_urls.SQL}
+SQL = {"op2_decontaminate": op2_decontaminate.SQL, "op5_jaccard": op5_jaccard.SQL, "op7_urls": op7_urls.SQL, "op11_audit": op11_audit.SQL}
 
 
 def pipeline(spark, sf_dir):
