@@ -5,10 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,33 +30,25 @@ _WORD_SPACE = "▁"
 
 
 class IntervalIndex:
-    """The tokens of one text as intervals of bytes that follow one another; stabbed by other intervals."""
+    """Tokens as intervals of bytes that follow one another, sorted as they are; stabbed by bisection."""
 
-    def __init__(self, sizes: list[int]):
-        self.ends = list(accumulate(sizes))
+    def __init__(self, sizes: np.ndarray):
+        self.ends = np.cumsum(sizes)
 
-    def stab(self, start: int, end: int) -> range:
-        """The tokens that overlap the bytes from ``start`` to ``end``."""
-        return range(bisect_right(self.ends, start), bisect_left(self.ends, end) + 1)
+    def stab(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last token that overlap the bytes from each ``start`` to its ``end``."""
+        return np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, end, "left")
 
-    def ends_at(self, place: int) -> bool:
-        k = bisect_left(self.ends, place)
-        return k < len(self.ends) and self.ends[k] == place
 
+def overlaps(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first and the last token of B that each token of A overlaps, and the ends (exclusive) of groups in A and in B.
 
-def overlaps(a_sizes: list[int], b_sizes: list[int]) -> tuple[list[range], list[tuple[int, int]]]:
-    """For each token of A the tokens of B that it overlaps, and the groups as ends (exclusive) in A and in B.
-
-    A group ends where no token of A or B spans the gap. Both lists of sizes (all above 0) have the same sum.
+    A group ends where no token of A or B spans the gap. Both arrays of sizes (all above 0) have the same sum.
     """
-    index, start, found, groups = IntervalIndex(b_sizes), 0, [], []
-    for i, size in enumerate(a_sizes, 1):
-        met = index.stab(start, start + size)
-        start += size
-        found.append(met)
-        if index.ends_at(start):
-            groups.append((i, met.stop))
-    return found, groups
+    index, end = IntervalIndex(b_sizes), np.cumsum(a_sizes)
+    first, last = index.stab(end - a_sizes, end)
+    cut = np.flatnonzero(index.ends[last] == end)
+    return first, last, cut + 1, last[cut] + 1
 
 
 class Aligner:
@@ -82,26 +71,48 @@ class Aligner:
         self.a_bytes = [b"".join(byte.get(c, c.encode()) for c in self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
         pieces_of_b = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_WORD_SPACE, " ").encode() for i, p in enumerate(pieces_of_b)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in y]) for y in (self.a_bytes, self.b_bytes))
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        #: Ids as they are written, before another of the same side, as the last of A and as the last of B.
+        self.written = np.array([[f"{i}{mark}" for i in range(most)] for mark in ",|;"], object)
         self.by_stretch = not any(_WORD_SPACE in p.lstrip(_WORD_SPACE) for p in pieces_of_b)
         self.kept: dict[str, tuple | None] = {}
 
-    def _aligned(self, stretches: list[str]) -> Iterator[tuple | None]:
-        """For each stretch, which has a space in front that isn't written here: n_a, n_b, n_groups, n_links, groups, keys of links."""
+    def _aligned(self, stretches: list[str]) -> list[tuple | None]:
+        """For each stretch, which has a space in front that isn't written here: n_a, n_b, n_groups, n_links, groups, keys of links.
+
+        None for those that aren't given back. All are laid end to end, so that one index serves all of them.
+        """
         a_ids = [e.ids for e in self.a.encode_batch_fast([" " + s for s in stretches], add_special_tokens=False)]
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        for s, a, b in zip(stretches, a_ids, self.b.encode(stretches, num_threads=1)):
-            a_parts, b_parts = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
-            raw = (" " + s).encode()
-            if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-                yield None
-                continue
-            met, groups = overlaps([len(x) for x in a_parts], [len(x) for x in b_parts])
-            keys = [i * FACTOR + b[j] for i, at in zip(a, met) for j in at]
-            text, i, j = [], 0, 0
-            for i_end, j_end in groups:
-                text.append(",".join(map(str, a[i:i_end])) + "|" + ",".join(map(str, b[j:j_end])))
-                i, j = i_end, j_end
-            yield len(a), len(b), len(groups), len(keys), ";".join(text), np.array(keys, "<u8").tobytes()
+        b_ids = self.b.encode(stretches, num_threads=1)
+        right = [True] * len(stretches)
+        for ids, known in ((a_ids, self.a_bytes), (b_ids, self.b_bytes)):
+            if b"".join([known[i] for x in ids for i in x]) != "".join([" " + s for s in stretches]).encode():
+                right = [r and b"".join([known[i] for i in x]) == (" " + s).encode() for r, x, s in zip(right, ids, stretches)]
+        out: list[tuple | None] = [None] * len(stretches)
+        places = [k for k, r in enumerate(right) if r]
+        if not places:
+            return out
+        a, b = (np.fromiter((i for k in places for i in ids[k]), np.int64) for ids in (a_ids, b_ids))
+        first, last, a_ends, b_ends = overlaps(self.a_sizes[a], self.b_sizes[b])
+        n = last - first + 1
+        link_end = np.concatenate(([0], np.cumsum(n)))
+        of_a = np.repeat(np.arange(len(a)), n)
+        keys = (a[of_a] * FACTOR + b[np.arange(len(of_a)) - (link_end[:-1] - first)[of_a]]).astype("<u8").tobytes()
+        # A group is written as its tokens of A and then those of B, each with what follows it.
+        a_group, b_group = (np.searchsorted(e, np.arange(len(x)), "right") for e, x in ((a_ends, a), (b_ends, b)))
+        written = np.empty(len(a) + len(b), object)
+        written[np.arange(len(a)) + np.concatenate(([0], b_ends))[a_group]] = self.written[np.isin(np.arange(len(a)), a_ends - 1) * 1, a]
+        written[np.arange(len(b)) + a_ends[b_group]] = self.written[np.isin(np.arange(len(b)), b_ends - 1) * 2, b]
+        written = written.tolist()
+        i = j = g = 0
+        group = np.searchsorted(a_ends, np.cumsum([len(a_ids[k]) for k in places]), "left").tolist()
+        link = link_end.tolist()
+        for k, g_last in zip(places, group):
+            i_end, j_end = i + len(a_ids[k]), j + len(b_ids[k])
+            out[k] = (i_end - i, j_end - j, g_last + 1 - g, link[i_end] - link[i], "".join(written[i + j : i_end + j_end])[:-1], keys[8 * link[i] : 8 * link[i_end]])
+            i, j, g = i_end, j_end, g_last + 1
+        return out
 
     def rows(self, texts: list[str | None]) -> list[list[tuple] | None]:
         """For each text its aligned stretches; None for texts without tokens: null, empty, or not given back by both."""

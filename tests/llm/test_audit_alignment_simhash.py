@@ -213,10 +213,10 @@ def test_overlaps():
         if sum(a) != sum(b):
             (a if sum(a) < sum(b) else b).append(1)
         spans = [[(e - s, e) for s, e in zip(x, itertools.accumulate(x))] for x in (a, b)]
-        met, groups = op12_alignment.overlaps(a, b)
-        assert [list(r) for r in met] == [[j for j, (s2, e2) in enumerate(spans[1]) if s2 < e and s < e2] for s, e in spans[0]]
+        first, last, *ends = op12_alignment.overlaps(np.array(a), np.array(b))
+        assert [list(range(x, y + 1)) for x, y in zip(first, last)] == [[j for j, (s2, e2) in enumerate(spans[1]) if s2 < e and s < e2] for s, e in spans[0]]
         cuts = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
-        assert groups == [(sum(e <= c for _, e in spans[0]), sum(e <= c for _, e in spans[1])) for c in cuts]
+        assert list(zip(*ends)) == [(sum(e <= c for _, e in spans[0]), sum(e <= c for _, e in spans[1])) for c in cuts]
 
 
 def test_groups_are_given(spark):
