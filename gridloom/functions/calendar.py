@@ -6,6 +6,8 @@ A date is three integers, so that dates which no timestamp has, such as February
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -155,11 +157,47 @@ def second_of(hour: Column, minute: Column, second: Column) -> Column:
     return hour * 3600 + minute * 60 + second
 
 
-def passed(day: Column, second: Column, before_day: Column, before_second: Column, origin_day: Column, duration: float, unit: str) -> Column:
-    """Whether a boundary of intervals of a fixed length, counted from the start of ``origin_day``, lies between two times."""
-    size = F.lit(float(duration * SECONDS[unit]))
-    at = lambda dd, ss: F.floor(((dd - origin_day) * 86400 + ss) / size)
-    return at(day, second) > at(before_day, before_second)
+def passed(day: Column, second: Column, before_day: Column, before_second: Column, origin_day: Column, duration: float, unit: str, kind: str = LEAP, origin_second: Column | float = 0.0) -> Column:
+    """Whether a duration has passed at a time since a time before; equal times have, and no time before the origin has.
+
+    D, H, MI and S: a boundary of the intervals of that length, counted from the origin, lies between the two times. Y
+    and MO: the dates are so far apart, a month being a twelfth of a year and a day a part of the later time's year or month.
+    """
+    gone = lambda dd, ss: (dd - origin_day) * 86400.0 + (ss - origin_second)
+    if unit in ("Y", "MO"):
+        (y, m, d), (y0, m0, d0) = date_of(day, kind), date_of(before_day, kind)
+        apart = (y - y0) + (m - m0) / F.lit(12.0) + (d - d0) / days_in_year(y, kind) if unit == "Y" else (y - y0) * 12 + (m - m0) + (d - d0) / days_in_month(y, m, kind)
+        far = apart >= duration
+    else:
+        size = F.lit(float(duration * SECONDS[unit]))
+        far = F.floor(gone(day, second) / size) > F.floor(gone(before_day, before_second) / size)
+    return ((day == before_day) & (second == before_second)) | ((gone(day, second) >= 0) & far)
+
+
+def perpetual(day: Column, fixed: tuple[int, int, int], on: Column | bool = True, kind: str = LEAP) -> tuple[Column, Column, Column]:
+    """Year, month and day of a serial day, but where ``on`` holds the ``fixed`` date, whatever the day."""
+    here = on if isinstance(on, Column) else F.lit(on)
+    return tuple(F.when(here, F.lit(f).cast("long")).otherwise(x) for f, x in zip(fixed, date_of(day, kind)))
+
+
+#: Units from the largest to the smallest, with how many of the next one each has where that is always the same.
+UNITS = {"Y": 12, "MO": None, "D": 24, "H": 60, "MI": 60, "S": 1}
+
+
+def size_of(unit: str, inner: str, y: Column, m: Column, kind: str = LEAP) -> Column:
+    """How many of the unit ``inner`` a larger ``unit`` has, that of the year and month given: months of a year, hours of a month, ..."""
+    order = list(UNITS)
+    if order.index(inner) <= order.index(unit):
+        raise ValueError(f"{inner} is not smaller than {unit}")
+    if unit == "Y":
+        if inner == "MO":
+            return F.lit(12).cast("long")
+        days = days_in_year(y, kind)
+    else:
+        days = days_in_month(y, m, kind) if unit == "MO" else F.lit(1)
+    first = order.index("D") if unit in ("Y", "MO") else order.index(unit)
+    small = math.prod(UNITS[u] for u in order[first : order.index(inner)])
+    return (days * small).cast("long")
 
 
 def as_text(y: Column, m: Column, d: Column) -> Column:

@@ -2,18 +2,17 @@
 
 Strict operators give NULL when any operand is NULL. ``inside`` flags say whether a cell exists in an operand at all
 (see ``operators.align``); without a flag a cell counts as inside. All are built-in expressions, so Catalyst folds and
-compiles them, but for the few on the bits of a float, which are Arrow UDFs.
+compiles them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 Op = Callable[..., Column]
 
@@ -24,7 +23,7 @@ def _both(a: Column, b: Column) -> Column:
 
 def _whole(x: Column, f: Callable[[Column], Column]) -> Column:
     """``f`` by way of integers; NaN, and values of 2**52 and more, which have no fraction, stay as they are."""
-    return F.when(F.isnan(x) | (F.abs(x) >= 2.0**52), x.cast("double")).otherwise(f(x).cast("double"))
+    return F.when(F.abs(x) < 2.0**52, f(x).cast("double")).otherwise(x.cast("double"))
 
 
 def floor(x: Column) -> Column:
@@ -167,37 +166,66 @@ TERNARY: dict[str, Op] = {
 }
 
 
-@F.pandas_udf(DoubleType())
-def _fraction(x: pd.Series) -> pd.Series:
-    return pd.Series(np.frexp(x)[0])
+HUGE_INT = 2147483647.0
 
 
-@F.pandas_udf(DoubleType())
-def _exponent(x: pd.Series) -> pd.Series:
-    return pd.Series(np.frexp(x)[1].astype(float))
+def _pow2(k: Column) -> tuple[Column, Column]:
+    """Two factors whose product is 2**k; each is a double where the product may not be."""
+    half = F.floor(k / 2)
+    return F.pow(F.lit(2.0), half), F.pow(F.lit(2.0), k - half)
 
 
-@F.pandas_udf(DoubleType())
-def _nearest(x: pd.Series, toward: pd.Series) -> pd.Series:
-    return pd.Series(np.nextafter(x, np.where(toward < 0, -np.inf, np.inf)))
+def _parts(x: Column) -> tuple[Column, Column]:
+    """Fraction in [0.5, 1), with the sign, and exponent of finite values that aren't 0; exact, as all steps are by powers of 2."""
+    small = F.abs(x) < 2.0**-1022
+    y = F.when(small, x * 2.0**54).otherwise(x)
+    guess = F.floor(F.log2(F.abs(y))).cast("double")
+    a, b = _pow2(guess)
+    f = y / a / b
+    off = F.when(F.abs(f) >= 2, 1.0).when(F.abs(f) < 1, -1.0).otherwise(0.0)  # the logarithm may be off by one next to a power of 2
+    return f / F.pow(F.lit(2.0), off + 1), guess + off + 1 - F.when(small, 54.0).otherwise(0.0)
 
 
-@F.pandas_udf(DoubleType())
-def _spacing(x: pd.Series) -> pd.Series:
-    return pd.Series(np.maximum(np.spacing(np.abs(x)), np.finfo(float).tiny))
+def _finite(x: Column) -> Column:
+    return ~F.isnan(x) & (F.abs(x) < math.inf)
 
 
-def _seen(x: Column, f: Column) -> Column:
-    return F.when(x.isNotNull(), f)
+def fraction(x: Column) -> Column:
+    return F.when(x == 0, x).when(_finite(x), _parts(x)[0]).when(x.isNotNull(), math.nan)
+
+
+def exponent(x: Column) -> Column:
+    """0 for 0; of NaN and infinity the largest 32-bit integer, as they have none."""
+    return F.when(x == 0, 0.0).when(_finite(x), _parts(x)[1]).when(x.isNotNull(), HUGE_INT)
+
+
+def spacing(x: Column) -> Column:
+    a, b = _pow2(F.greatest(_parts(x)[1] - 53, F.lit(-1022.0)))
+    return F.when(x == 0, 2.0**-1022).when(_finite(x), a * b).when(x.isNotNull(), math.nan)
+
+
+def nearest(x: Column, toward: Column) -> Column:
+    """The next value that there is, up or (``toward`` below 0) down."""
+    way = F.when(toward < 0, -1.0).otherwise(1.0)
+    f, e = _parts(x)
+    inward = (x > 0) != (way > 0)
+    a, b = _pow2(F.greatest(e - 53 - F.when(inward & (F.abs(f) == 0.5), 1.0).otherwise(0.0), F.lit(-1074.0)))
+    beyond = F.when(inward, F.signum(x) * float(np.finfo(float).max)).otherwise(x)
+    return F.when(F.isnan(x) | F.isnan(toward), math.nan).when(x == 0, way * 5e-324).when(_finite(x), x + way * (a * b)).otherwise(beyond)
+
+
+def set_exponent(x: Column, e: Column) -> Column:
+    a, b = _pow2(trunc(e))
+    return F.when(x == 0, x).when(F.isnan(e), math.nan).otherwise(fraction(x) * a * b)
 
 
 BITS: dict[str, Op] = {
-    "FRACTION": lambda x: _seen(x, _fraction(x)),
-    "EXPONENT": lambda x: _seen(x, _exponent(x)),
-    "SPACING": lambda x: _seen(x, _spacing(x)),
-    "RRSP": lambda x: _seen(x, F.abs(_fraction(x)) * F.lit(2.0**53)),
-    "NEAREST": lambda a, b: F.when(_both(a, b), _nearest(a, b)),
-    "SETE": lambda a, b: F.when(_both(a, b), _fraction(a) * F.pow(F.lit(2.0), trunc(b))),
+    "FRACTION": fraction,
+    "EXPONENT": exponent,
+    "SPACING": spacing,
+    "RRSP": lambda x: F.abs(fraction(x)) * F.lit(2.0**53),
+    "NEAREST": lambda a, b: F.when(_both(a, b), nearest(a, b)),
+    "SETE": lambda a, b: F.when(_both(a, b), set_exponent(a, b)),
 }
 
 CONSTANTS = {"PI": float(np.pi), "E": float(np.e), "HUGE": float(np.finfo(float).max), "TINY": float(np.finfo(float).tiny)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
@@ -61,30 +61,37 @@ def count(field: Field) -> int:
     return 0 if last is None else last + 1
 
 
+def counted(field: Field) -> Column:
+    """The same as a subquery of the plan that uses it."""
+    return field.df.agg(F.coalesce(F.max("rec") + 1, F.lit(0)).cast("long")).scalar()
+
+
 def in_step(fields: list[Field], modes: list[str]) -> list[Field]:
-    """Bring sequences to one number of turns: the longest, where any mode allows a shorter one to go on.
+    """Bring sequences to one number of turns: the longest, or that of those that end the run.
 
-    ``terminate``: must be as long as the run, else InsufficientRecords. ``cyclic``: starts again. ``persistent``:
-    keeps its last record. What is repeated is copied to the turns by a join with the small table of turns.
+    ``terminate``: ends the run; several must be as long as each other, else InsufficientRecords (to know, they are
+    counted here). ``cyclic``: starts again. ``persistent``: keeps its last record. Numbers of records are otherwise
+    subqueries of the plan, so that building it runs no job.
     """
-    n = [count(f) for f in fields]
-    strict = [k for k, m in zip(n, modes) if m == "terminate"]
-    turns = max(n) if not strict else max(strict)
-    out = []
-    for f, k, mode in zip(fields, n, modes):
-        if mode == "terminate" and k != turns:
-            raise InsufficientRecords(f"{k} of {turns} records")
-        out.append(f if k == turns else replace(f, df=_repeated(f.df, k, turns, mode)))
-    return out
-
-
-def _repeated(df: DataFrame, k: int, turns: int, mode: str) -> DataFrame:
-    rec = F.col("rec")
+    ends = [f for f, m in zip(fields, modes) if m == "terminate"]
+    if len(ends) > 1:
+        found = [count(f) for f in ends]
+        if len(set(found)) > 1:
+            raise InsufficientRecords(f"{min(found)} of {max(found)} records")
+    numbers = [counted(f) for f in fields]
+    turns = counted(ends[0]) if ends else F.greatest(*numbers) if len(numbers) > 1 else numbers[0]
+    return [f if m == "terminate" else replace(f, df=_repeated(f.df, k, turns, m)) for f, k, m in zip(fields, numbers, modes)]
+
+
+def _repeated(df: DataFrame, k: Column, turns: Column, mode: str) -> DataFrame:
+    columns = df.columns
+    df = df.withColumn("rec", F.col("rec").cast("long")).withColumn("__k", k).withColumn("__turns", turns)
+    rec, k, turns = F.col("rec"), F.col("__k"), F.col("__turns")
     if mode == "cyclic":
-        again = F.when(rec < turns, F.sequence(rec, F.lit(turns - 1).cast("long"), F.lit(k).cast("long")))
+        again = F.when(rec < turns, F.sequence(rec, turns - 1, k))
     else:
-        again = F.when(rec < min(k, turns) - 1, F.array(rec)).when(rec == k - 1, F.sequence(rec, F.greatest(rec, F.lit(turns - 1).cast("long"))))
-    return df.withColumn("rec", rec.cast("long")).withColumn("rec", F.explode(again)).where(F.col("rec") < turns)
+        again = F.when(rec < F.least(k, turns) - 1, F.array(rec)).when(rec == k - 1, F.sequence(rec, F.greatest(rec, turns - 1)))
+    return df.withColumn("rec", F.explode(again)).where(F.col("rec") < turns).select(*columns)
 
 
 def first_matching(field: Field, predicate) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..field import Field
+
 MISSING = -999.0
 
 
@@ -59,3 +61,22 @@ def read_text(spark: SparkSession, path: str, shape: dict[str, int], missing: fl
         columns.append(F.pmod(F.floor(flat / stride), F.lit(n)).cast("long").alias(name))
         stride *= n
     return with_missing(lines.select(F.floor(flat / stride).cast("long").alias("rec"), *columns, "v"), missing)
+
+
+def write_field(field: Field, path: str, mode: str = "errorifexists", by_record: bool = True) -> None:
+    """A field with all that is known of it, in the metadata of its columns; missing cells as its missing value, if it has one."""
+    df = field.frame()
+    if field.meta.missing is not None:
+        about = df.schema["v"].metadata
+        df = df.withColumn("v", F.coalesce("v", F.lit(float(field.meta.missing))).alias("v", metadata=about))
+    writer = df.write.mode(mode)
+    (writer.partitionBy("rec") if by_record and field.has_rec else writer).parquet(path)
+
+
+def read_field(spark: SparkSession, path: str, rec: tuple[int, int] | None = None, **ranges: tuple[int, int]) -> Field:
+    """A field as ``write_field`` left it; record and coordinate ranges are pushed to the scan."""
+    df = spark.read.parquet(path)
+    field = Field.of_frame(df if rec is None else df.where((F.col("rec") >= rec[0]) & (F.col("rec") < rec[1])))
+    if field.meta.missing is not None:
+        field = Field(with_missing(field.df, field.meta.missing), field.coords, field.has_rec, field.kind, field.meta)
+    return field.select(**ranges) if ranges else field
