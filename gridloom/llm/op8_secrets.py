@@ -16,22 +16,31 @@ HEX = r"[0-9a-f]{24,}"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+"
 KINDS = ["assign", "access", "hex", "markov"]
 PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "markov": TOKEN}
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-#: Ordinary identifiers that are learned besides those of the documents, each as often as SAMPLE_WEIGHT runs.
+#: What the models tell apart: letters, a digit (all as one, written 9) and four signs; and the class of each.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+ALPHABET = LETTERS + "9+/_-"
+CLASSES = [r"[A-Z]", r"[a-z]", r"[0-9]", r"[+/_-]"]
+CLASS_OF = [0] * 26 + [1] * 26 + [2] + [3] * 4
+CLASS_SIZE = [26, 26, 1, 4]
+#: In how many characters a random one of each class may be: digits are one symbol to both models, but ten to a random string.
+CLASS_WEIGHT = [26, 26, 10, 4]
+#: Labelled ordinary identifiers, one of a form, learned besides the runs of documents, each as often as SAMPLE_WEIGHT documents.
 ORDINARY = [
-    "2024-01-02T03-04-05", "1999-12-31", "978-3-16-148410-0", "01234567890123456789", "1000000000000000", "release-1-12-0",
-    "/usr/local/lib/python3/dist-packages", "/var/log/2023/11/30/access", "org/apache/spark/sql", "getElementsByClassName",
-    "MAX_VALUE_OF_COLUMN", "user_id_of_customer_17", "image-2048x1536-large", "README-en-2020",
+    "2024-01-02T03-04-05", "20240102T030405", "+1-202-555-0123", "0049-30-901820", "978-3-16-148410-0", "release-1-12-0", "v1-2-3-beta-4",
+    "/usr/local/lib/python3/dist-packages", "/var/log/2023/11/30/access", "org/apache/spark/sql", "getElementsByClassName", "toString2Bytes",
+    "MAX_VALUE_OF_COLUMN", "user_id_of_customer_17", "image-2048x1536-large", "README-en-2020", "chapter12-section3",
 ]
 SAMPLE_WEIGHT = 10
-#: Weight of a character's own frequency against the counts of what came before it, in both models.
-BACK_OFF = 5.0
-#: The share of a uniform model in the model of ordinary strings and in that of random ones.
-UNIFORM = (0.02, 0.5)
-#: Nats a transition and in all by which a run must look random rather than ordinary. Of the 27,015 different ordinary
-#: runs of sf0.1 the most random has 3.8 in all and 0.32 a transition; of random strings of 12 letters and digits 19 of
-#: 20 have 16.9 or more in all, 2.6 a transition in the median.
-MIN_MEAN, MIN_TOTAL = 0.5, 8.0
+#: Runs that are learned from one document: words of one case, or with a capital in front, with signs between, up to a length.
+LONGEST_PLAIN = 64
+PLAIN = r"^([A-Z]?[a-z]*|[A-Z]+)([+/_-]([A-Z]?[a-z]*|[A-Z]+))*$"
+#: Weight of a character's own frequency against the counts of what came before it, in the ordinary model, and of classes by
+#: their sizes against the counts of random samples.
+BACK_OFF, CLASS_PRIOR = 5.0, 20.0
+#: The share of a uniform model in the model of ordinary strings.
+UNIFORM = 0.02
+#: Nats a transition and in all by which a run must look random rather than ordinary: twice as likely at each step.
+MIN_MEAN, MIN_TOTAL = math.log(2), 8.0
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 #: Matches whose places are added up at once; longer lists are added up by such chunks, so that time stays near linear.
 CHUNK = 128
@@ -70,51 +79,103 @@ def extract(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.select("doc", base.alias("base"), held.alias("held"), run.alias("runs"))
 
 
-def train(found: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each transition, by the two characters' places in ALPHABET; one row a transition reaches the driver.
+def _codes(value: Column) -> Column:
+    """Places in ALPHABET of the characters of a run. The run is split once, so time is linear in its length."""
+    plain = F.translate(value, "0123456789", "9" * 10)
+    return F.transform(F.split(plain, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
 
-    Random strings are what the rules found. Ordinary ones are ORDINARY and the runs of documents in which the rules
-    found nothing, as written, in upper case and in lower case, each different one once; those with digits only if
-    several documents have them, as a secret that no rule knows has one. Both models back off to how often their
-    characters occur and are mixed with a uniform one (UNIFORM), so that transitions not seen tell little. Without samples
-    of secrets that model is uniform.
+
+def _kind(value: Column) -> Column:
+    """Which of CLASSES occur in a run, as bits."""
+    return sum((F.when(value.rlike(c), 1 << i).otherwise(0) for i, c in enumerate(CLASSES)), F.lit(0))
+
+
+def _steps(codes: Column, f) -> Column:
+    """``f`` of each character and the next one."""
+    n = F.greatest(F.size(codes) - 1, F.lit(0))
+    return F.zip_with(F.slice(codes, 1, n), F.slice(codes, 2, n), f)
+
+
+def train(found: DataFrame) -> tuple[list[float], list[float]]:
+    """Log-likelihoods of transitions under both models: of ordinary strings by two characters' places in ALPHABET, of
+    random ones by the classes of a string and of two characters. One row a kind and transition reaches the driver.
+
+    Samples of random strings are what the rules found, by the classes that they have. Samples of ordinary ones are
+    ORDINARY and the runs of documents in which the rules found nothing, each different one as often as documents have it
+    (SAMPLE_WEIGHT times at most), with all digits alike, as written, in upper case and in lower case; those that aren't PLAIN, such as those with a digit or with mixed
+    cases, only if several documents have them so, as a secret that no rule knows isn't plain and no other document has
+    it. So dates, numbers and versions are learned by their form.
     """
     secret = found.select(F.lit(1).alias("label"), F.explode("held").alias("value"), F.lit(1).alias("k"))
-    seen = found.where(F.size("base") == 0).select(F.explode(F.array_distinct("runs.value")).alias("value")).groupBy("value").agg(F.count("*").alias("k"))
-    seen = seen.where((F.col("k") > 1) | ~F.col("value").rlike("[0-9]")).select("value", F.lit(1).alias("k"))
-    given = found.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ORDINARY))).alias("value"), F.lit(SAMPLE_WEIGHT).alias("k"))
-    plain = seen.union(given).select(F.lit(0).alias("label"), F.explode(F.array("value", F.upper("value"), F.lower("value"))).alias("value"), "k")
-    pairs = secret.union(plain).where(F.length("value") > 1).select("label", "k", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.col("value").substr(i, F.lit(2)))).alias("pair"))
-    counts: dict[int, dict[str, int]] = {0: {}, 1: {}}
-    for r in pairs.groupBy("label", "pair").agg(F.sum("k").alias("k")).where(F.col("pair").rlike(r"^[A-Za-z0-9+/_-]{2}$")).collect():
-        counts[r["label"]][r["pair"]] = r["k"]
-    return ratios(counts)
-
-
-def ratios(counts: dict[int, dict[str, int]]) -> list[float]:
+    forms = F.array_distinct(F.transform("runs.value", lambda v: F.translate(v, "0123456789", "9" * 10)))
+    seen = found.where(F.size("base") == 0).select(F.explode(forms).alias("value")).groupBy("value").agg(F.count("*").alias("k"))
+    seen = seen.where((F.col("k") > 1) | F.when(F.length("value") <= LONGEST_PLAIN, F.col("value").rlike(PLAIN))).select(F.lit(0).alias("label"), "value", F.least("k", F.lit(SAMPLE_WEIGHT)).alias("k"))
+    given = found.sparkSession.range(1).select(F.lit(0).alias("label"), F.explode(F.array(*map(F.lit, ORDINARY))).alias("value"), F.lit(SAMPLE_WEIGHT).alias("k"))
+    samples = secret.union(seen).union(given)
+    kind = F.when(F.col("label") == 1, _kind(F.col("value"))).otherwise(0).alias("kind")
+    n = len(ALPHABET)
+    step = F.explode(_steps(_codes(F.col("value")), lambda a, b: F.when((a >= 0) & (b >= 0), a * n + b))).alias("step")
+    counts: dict[int, dict[tuple[int, int], int]] = {}
+    rows = samples.select("k", kind, "label", step).where(F.col("step").isNotNull()).groupBy("label", "kind", "step").agg(F.sum("k").alias("k"))
+    for r in rows.collect():  # 17 times the square of the alphabet at most
+        counts.setdefault(r["kind"] if r["label"] else -1, {})[divmod(r["step"], n)] = r["k"]
+    return ordinary(counts.pop(-1, {})), random_strings(counts)
+
+
+def ordinary(counts: dict[tuple[int, int], int]) -> list[float]:
+    """Log-probability of each transition of ordinary strings, which count as written, in upper and in lower case."""
     n = len(ALPHABET)
-    row = {k: {a: sum(v.get(a + b, 0) for b in ALPHABET) for a in ALPHABET} for k, v in counts.items()}
-    into = {k: {b: sum(v.get(a + b, 0) for a in ALPHABET) for b in ALPHABET} for k, v in counts.items()}
+    cases = [list(range(n)), [ALPHABET.index(c.upper()) for c in ALPHABET], [ALPHABET.index(c.lower()) for c in ALPHABET]]
+    pair = [[0] * n for _ in range(n)]
+    for (a, b), k in counts.items():
+        for case in cases:
+            pair[case[a]][case[b]] += k
+    into = [sum(row[b] for row in pair) for b in range(n)]
+    total = sum(into)
+
+    def p(a: int, b: int) -> float:
+        alone = (into[b] + 1) / (total + n)
+        return (1 - UNIFORM) * (pair[a][b] + BACK_OFF * alone) / (sum(pair[a]) + BACK_OFF) + UNIFORM / n
+
+    return [math.log(p(a, b)) for a in range(n) for b in range(n)]
+
 
-    def p(kind: int, a: str, b: str) -> float:
-        alone = (into[kind][b] + 1) / (sum(into[kind].values()) + n)
-        learned = (counts[kind].get(a + b, 0) + BACK_OFF * alone) / (row[kind][a] + BACK_OFF)
-        return (1 - UNIFORM[kind]) * learned + UNIFORM[kind] / n
+def random_strings(counts: dict[int, dict[tuple[int, int], int]]) -> list[float]:
+    """Log-probability of each transition of random strings: by kind (classes that the string has), class and next class.
+
+    Characters of a class are alike. Without samples of a kind all its characters are.
+    """
+    out = []
+    for kind in range(16):
+        held = [c for c in range(4) if kind >> c & 1]
+        step = [[0] * 4 for _ in range(4)]
+        for (a, b), k in counts.get(kind, {}).items():
+            step[CLASS_OF[a]][CLASS_OF[b]] += k
+        all_ = sum(CLASS_WEIGHT[c] for c in held) or 1
+        for a in range(4):
+            for b in range(4):
+                share = (step[a][b] + CLASS_PRIOR * CLASS_WEIGHT[b] / all_) / (sum(step[a]) + CLASS_PRIOR)
+                out.append(math.log(share / CLASS_SIZE[b]) if a in held and b in held else 0.0)
+    return out
 
-    return [math.log(p(1, a, b) / p(0, a, b)) for a in ALPHABET for b in ALPHABET]
 
+def _literal(values: list[float]) -> Column:
+    return F.expr("array(" + ",".join(f"{x:.9e}D" for x in values) + ")")  # folded into one literal
 
-def judged(found: DataFrame, ratio_of: list[float]) -> DataFrame:
+
+def judged(found: DataFrame, models: tuple[list[float], list[float]]) -> DataFrame:
     """(doc, base, spans): ``spans`` are those of the rules, and the runs that look random and touch none of those."""
-    held = F.expr("array(" + ",".join(f"{x:.9e}D" for x in ratio_of) + ")")  # folded into one literal
+    plain, drawn = map(_literal, models)
     n = len(ALPHABET)
+    class_of = F.expr("array(" + ",".join(map(str, CLASS_OF)) + ")")
 
-    def ratio(value: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.length(value) - 1)
-        place = lambda i: F.call_function("instr", F.lit(ALPHABET), value.substr(i, F.lit(1))) - 1
-        return F.aggregate(steps, F.lit(0.0), lambda done, i: done + F.get(held, place(i) * n + place(i + 1)))
+    def ratio(r: Column) -> Column:
+        of = lambda a, b: F.get(drawn, r["set"] + F.get(class_of, a) * 4 + F.get(class_of, b)) - F.get(plain, a * n + b)
+        return F.aggregate(_steps(r["codes"], of), F.lit(0.0), lambda done, x: done + x)
 
-    scored = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), ratio(r["value"]).alias("ratio")))
+    place = lambda r: [r[k].alias(k) for k in ("start", "kind", "end")]
+    coded = F.transform("runs", lambda r: F.struct(*place(r), (_kind(r["value"]) * 16).alias("set"), _codes(r["value"]).alias("codes")))  # once a run, not a character
+    scored = F.transform(coded, lambda r: F.struct(*place(r), F.when(r["set"].bitwiseAND(3 * 16) != 0, ratio(r)).otherwise(0.0).alias("ratio")))
     random = F.filter("scored", lambda r: (r["ratio"] >= MIN_TOTAL) & (r["ratio"] >= MIN_MEAN * (r["end"] - r["start"] - 1)) & ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     added = F.transform(random, lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end")))
     return found.withColumn("scored", scored).select("doc", "base", F.array_sort(F.concat("base", added)).alias("spans"))
@@ -131,7 +192,9 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Places are code points, ends exclusive, kinds places in KINDS. Null and empty texts have no spans. Rules count
     leftmost matches that don't overlap within a kind; kinds may overlap. Each row gives one row; repeated rows, null
-    ids and columns of any names are fine. Texts are read once: what rules and models need of them is staged with
+    ids and columns of any names are fine. The models judge each run of 12 characters and more that no rule touches as a
+    whole. A run without a letter is never a secret to them: digits and signs alone are dates, times, numbers of phones,
+    books and cards, which are personal data at most. Texts are read once: what rules and models need of them is staged with
     ``docs``, then the models are trained on all of it and applied to all of it.
     """
     found = staged(extract(docs, text_col), "secrets")
@@ -140,7 +203,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each found span (merged where they overlap) replaced by ``mark``; other texts stay as they are."""
-    found = scan(docs, text_col)
+    found = staged(extract(docs, text_col), "secrets")
+    found = judged(found.repartition(4 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))), train(found))
     text = F.col("doc").getField(text_col)
 
     def step(done: Column, s: Column) -> Column:
@@ -157,7 +221,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = staged(extract(docs).withColumn("doc", F.struct("doc.doc_id")), "secrets")
-    ratio_of = train(found)
+    models = train(found)
     found = found.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))  # small rows, many steps for each
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return judged(found, ratio_of).select("doc.doc_id", n("assign"), n("access"), n("hex"), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    return judged(found, models).select("doc.doc_id", n("assign"), n("access"), n("hex"), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))

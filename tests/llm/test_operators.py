@@ -482,7 +482,7 @@ def test_secret_rules(spark, docs, texts):
 
 
 def test_markov_finds_random_strings(spark):
-    letters = op8_secrets.ALPHABET[:62]
+    letters = op8_secrets.LETTERS + "0123456789"
     plain = [(i, " ".join("".join(R.choice(["ing", "tion", "er", "the", "con", "ver", "al"]) for _ in range(9)) for _ in range(20))) for i in range(60)]
     known = [(100 + i, "api_key=" + "".join(R.choice(letters) for _ in range(32))) for i in range(60)]
     new = [(200 + i, "see " + "".join(R.choice(letters) for _ in range(32)) + " there") for i in range(40)]
@@ -496,41 +496,52 @@ def test_markov_finds_random_strings(spark):
 def brute_ratios(rows):
     """(doc_id, start, end, ratio) of the runs that no rule touches, counted and added up in plain Python."""
     run = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}")
+    form = lambda x: re.sub("[0-9]", "9", x)
+    group = lambda c: "upper" if c.isupper() else "lower" if c.islower() else "digit" if c.isdigit() else "sign"
+    size = {"upper": 26, "lower": 26, "digit": 10, "sign": 4}
     held, runs = [], collections.Counter()
     for _, t in rows:
         base = brute_spans(t or "")
         for m in re.finditer(op8_secrets.ASSIGN, t or ""):
             held += [m[1]] * (len(m[1]) >= 6)
         held += [t[a:b] for a, k, b in base if k]
-        runs.update({m[0] for m in run.finditer(t or "")} if not base else ())
-    plain = [(x, 1) for x, k in runs.items() if k > 1 or not re.search("[0-9]", x)] + [(x, op8_secrets.SAMPLE_WEIGHT) for x in op8_secrets.ORDINARY]
-    seen = [[(v, k) for x, k in plain for v in (x, x.upper(), x.lower())], [(x, 1) for x in held]]
-    pair, row, into = ([collections.Counter(), collections.Counter()] for _ in range(3))
-    for kind in (0, 1):
-        for x, k in seen[kind]:
-            for a, b in zip(x, x[1:]):
-                if a in op8_secrets.ALPHABET and b in op8_secrets.ALPHABET:
-                    pair[kind][a + b] += k
-                    row[kind][a] += k
-                    into[kind][b] += k
-
-    def p(kind, a, b):
-        alone = (into[kind][b] + 1) / (sum(into[kind].values()) + 66)
-        u = (0.02, 0.5)[kind]
-        return (1 - u) * (pair[kind][a + b] + 5 * alone) / (row[kind][a] + 5) + u / 66
+        runs.update({form(m[0]) for m in run.finditer(t or "")} if not base else ())
+    plain = [(x, min(k, op8_secrets.SAMPLE_WEIGHT)) for x, k in runs.items() if k > 1 or len(x) <= 64 and all(re.fullmatch("[A-Z]?[a-z]*|[A-Z]+", w) for w in re.split("[-+/_]", x))] + [(form(x), op8_secrets.SAMPLE_WEIGHT) for x in op8_secrets.ORDINARY]
+    letters = set(op8_secrets.ALPHABET)
+    pair, row, into = (collections.Counter() for _ in range(3))
+    for x, k in plain:
+        for v in (x, x.upper(), x.lower()):
+            for a, b in zip(v, v[1:]):
+                pair[a + b] += k
+                row[a] += k
+                into[b] += k
+    step = collections.Counter()
+    for x in held:
+        kind = frozenset(map(group, x)) if all(form(c) in letters for c in x) else frozenset(group(c) for c in x if form(c) in letters)
+        step.update((kind, group(a), group(b)) for a, b in zip(x, x[1:]) if form(a) in letters and form(b) in letters)
+
+    def ratio(x):
+        kind, total = frozenset(map(group, x)), 0.0
+        for a, b in zip(x, x[1:]):
+            from_ = sum(n for (k, g, _), n in step.items() if k == kind and g == group(a))
+            share = (step[kind, group(a), group(b)] + 20 * size[group(b)] / sum(size[g] for g in kind)) / (from_ + 20)
+            alone = (into[form(b)] + 1) / (sum(into.values()) + 57)
+            p = 0.98 * (pair[form(a + b)] + 5 * alone) / (row[form(a)] + 5) + 0.02 / 57
+            total += np.log(share / (1 if b.isdigit() else size[group(b)])) - np.log(p)
+        return total if re.search("[A-Za-z]", x) else 0.0
 
     out = []
     for d, t in rows:
         base = brute_spans(t or "")
         for m in run.finditer(t or ""):
             if not any(a < m.end() and m.start() < b for a, _, b in base):
-                out.append((d, m.start(), m.end(), sum(np.log(p(1, a, b) / p(0, a, b)) for a, b in zip(m[0], m[0][1:]))))
+                out.append((d, m.start(), m.end(), ratio(m[0])))
     return out
 
 
 def secret_rows():
     rand = lambda letters, n: "".join(R.choice(letters) for _ in range(n))
-    letters = op8_secrets.ALPHABET
+    letters = op8_secrets.LETTERS + "0123456789+/_-"
     rows = [(i, " ".join("".join(R.choice(["ing", "tion", "er", "the", "con", "ver", "al", "ß", "_a_"]) for _ in range(R.randint(2, 9))) for _ in range(30))) for i in range(60)]
     rows += [(100 + i, f"api_key={rand(letters[:62], 32)} und {rand(letters[26:62], 14)}") for i in range(40)] + [(150 + i, rand("0123456789abcdef", 40)) for i in range(9)]
     rows += [(200 + i, f"see({rand(letters[:n], size)})密{rand(letters[:62], size)}鍵") for i, (n, size) in enumerate((n, s) for n in (62, 64, 66) for s in (12, 15, 19, 40))]
@@ -546,6 +557,35 @@ def test_markov_spans_against_brute_force(spark):
     assert len({x for x in got if 200 <= x[0] < 300}) >= 22 and not {d for d, _, _ in got if d < 60 or d == 302}
 
 
+def test_random_strings_among_ordinary_text(spark):
+    """Planted in the documents of a table; none of the forms is one of the samples that are learned."""
+    r = random.Random(23)
+    letters, lower, digits = op8_secrets.LETTERS + "0123456789", op8_secrets.LETTERS[26:], "0123456789"
+    pick = lambda s, n: "".join(r.choice(s) for _ in range(n))
+    word = lambda: "".join(r.choice(["con", "ver", "ta", "mi", "ro", "le", "sta", "ne", "per", "li"]) for _ in range(r.randint(2, 4)))
+    planted = {
+        "mixed": [pick(letters, r.randint(12, 40)) for _ in range(50)], "lower": [pick(lower, r.randint(16, 30)) for _ in range(50)], "lower and digits": [pick(lower + digits, r.randint(14, 30)) for _ in range(50)],
+        "isbn": [f"979-{pick(digits, 1)}-{pick(digits, 4)}-{pick(digits, 4)}-{pick(digits, 1)}" for _ in range(50)], "time": [f"{r.randint(1970, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{pick(digits, 2)}-{pick(digits, 2)}-{pick(digits, 2)}Z" for _ in range(50)],
+        "phone": [f"+{pick(digits, 2)}-{pick(digits, 3)}-{pick(digits, 7)}" for _ in range(50)], "card": [pick("123456789", 16) for _ in range(50)],
+        "camel": ["".join(w.capitalize() for w in (word(), word(), word())) for _ in range(50)], "snake": ["_".join((word(), word(), word(), pick(digits, 2))) for _ in range(50)],
+    }
+    documents = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    names = list(planted)
+    rows = documents + [(-1 - 50 * names.index(k) - i, f"see {x} there") for k, v in planted.items() for i, x in enumerate(v)]
+    got = {x.doc.doc_id: [s.kind for s in x.spans] for x in op8_secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {k: sum(3 in got[-1 - 50 * names.index(k) - i] for i in range(50)) for k in names}
+    assert all(found[k] >= 45 for k in names[:3]) and all(found[k] <= 1 for k in names[3:]), str(found)
+
+
+def test_a_run_of_a_million_characters(spark):
+    import time
+
+    t = "".join(R.choice(op8_secrets.ALPHABET) for _ in range(800_000))
+    began = time.time()
+    (row,) = op8_secrets.scan(spark.createDataFrame([(1, "a " + t)], "doc_id long, text string")).collect()
+    assert (row.spans[-1].start, row.spans[-1].end) == (2, 800_002) and time.time() - began < 60
+
+
 def test_redaction_merges(spark):
     t = "ä token=" + "ab12" * 10 + " and " + "c0" * 15
     rows = [(1, t, "k", "b", "s", "r", "d"), (2, None, "k", "b", "s", "r", "d"), (3, "f0" * 12 + "x" + "f1 " * 400 + "0a1b2c3d" * 4, *"kbsrd")]
