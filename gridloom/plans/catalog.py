@@ -415,14 +415,14 @@ def regrid_jagged(spark, d):
 
 
 @query("regrid_vector", "WITH s AS (SELECT event_type AS k, CAST(hour(ts) AS BIGINT) AS h, sum(value) AS v, count(*) AS n FROM events GROUP BY ALL), w AS (SELECT d AS dst, h AS src, (least(h + 1, (d + 1) * 2.4) - greatest(h, d * 2.4)) / 2.4 AS o FROM range(10) x(d), range(24) y(h) WHERE least(h + 1, (d + 1) * 2.4) - greatest(h, d * 2.4) > 1e-9), d AS (SELECT dst, sum(o) AS o FROM w GROUP BY dst), r AS (SELECT k, dst, sum(w.o * v + w.o / 8 * n) / any_value(d.o) AS v FROM s JOIN w ON src = h JOIN d USING (dst) GROUP BY k, dst), g AS (SELECT DISTINCT k, t.dst FROM s, range(12) t(dst)) "
-       f"SELECT k, CAST(dst AS BIGINT) AS h, CASE WHEN r.k IS NULL THEN -9990 ELSE {_cents_sql('v / 1e3')} END AS v FROM g LEFT JOIN r USING (k, dst)")
+       f"SELECT k, CAST(dst AS BIGINT) AS h, CASE WHEN r.k IS NULL THEN -1427143 ELSE {_cents_sql('v / 7')} END AS v FROM g LEFT JOIN r USING (k, dst)")
 def regrid_vector(spark, d):
     """Two components, the first one's weights below, and two targets that no weight reaches."""
     _, w = _ring(spark, d)
     both = _t(spark, d, "events").groupBy(F.col("event_type").alias("k"), F.hour("ts").cast("long").alias("h")).agg(F.sum("value").alias("a"), F.count("*").alias("b"))
     w = w.select("dst", "src", F.col("w").alias("wa"), (F.col("w") / 8).alias("wb"))
     got = apply_vector(both, w, "h", {"a": "wa", "b": "wb"}, ["k"], destinations=spark.range(12).withColumnRenamed("id", "dst"), undefined=-999.0)
-    return got.select("k", "h", _cents(F.col("v") / 1e3).alias("v"))
+    return got.select("k", "h", _cents(F.col("v") / 7).alias("v"))
 
 
 @query("spmv", _RING + f", t AS (SELECT CAST(dst AS BIGINT) AS h, sum(o / 2.4 * v) AS v FROM w JOIN s ON src = h GROUP BY dst) SELECT CAST(src AS BIGINT) AS h, {_cents_sql('sum(o / 2.4 * v) / sum(o / 2.4)')} AS v FROM w JOIN t ON dst = h GROUP BY src")

@@ -104,16 +104,15 @@ def _ternary() -> tuple:
 
 
 def _bits() -> tuple:
-    """Values of both signs and zero, whole multiples of a quarter; there the SQL's logarithm is exact."""
-    x = lambda: F.round(_d("value") * 4) / 4 - 25
-    v = "(round(value * 4) / 4 - 25)"
+    x = lambda: _d("value")
+    v = "value"
     e = f"(CASE WHEN {v} = 0 THEN 0 ELSE floor(log2(abs({v}))) + 1 END)"
     up = f"CASE WHEN {v} = 0 THEN 5e-324 ELSE {v} + pow(2.0, {e} - 53 - CASE WHEN {v} < 0 AND abs({v}) = pow(2.0, {e} - 1) THEN 1 ELSE 0 END) END"
     sql = {
         "FRACTION": f"{v} / pow(2.0, {e})", "EXPONENT": f"CAST({e} AS {D})", "SPACING": f"CASE WHEN {v} = 0 THEN pow(2.0, -1022) ELSE pow(2.0, {e} - 53) END", "RRSP": f"abs({v} / pow(2.0, {e})) * pow(2.0, 53)",
     }
     rows = [(k.lower(), lambda k=k: BITS[k](x()), f"CAST({q} AS {D})") for k, q in sql.items()]
-    rows += [("nearest", lambda: (BITS["NEAREST"](x(), F.lit(1.0)) - x()) * F.lit(2.0**60), f"CAST((({up}) - {v}) * pow(2.0, 60) AS {D})"), ("sete", lambda: BITS["SETE"](x(), F.lit(3.0)), f"CAST({v} / pow(2.0, {e}) * 8 AS {D})")]
+    rows += [("nearest", lambda: BITS["NEAREST"](x(), F.lit(1.0)), f"CAST({up} AS {D})"), ("sete", lambda: BITS["SETE"](x(), F.lit(3.0)), f"CAST({v} / pow(2.0, {e}) * 8 AS {D})")]
     return "events", ["event_id"], rows
 
 
