@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +77,21 @@ def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def kept(docs: DataFrame, text_col: str, keep: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of ``docs`` whose text is kept, all columns as they are, whatever they are called.
+
+    ``keep`` is called once in a task and gives a function from texts to what is kept.
+    """
+    at, plain = docs.columns.index(text_col), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def run(batches):
+        judge = keep()
+        for batch in pieces(batches, f"c{at}"):
+            yield batch.filter(pa.array(judge(batch.column(at).to_pylist()), pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, one row at least."""
     for batch in batches:

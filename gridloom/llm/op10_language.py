@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, pieces, table
+from .common import crc_of_id, kept, pieces, table
 
 #: Bytes of training text in a language's dictionary; with SAMPLE_DOCS, all that is ever collected for a language.
 DICT_BYTES = 128 << 10
@@ -107,15 +107,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that ``identify`` doesn't reject."""
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    at = docs.columns.index(text_col)
 
-    def run(batches):
+    def keep():
         made = Compressors(held.value)
-        for batch in pieces(batches, text_col):
-            found = [made.judge(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([lang != "und" and score >= min_margin for lang, score in found], pa.bool_()))
+        return lambda texts: [lang != "und" and score >= min_margin for lang, score in map(made.judge, texts)]
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept(docs, text_col, keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, runs, table
+from .common import kept, pieces, runs, table
 
 #: Maps each UTF-8 byte: A-Z to a-z, ASCII other than 0-9 and a-z to a space. Lengths stay, so offsets do too.
 TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c > 122 and c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -141,13 +141,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns as they are, in which no window of a benchmark item occurs."""
     find = _finder(benchmark, item_col, item_text_col, window, block_bytes)
-    at = docs.columns.index(text_col)
-
-    def run(batches):
-        for batch in pieces(batches, text_col):
-            yield batch.filter(pa.array([not ranges for _, ranges, _ in find(batch.column(at).to_pylist())], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return kept(docs, text_col, lambda: lambda texts: [not ranges for _, ranges, _ in find(texts)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
