@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages, each one of the operators of gridloom.llm; each reads what the one before wrote."""
+"""A corpus pipeline of five stages, each one of the operators of gridloom.llm; each reads what the one before wrote.
+
+Every stage takes further columns of any name, repeated rows (which stay or go together, but that one of equal texts stays
+in near_duplicates), null ids, and empty tables; what it does with null and empty texts its docstring says.
+"""
 
 from __future__ import annotations
 
@@ -14,28 +18,30 @@ from gridloom.llm.op10_language import accepted, fit
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is clear; texts without a letter and narrow margins go."""
+    """Documents whose language is clear; texts that are null, empty or without a letter go, and narrow margins."""
     return accepted(docs, fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles: that of the smallest id."""
+    """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles: that of the smallest id.
+
+    Documents without words, null texts among them, are linked with nothing and stay."""
     return one_of_each(docs, n=5, num=8, den=10)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of ten consecutive words of any benchmark item."""
+    """Documents without a window of ten consecutive words of any benchmark item; null and empty texts have none and stay."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced and n_chars as it is then."""
+    """All documents, with secrets in their texts replaced and n_chars as it is then (null of a null text)."""
     clean = redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens."""
+    """The pieces of all documents in sequences of 1024 tokens; null and empty texts are their end id alone."""
     return pack(docs)
 
 
