@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Shuffle files of a query are removed when it ends; rows that go to Python at once.
 WHILE_STAGED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
+#: Bytes of the rows that go to a Python worker, and come back, at once, one row at least.
+BATCH_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,6 +56,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session have about ``BATCH_BYTES``, so memory doesn't grow with the length of texts.
+
+    Spark reads the setting when a plan runs, so it can't be part of a DataFrame that others write. One that is set stays.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}
