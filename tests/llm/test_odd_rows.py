@@ -23,3 +23,20 @@ def test_stages_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, n_chars long")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, "/root/testdata/sf0.001").count() == 0, name
+
+
+def test_batches_are_bounded_unless_set(spark):
+    from gridloom.llm.common import BATCH_BYTES, bounded_batches
+
+    key, texts = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 64, 1, 1).selectExpr("repeat('x', 1 << 20) AS text")
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "1234567")
+        bounded_batches(spark)
+        assert spark.conf.get(key) == "1234567"
+        spark.conf.unset(key)
+        bounded_batches(spark)
+        sizes = [r.n for r in texts.mapInArrow(lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+        assert sum(sizes) >= 64 << 20 and max(sizes) <= BATCH_BYTES + (2 << 20)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
