@@ -476,7 +476,7 @@ def linked(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: i
     pairs, dense = possible(open_blocks(grouped, labels, num, den), sketches(rows, grouped, n), num, den)
     more = trie_links(by_center(pairs).union(dense), rows, n, num, den)
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = components(labels.toDF("a", "b").union(more))
     return posted.where("n IS NOT NULL").select("doc_id", F.col("n").alias("n_shingles")), labels
 
 

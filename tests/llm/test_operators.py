@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 
 from gridloom.llm import op1_repeats, op2_decontaminate, op3_packing, op4_frames, op5_jaccard, op6_quality, op7_urls, op8_secrets, op9_fingerprints, op10_language
 from gridloom.llm.common import new_path
+from gridloom.llm import components as components_module
 from gridloom.llm.components import components
 from gridloom.llm.rlindex import RunLengthIndex
 from gridloom.llm.tokens import Encoder, default_path, encoder
@@ -409,10 +410,14 @@ def test_jaccard_of_nothing(none):
     assert op5_jaccard.join(none).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [1 << 18, 16])
+def test_components(spark, monkeypatch, at_once):
+    """Links joined by one task, and by several and rounds."""
+    monkeypatch.setattr(components_module, "AT_ONCE", at_once)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(1, 41)) and got[100] == 90
+    assert got == {i: 0 for i in range(1, 41)} | {100: 90}
+    assert components(spark.createDataFrame([(7, 7), (None, 3)], "a long, b long")).count() == 0
 
 
 # 6
