@@ -17,6 +17,9 @@ from gridloom.llm.op5_jaccard import one_of_each
 from gridloom.llm.op8_secrets import redact
 from gridloom.llm.op10_language import accepted, fit
 
+#: Stretches of text that a worker keeps the ids of while packing, as executors have grown in the stages before: 200 bytes each.
+STRETCHES = 400_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; texts that are null, empty or without a letter go, and narrow margins."""
@@ -48,7 +51,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens; null and empty texts are their end id alone."""
     bounded_batches(spark)
-    return pack(docs)
+    return pack(docs, most_kept=STRETCHES)
 
 
 STAGES = [

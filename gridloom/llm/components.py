@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import staged
+from .common import staged, unburdened
 
 #: Links that one task joins on its own, about; with more, several tasks do, and rounds join what these leave.
 AT_ONCE = 1 << 18
@@ -37,7 +37,7 @@ def _forests(edges: DataFrame, tasks: int) -> DataFrame:
         if root:
             yield pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array([least(x) for x in root], pa.int64())], names=["a", "b"])
 
-    return edges.coalesce(tasks).mapInArrow(run, "a long, b long")
+    return edges.coalesce(tasks).mapInArrow(unburdened(run), "a long, b long")
 
 
 def _star(edges: DataFrame) -> DataFrame:

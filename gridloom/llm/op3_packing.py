@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
-from .tokens import PIECE, default_path, encoder
+from .common import give_back, pieces, table
+from .tokens import MOST_KEPT, PIECE, default_path, encoder
 
 LENGTH = 1024
 #: Windows that a task keeps open at most; beyond, those open are filled by cutting, so memory stays bounded.
@@ -105,18 +105,19 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, length: int = LENGTH, most_open: int = MOST_OPEN) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, length: int = LENGTH, most_open: int = MOST_OPEN, most_kept: int = MOST_KEPT) -> DataFrame:
     """Rows doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one for each piece of a document.
 
     Each row of ``docs`` is tokenized whole and gets ``end_id`` at its end (so null and empty texts are that one id);
     repeated rows and ids are packed as they come. What fills a window goes out at once; the rest of each document is
     placed by the sum-of-squares rule. Each task packs what it reads as a stream, so no shuffle is needed and tasks
-    can be lost and repeated; it leaves one sequence at most that isn't full. Ids lie in exactly one piece each.
+    can be lost and repeated; it leaves one sequence at most that isn't full. Ids lie in exactly one piece each. A worker keeps the ids of ``most_kept``
+    stretches of text, about, which changes speed and memory only.
     """
     path = tokenizer or default_path()
 
     def run(batches):
-        codes = encoder(path)
+        codes = encoder(path, most_kept)
         packer = Packer(length, most_open, TaskContext.get().partitionId() * IDS_A_TASK)
         end = np.array([end_id], "<u4").tobytes()
 
@@ -129,6 +130,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 yield made(rows)
         if rows := packer.drain():
             yield made(rows)
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
 

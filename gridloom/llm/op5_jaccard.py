@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, pieces, staged, table
+from .common import fresh, pieces, staged, table, unburdened
 from .components import components
 from .shingles import shingle_sets
 
@@ -165,7 +165,7 @@ def frequent_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             if sets:
                 yield counted()
 
-    top = rows.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).toPandas()
+    top = rows.mapInArrow(unburdened(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], (len(h) - 1 - np.arange(len(h)))[order]  # most frequent last
@@ -230,7 +230,7 @@ def post(rows: DataFrame, frequent, rank, n: int, num: int, den: int, buckets: i
             cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             yield _posted({"bucket": pa.array(bucket[cut]), "payload": pa.array([x.tobytes() for x in np.split(lead, cut[1:])], pa.binary())}, len(cut))
 
-    return staged(rows.mapInArrow(run, POSTED), "jaccard-postings")
+    return staged(rows.mapInArrow(unburdened(run), POSTED), "jaccard-postings")
 
 
 def members(posted: DataFrame, partitions: int, num: int, den: int) -> DataFrame:
@@ -244,7 +244,7 @@ def members(posted: DataFrame, partitions: int, num: int, den: int) -> DataFrame
             got = _members(e[met])
             yield pa.RecordBatch.from_arrays(list(got.values()), names=list(got))
 
-    met = posted.where("bucket IS NOT NULL").repartition(partitions, "bucket").select("payload").mapInArrow(run, "h long, ref long, ref_n long")
+    met = posted.where("bucket IS NOT NULL").repartition(partitions, "bucket").select("payload").mapInArrow(unburdened(run), "h long, ref long, ref_n long")
     every = met.union(posted.where("h IS NOT NULL").select("h", "ref", "ref_n"))
     every = every.withColumn("k", F.count("*").over(Window.partitionBy("ref")))
     return staged(every.where(F.col("k") >= _shared_prefix("ref_n")(num, den)).drop("k"), "jaccard-members")
@@ -287,7 +287,7 @@ def sketches(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["ref", "sketch"])
 
     wanted = _near(staged(ids.select(F.col("ref").alias("doc_id")).distinct(), "jaccard-wanted"))
-    return staged(rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "ref long, sketch binary"), "jaccard-sketches")
+    return staged(rows.join(wanted, "doc_id", "left_semi").mapInArrow(unburdened(run), "ref long, sketch binary"), "jaccard-sketches")
 
 
 KEY = ["c", "own", "other"]
@@ -336,7 +336,7 @@ def trie_links(dealt: DataFrame, rows: DataFrame, n: int, num: int, den: int) ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
 
-    return staged(found.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, "a long, b long"), "jaccard-links")
+    return staged(found.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(unburdened(run), "a long, b long"), "jaccard-links")
 
 
 def by_center(pairs: DataFrame) -> DataFrame:
@@ -454,7 +454,7 @@ def possible(blocks: DataFrame, sketched: DataFrame, num: int, den: int) -> tupl
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), shape)], schema=shape)
 
     sorted_ = dealt.repartition(*KEY).sortWithinPartitions(*KEY)
-    found = staged(sorted_.mapInArrow(run, "c long, own int, other int, ref long, component long, probe boolean, n long, center long, center_component long"), "jaccard-possible")
+    found = staged(sorted_.mapInArrow(unburdened(run), "c long, own int, other int, ref long, component long, probe boolean, n long, center long, center_component long"), "jaccard-possible")
     pairs = found.where("center IS NOT NULL").groupBy("center", "ref").agg(F.max("n").alias("n"), F.first("component").alias("component"), F.first("center_component").alias("center_component"))
     return pairs, found.where("center IS NULL").select(*KEY, "ref", "component", "probe")
 

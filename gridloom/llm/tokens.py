@@ -8,6 +8,8 @@ import re
 from array import array
 from functools import lru_cache
 
+from .common import FORGET
+
 DEFAULT = "byte_bpe_50k.json"
 #: Stretches kept in a worker, and the longest that is kept.
 MOST_KEPT, LONGEST_KEPT = 1_500_000, 32
@@ -38,7 +40,7 @@ class Encoder:
     tokenizer that isn't byte-level with this pre-tokenizer, every text is encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_kept: int = MOST_KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -51,6 +53,7 @@ class Encoder:
         plain = not about["normalizer"] and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         self.by_stretch = bool(plain and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")))
         self.kept: dict[str, bytes] = {}
+        self.most_kept = most_kept
         self.line_break = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -96,7 +99,7 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        if len(self.kept) > MOST_KEPT:
+        if len(self.kept) > self.most_kept:
             self.kept.clear()
         rows: list[list[str]] = []
         odd: dict[int, str] = {}
@@ -133,5 +136,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, most_kept: int = MOST_KEPT) -> Encoder:
+    return Encoder(path, most_kept)
+
+
+FORGET.append(encoder.cache_clear)

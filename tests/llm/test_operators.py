@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import op1_repeats, op2_decontaminate, op3_packing, op4_frames, op5_jaccard, op6_quality, op7_urls, op8_secrets, op9_fingerprints, op10_language
-from gridloom.llm.common import new_path
+from gridloom.llm.common import kept, new_path
 from gridloom.llm import components as components_module
 from gridloom.llm.components import components
 from gridloom.llm.rlindex import RunLengthIndex
@@ -754,3 +754,16 @@ def test_url_query_against_sql(spark):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{src}/pages.parquet'")
     want = sorted(con.execute(op7_urls.SQL).fetchall(), key=repr)
     assert sorted(map(tuple, op7_urls.query(spark, src).collect()), key=repr) == want
+
+
+def test_stages_keep_little_in_workers(spark):
+    texts = [f"word{i} and some more, {i * 7} of them" for i in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    want = {(r.doc_id, r.start, r.length, r.ids_crc32) for r in op3_packing.pack(docs).collect()}
+    assert {(r.doc_id, r.start, r.length, r.ids_crc32) for r in op3_packing.pack(docs, most_kept=50).collect()} == want
+    held = lambda: lambda some: [encoder.cache_info().currsize > 0] * len(some)
+    assert kept(docs, "text", held).count() == 0  # the workers that packed are used again, and forget the ids they kept
+    few, every = Encoder(default_path(), 50), Encoder(default_path())
+    for i in range(0, 3000, 100):
+        assert few.ids(texts[i : i + 100]) == every.ids(texts[i : i + 100])
+    assert len(few.kept) < 600 < 3000 < len(every.kept)
